@@ -1,0 +1,164 @@
+"""Scoring on encrypted or 8-bit quantized features.
+
+Paillier scoring is three row-parallel steps: the data owner encrypts features,
+the scorer combines ciphertexts with clear weights knowing only the public key,
+the owner decrypts one number per row.  Quantized scoring is plain integer
+column arithmetic.
+"""
+
+from __future__ import annotations
+
+import secrets
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from hushframe.functions.scalars import clip
+from hushframe.operators.splits import head_n
+
+# Decimal fixed point of features and weights.
+FIXED = 10**6
+CALIBRATION_ROWS = 100
+BITS = 8
+
+
+@dataclass(frozen=True)
+class PublicKey:
+    n: int
+
+
+@dataclass(frozen=True)
+class PrivateKey:
+    n: int
+    lam: int
+    mu: int
+
+
+def _prime(bits: int) -> int:
+    """A random probable prime with the top bits set (40 Miller-Rabin rounds)."""
+    while True:
+        p = secrets.randbits(bits) | (3 << (bits - 2)) | 1
+        if any(p % q == 0 for q in (3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)):
+            continue
+        d, s = p - 1, 0
+        while d % 2 == 0:
+            d, s = d // 2, s + 1
+        for _ in range(40):
+            x = pow(secrets.randbelow(p - 3) + 2, d, p)
+            if x in (1, p - 1):
+                continue
+            if not any((x := x * x % p) == p - 1 for _ in range(s - 1)):
+                break
+        else:
+            return p
+
+
+def paillier_keys(bits: int = 2048) -> tuple[PublicKey, PrivateKey]:
+    """A fresh key pair.  Fewer than 2048 bits is for tests only and not secure."""
+    p = q = 0
+    while p == q:
+        p, q = _prime(bits // 2), _prime(bits // 2)
+    n, lam = p * q, (p - 1) * (q - 1)
+    return PublicKey(n), PrivateKey(n, lam, pow(lam, -1, n))
+
+
+def encrypt_features(df: DataFrame, cols: Sequence[str], key: PublicKey, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns plus ``cipher``: one hex ciphertext per feature.  Only the public key travels."""
+    n, n2, cols, keep = key.n, key.n * key.n, list(cols), list(keep)
+    schema = df.select(*keep, F.lit(None).cast("array<string>").alias("cipher")).schema
+
+    def encrypt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fixed = np.rint(b[cols].to_numpy(dtype=float) * FIXED).astype(object)
+            cells = [
+                [format((1 + int(m) % n * n) * pow(secrets.randbelow(n - 1) + 1, n, n2) % n2, "x") for m in row] for row in fixed
+            ]
+            yield b[keep].assign(cipher=cells)
+
+    return df.select(*keep, *[c for c in cols if c not in keep]).mapInPandas(encrypt, schema)
+
+
+def score_encrypted(df: DataFrame, weights: Sequence[float], intercept: float, key: PublicKey, keep: Sequence[str]) -> DataFrame:
+    """``keep`` plus ``cipher_score``: product of ciphertexts to the integer weights."""
+    n, n2, keep = key.n, key.n * key.n, list(keep)
+    w = [round(v * FIXED) % n for v in weights]
+    b = round(intercept * FIXED * FIXED) % n
+    schema = df.select(*keep, F.lit(None).cast("string").alias("cipher_score")).schema
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a weight above n/2 stands for a negative one: invert the short way round
+        small = [(v, False) if v <= n // 2 else (n - v, True) for v in w]
+        for batch in batches:
+            out = []
+            for cells in batch["cipher"]:
+                acc = (1 + b * n) % n2
+                for cell, (power, negative) in zip(cells, small):
+                    term = pow(int(cell, 16), power, n2)
+                    acc = acc * (pow(term, -1, n2) if negative else term) % n2
+                out.append(format(acc, "x"))
+            yield batch[keep].assign(cipher_score=out)
+
+    return df.mapInPandas(combine, schema)
+
+
+def decrypt_scores(df: DataFrame, key: PrivateKey, keep: Sequence[str]) -> DataFrame:
+    """``keep`` plus ``score``; runs on the key holder's side."""
+    n, n2, lam, mu, keep = key.n, key.n * key.n, key.lam, key.mu, list(keep)
+    schema = df.select(*keep, F.lit(None).cast("double").alias("score")).schema
+
+    def decrypt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            plain = [(pow(int(c, 16), lam, n2) - 1) // n * mu % n for c in b["cipher_score"]]
+            signed = [m - n if m > n // 2 else m for m in plain]
+            yield b[keep].assign(score=[m / (FIXED * FIXED) for m in signed])
+
+    return df.mapInPandas(decrypt, schema)
+
+
+def paillier_score(
+    df: DataFrame, cols: Sequence[str], weights: Sequence[float], intercept: float, keep: Sequence[str], bits: int = 2048
+) -> DataFrame:
+    """Encrypt, score under encryption and decrypt, for a linear or logistic model."""
+    if len(cols) != len(weights):
+        raise ValueError("one weight per feature is needed")
+    public, private = paillier_keys(bits)
+    sealed = encrypt_features(df, cols, public, keep)
+    return decrypt_scores(score_encrypted(sealed, weights, intercept, public, keep), private, keep)
+
+
+# --- quantized --------------------------------------------------------------------
+
+
+def _round(c: Column) -> Column:
+    return F.floor(c + F.lit(0.5))
+
+
+def calibrate(train: DataFrame, x: Sequence[Column], order: Sequence[str], bits: int = BITS, rows: int = CALIBRATION_ROWS) -> list[float]:
+    """Step size per feature from the first calibration rows in key order."""
+    top = 2 ** (bits - 1) - 1
+    names = [f"_x{i}" for i in range(len(x))]
+    first = head_n(train.select(*order, *[c.alias(a) for c, a in zip(x, names)]), rows, order)
+    row = first.agg(*[F.max(F.abs(F.col(a))).alias(a) for a in names]).first()
+    return [float(row[a]) / top if row[a] else 1.0 for a in names]
+
+
+def quantized_weights(weights: Sequence[float], steps: Sequence[float], bits: int = BITS) -> tuple[list[int], float]:
+    """Integer weights with the feature steps folded in, and their common step."""
+    top = 2 ** (bits - 1) - 1
+    folded = [w * s for w, s in zip(weights, steps)]
+    step = max((abs(v) for v in folded), default=0.0) / top or 1.0
+    return [int(np.floor(v / step + 0.5)) for v in folded], step
+
+
+def quantized_linear_score(x: Sequence[Column], weights: Sequence[float], intercept: float, steps: Sequence[float], bits: int = BITS) -> Column:
+    """Integer dot product of clipped, rounded features and weights, scaled back once."""
+    top = 2 ** (bits - 1) - 1
+    whole, step = quantized_weights(weights, steps, bits)
+    acc = F.lit(0).cast("bigint")
+    for c, w, s in zip(x, whole, steps):
+        acc = acc + clip(_round(c / F.lit(s)).cast("double"), -top, top).cast("bigint") * F.lit(w)
+    return acc.cast("double") * F.lit(step) + F.lit(float(intercept))

@@ -71,7 +71,11 @@ def nearest_vectors(points: DataFrame, width: int, k: int = NEIGHBOURS, chunk_ro
     asked = cut_lineage(placed.groupBy("chunk").applyInPandas(reach, schema))
     queries = asked.select("id", "x", F.col("chunk").alias("a"), F.explode(F.sequence("first", "last")).alias("b"))
     pairs = queries.select("a", "b").distinct()
-    served = placed.select("id", "x", F.col("chunk").alias("b")).join(pairs, "b")
+    served = (
+        placed.select("id", "x", F.col("chunk").alias("b"))
+        .join(pairs, "b")
+        .select("id", "x", F.col("a").alias("to_a"), F.col("b").alias("to_b"))
+    )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
@@ -89,7 +93,7 @@ def nearest_vectors(points: DataFrame, width: int, k: int = NEIGHBOURS, chunk_ro
         )
 
     found = (
-        queries.groupBy("a", "b").cogroup(served.groupBy("a", "b")).applyInPandas(meet, "id bigint, near bigint, dist double")
+        queries.groupBy("a", "b").cogroup(served.groupBy("to_a", "to_b")).applyInPandas(meet, "id bigint, near bigint, dist double")
     )
     rk = F.row_number().over(W.partitionBy("id").orderBy("dist", "near"))
     return found.withColumn("rk", rk).filter(F.col("rk") <= k)

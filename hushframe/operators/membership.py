@@ -25,7 +25,7 @@ def attack_table(scorer: Scorer, train: DataFrame, test: DataFrame, keys: Sequen
 
 def attack_split(df: DataFrame, keys: Sequence[str], seed: str | int = 42) -> DataFrame:
     """Half of the members and of the non-members train the attack, the rest evaluate it."""
-    return df.withColumn("is_eval", uniform(seed, "member", *keys) < F.lit(0.5))
+    return df.withColumn("is_eval", uniform(seed, F.lit("attack"), "member", *keys) < F.lit(0.5))
 
 
 def forest_attack(table: DataFrame, classes: Sequence[float], seed: int = 42, trees: int = ATTACK_TREES, depth: int = 10) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import prepare  # noqa: F401 - registers
+from workload import prepare, privacy, reporting  # noqa: F401 - register
 from workload.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from hushframe.functions.scalars import col
 from hushframe.operators import ranks
 from hushframe.operators.joins import BROADCAST_ROWS, attach
-from hushframe.session import cut_lineage
+from hushframe.session import cut_lineage, stage
 
 # A node with at most this many rows is finished inside one task.
 LOCAL_ROWS = 50_000
@@ -91,11 +92,21 @@ def _child_columns(d: int, side: str, bit: str) -> list[Column]:
     ]
 
 
-def _keep(nodes: DataFrame, few: bool) -> DataFrame:
+def _keep(nodes: DataFrame, few: bool) -> tuple[DataFrame, pa.Table | None]:
     """Materialise a node table: a few nodes as a local relation, many on shared storage."""
-    if few:
-        return nodes.sparkSession.createDataFrame(nodes.toArrow(), nodes.schema)
-    return cut_lineage(nodes)
+    if not few:
+        return cut_lineage(nodes), None
+    cells = nodes.toArrow()
+    return nodes.sparkSession.createDataFrame(cells, nodes.schema), cells
+
+
+def _open_children(halves: pa.Table, kmin: int, local_rows: int) -> dict[str, int]:
+    """Number and largest size of the children of passing nodes that are still to be split."""
+    left, right = halves["left_n"].to_numpy(), halves["right_n"].to_numpy()
+    passed = (left + right >= 2 * kmin) & (np.minimum(left, right) >= kmin)
+    sizes = np.concatenate([left[passed], right[passed]])
+    sizes = sizes[sizes > local_rows]
+    return {"nodes": len(sizes), "largest": int(sizes.max(initial=0))}
 
 
 def _axis_value(is_text: Sequence[bool]) -> Column:
@@ -171,7 +182,7 @@ def mondrian_sweep(
     categorical: Sequence[str] = (),
     rule: str = "widest",
     seed: str | int = 42,
-    local_rows: int = LOCAL_ROWS,
+    local_rows: int | None = None,
     exact_rows: int = ranks.EXACT_ROWS,
 ) -> DataFrame:
     """``df`` plus one class column ``pid_<k>`` per k: the root-to-leaf bit path.
@@ -180,7 +191,8 @@ def mondrian_sweep(
     ``rule='random'`` a seeded random one among those with more than one value
     (a categorical pick makes the node a leaf).  The cut is the interpolated
     median, ``<=`` goes left, and so do nulls: every row lands in a class and is
-    generalized.  Raises when the table has fewer rows than the largest k.
+    generalized.  A node of up to ``local_rows`` rows is finished by one task; by
+    default LOCAL_ROWS, and never more than half the table.  Raises when the table has fewer rows than the largest k.
     """
     if rule not in ("widest", "random"):
         raise ValueError(f"Unknown split rule: {rule}")
@@ -191,20 +203,15 @@ def mondrian_sweep(
     if not ks or ks[0] < 1:
         raise ValueError("k must be at least 1")
     kmin, d, names = ks[0], len(qi), [class_column(k) for k in ks]
-    rows = df.select(
-        "*",
-        *[
-            F.nanvl(col(c).cast("double"), F.lit(None).cast("double")).alias(_value(i))
-            if not is_text[i]
-            else col(c).cast("string").alias(_value(i))
-            for i, c in enumerate(qi)
-        ],
-        F.lit("").alias("path"),
-        *[F.lit(None).cast("string").alias(c) for c in names],
-    )
+    numeric = lambda c: F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
+    values = [(col(c).cast("string") if is_text[i] else numeric(c)).alias(_value(i)) for i, c in enumerate(qi)]
+    staged = stage(df.select("*", *values, F.lit("").alias("path")))
+    rows = staged.select("*", *[F.lit(None).cast("string").alias(c) for c in names])
     top = rows.agg(*_stats(d)).first()
     if top["n"] < ks[-1]:
         raise ValueError(f"{top['n']} rows cannot be made {ks[-1]}-anonymous")
+    if local_rows is None:
+        local_rows = min(LOCAL_ROWS, top["n"] // 2)
     ranges = [
         0.0 if is_text[i] or top[f"lo{i}"] is None else float(top[f"hi{i}"] - top[f"lo{i}"]) for i in range(d)
     ]
@@ -251,22 +258,21 @@ def mondrian_sweep(
         else:
             medians = ranks.median_by(on_axis.select("path", "v"), ["path"], to_split, exact_rows)
             cuts = to_split.join(medians.withColumnRenamed("median", "cut"), "path")
-        cuts = _keep(cuts, few)
+        cuts, _ = _keep(cuts, few)
         # both children's statistics in one row: the size test here, the nodes of the next level
         split = _join_nodes(rows, cuts, "inner", small).withColumn("bit", goes_right)
-        halves = _keep(split.groupBy("path", "n", "axis", "cut").agg(*half_stats), few)
+        halves, cells = _keep(split.groupBy("path", "n", "axis", "cut").agg(*half_stats), few)
         halves = halves.withColumn("side", F.least("left_n", "right_n"))
         verdict = halves.select("path", "n", "axis", "cut", "side").unionByName(
             nodes.filter(F.col("axis").isNull()).select(*leaf)
         )
         rows = _join_nodes(rows, verdict, "left", small).select(*moved)
         if not small:
-            rows = cut_lineage(rows)
+            rows = stage(rows)
         grown = halves.filter(passes[kmin])
         nodes = with_axis(grown.select(*one_side["left"]).unionByName(grown.select(*one_side["right"])))
         if few:
-            local = nodes.collect()
-            size = {"nodes": len(local), "largest": max((r["n"] for r in local), default=0)}
+            size = _open_children(cells, kmin, local_rows)
         else:
             size = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.max("n").alias("largest")).first()
     open_rows = F.col(class_column(kmin)).isNull()

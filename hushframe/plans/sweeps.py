@@ -20,7 +20,7 @@ from hushframe.operators.features import fit_features
 from hushframe.operators.joins import pending_grid
 from hushframe.operators.risk import class_summary, risk_summary
 from hushframe.operators.splits import hash_split, stratified_split
-from hushframe.session import cut_lineage
+from hushframe.session import cut_lineage, stage
 from hushframe.sources.results import KEYS, LONG_SCHEMA, append_results, finished_results
 
 LINEAR = ("lr", "lin_reg")
@@ -55,10 +55,10 @@ def prepare(
 ) -> Prepared:
     """Split, fit the preparation on train, and write the prepared rows once for the whole sweep."""
     keys = list(keys)
-    parts = cut_lineage(split_rows(df, keys, target, task, seed))
+    parts = stage(split_rows(df, keys, target, task, seed))
     train, test = (parts.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
     fs = fit_features(train, target, skip=keys)
-    made = lambda part: cut_lineage(
+    made = lambda part: stage(
         fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")
     )
     return Prepared(name, task, made(train), made(test), keys, len(fs.names), list(classes), y_bounds)
@@ -243,7 +243,7 @@ def kanon_utility(
     both = tag_union(train, test)
     numeric, text = feature_roles(train.drop(*keys), target)
     qi = numeric if rule == "widest" else [c for c in train.columns if c in numeric + text]
-    assigned = cut_lineage(
+    assigned = stage(
         mondrian_sweep(both, qi, ks, categorical=[] if rule == "widest" else text, rule=rule, seed=seed, **options)
     )
     preds = []
@@ -253,11 +253,11 @@ def kanon_utility(
         rows = generalize_mean(rows, numeric)
         if text and rule == "random":
             rows = generalize_mode(rows, text)
-        rows = cut_lineage(rows.drop("pid"))
+        rows = stage(rows.drop("pid"))
         part_train, part_test = untag(rows)
         fs = fit_features(part_train, target, skip=keys)
         made = lambda part: fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")  # noqa: B023,E731
-        ready = Prepared(name, task, cut_lineage(made(part_train)), made(part_test), list(keys), len(fs.names), [0, 1])
+        ready = Prepared(name, task, stage(made(part_train)), made(part_test), list(keys), len(fs.names), [0, 1])
         for model in model_names(task, model_keys):
             scored = models.fit(model, ready.train)(ready.test)
             preds.append(predictions(scored, ready, model, "kanon", k=k))
@@ -277,7 +277,7 @@ def reid_report(
     """
     key, qi, extra = list(key), list(qi), list(extra)
     rows = df.select(*key, *qi, *[c for c in extra if c not in qi], target)
-    assigned = cut_lineage(mondrian_sweep(rows, qi, ks, **options))
+    assigned = stage(mondrian_sweep(rows, qi, ks, **options))
     pids = {k: class_column(k) for k in ks}
     risk = risk_summary(assigned, pids, extra, key, targets, seed=seed)
     report = class_summary(assigned, pids).join(risk, "k")
@@ -340,7 +340,7 @@ def mia_sweep(
         try:
             scorer, _ = score_point(p, model, method, eps, norm, seed, 2048)
             table = membership.attack_split(membership.attack_table(scorer, p.train, p.test, p.keys), p.keys)
-            inferred = membership.forest_attack(cut_lineage(table), p.classes, trees=attack_trees)
+            inferred = membership.forest_attack(stage(table), p.classes, trees=attack_trees)
             acc = membership.attack_accuracy(inferred, p.keys).first()[0]
             rows.append((p.name, model, strategy, eps, norm, acc, None))
         except Exception as e:  # noqa: BLE001 - isolated per technique, recorded in the result

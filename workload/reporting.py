@@ -11,7 +11,7 @@ from hushframe.plans import reports, sweeps
 from workload.common import (
     ITEM, PERSON_EXTRA, PERSON_KEY, PERSON_QI, SEED, WIDE, WIDE_SQL, person, query, r, rounded, table, wide,
 )
-from workload.privacy import _PROBS, _SUMMARY_COLS, KS, LOCAL_ROWS, _WIDEST
+from workload.privacy import _PROBS, _SUMMARY_COLS, KS, _WIDEST
 
 _IDS = "Dataset, Model, Task_Type"
 
@@ -147,7 +147,7 @@ _REID = (
 @query("reid_report", _REID)
 def reid_report(spark, sf):
     out = sweeps.reid_report(
-        person(spark, sf), PERSON_KEY, PERSON_QI, PERSON_EXTRA, "label", "classification", KS, targets=None, utility=False, local_rows=LOCAL_ROWS
+        person(spark, sf), PERSON_KEY, PERSON_QI, PERSON_EXTRA, "label", "classification", KS, targets=None, utility=False
     )
     return rounded(out, ["mean_size", *_SUMMARY_COLS])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,15 @@ def col(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
+def tree_sum(terms: Sequence[Column]) -> Column:
+    """Sum of many columns as a balanced expression, so wide models do not nest deeply."""
+    terms = list(terms)
+    while len(terms) > 1:
+        pairs = [a + b for a, b in zip(terms[::2], terms[1::2])]
+        terms = pairs + ([terms[-1]] if len(terms) % 2 else [])
+    return terms[0]
+
+
 def clip(c: str | Column, low: float, high: float) -> Column:
     """Clamp to [low, high]; a null stays null."""
     c = col(c)

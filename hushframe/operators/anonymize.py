@@ -256,7 +256,7 @@ def mondrian_sweep(
         if size["largest"] <= exact_rows:
             cuts = on_axis.groupBy("path", "n", "axis").agg(cut)
         else:
-            medians = ranks.median_by(on_axis.select("path", "v"), ["path"], to_split, exact_rows)
+            medians = ranks.median_by(on_axis.select("path", "v"), ["path"], exact_rows=exact_rows)
             cuts = to_split.join(medians.withColumnRenamed("median", "cut"), "path")
         cuts, _ = _keep(cuts, few)
         # both children's statistics in one row: the size test here, the nodes of the next level

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.scalars import clip
+from hushframe.functions.scalars import clip, tree_sum
 from hushframe.operators.splits import head_n
 
 # Decimal fixed point of features and weights.
@@ -158,7 +158,5 @@ def quantized_linear_score(x: Sequence[Column], weights: Sequence[float], interc
     """Integer dot product of clipped, rounded features and weights, scaled back once."""
     top = 2 ** (bits - 1) - 1
     whole, step = quantized_weights(weights, steps, bits)
-    acc = F.lit(0).cast("bigint")
-    for c, w, s in zip(x, whole, steps):
-        acc = acc + clip(_round(c / F.lit(s)).cast("double"), -top, top).cast("bigint") * F.lit(w)
-    return acc.cast("double") * F.lit(step) + F.lit(float(intercept))
+    terms = [clip(_round(c / F.lit(s)).cast("double"), -top, top).cast("bigint") * F.lit(w) for c, w, s in zip(x, whole, steps)]
+    return tree_sum(terms).cast("double") * F.lit(step) + F.lit(float(intercept))

@@ -11,6 +11,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.functions.scalars import tree_sum
 from hushframe.operators.features import with_class_weights
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -87,10 +88,7 @@ def linear_coefficients(scorer: Scorer) -> tuple[list[float], float]:
 
 def linear_score(x: Column, weights: Sequence[float], intercept: float) -> Column:
     """Dot product of an array column with literal weights."""
-    terms = F.lit(float(intercept))
-    for i, w in enumerate(weights):
-        terms = terms + F.lit(float(w)) * x[i]
-    return terms
+    return tree_sum([F.lit(float(intercept)), *[F.lit(float(w)) * x[i] for i, w in enumerate(weights)]])
 
 
 def linear_scorer(weights: Sequence[float], intercept: float, task: str, features: str = "features") -> Scorer:
@@ -124,11 +122,8 @@ def gnb_stats(train: DataFrame, cols: Sequence[str], label: str = "label") -> Da
 
 def gnb_log_likelihood(x: Sequence[Column], means: Sequence[float], variances: Sequence[float], prior: float) -> Column:
     const = math.log(prior) - 0.5 * sum(math.log(2.0 * math.pi * v) for v in variances)
-    out = F.lit(const)
-    for c, m, v in zip(x, means, variances):
-        d = c - F.lit(float(m))
-        out = out - d * d / F.lit(2.0 * v)
-    return out
+    off = [c - F.lit(float(m)) for c, m in zip(x, means)]
+    return F.lit(const) - tree_sum([d * d / F.lit(2.0 * v) for d, v in zip(off, variances)])
 
 
 def gnb_scorer(

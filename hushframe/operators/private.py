@@ -224,16 +224,33 @@ def tree_structure(trees: int, depth: int, bounds: Sequence[tuple[float, float]]
     return out
 
 
+def _leaf_of(x: np.ndarray, tree: np.ndarray, feats: np.ndarray, cuts: np.ndarray, depth: int) -> np.ndarray:
+    """Heap walk of a batch of rows, each in its own tree."""
+    rows, node = np.arange(len(x)), np.zeros(len(x), dtype=int)
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, feats[tree, node]] > cuts[tree, node])
+    return node - (2**depth - 1)
+
+
+def _arrays(structure: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([f for f, _ in structure]), np.array([c for _, c in structure])
+
+
 def assign_leaves(df: DataFrame, x: Column, keys: Sequence[str], structure: list, depth: int, seed: str | int) -> DataFrame:
-    """Add ``tree`` (one per row, by hash) and ``leaf``, the position among the 2^depth leaves."""
-    table = df.sparkSession.createDataFrame(
-        [(t, f, c) for t, (f, c) in enumerate(structure)], "tree int, _f array<int>, _c array<double>"
-    )
+    """Add ``tree`` (one per row, by hash) and ``leaf``, the position among the 2^depth leaves.
+
+    The walk runs on Arrow batches: the public structure travels once per task, not once per row.
+    """
+    feats, cuts = _arrays(structure)
+
+    @F.pandas_udf(T.IntegerType())
+    def leaf(v: pd.Series, tree: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series(dtype="int32")
+        return pd.Series(_leaf_of(np.stack(v.to_numpy()), tree.to_numpy(), feats, cuts, depth).astype("int32"))
+
     own = F.floor(uniform(seed, F.lit("tree"), *keys) * F.lit(len(structure))).cast("int")
-    rows = df.withColumn("_v", x).withColumn("tree", own).join(F.broadcast(table), "tree")
-    go_right = lambda node: (F.col("_v")[F.col("_f")[node]] > F.col("_c")[node]).cast("int")
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda node, _: node * 2 + 1 + go_right(node))
-    return rows.withColumn("leaf", walk - F.lit(2**depth - 1)).drop("_v", "_f", "_c")
+    return df.withColumn("tree", own).withColumn("leaf", leaf(x, F.col("tree")))
 
 
 def dp_leaf_counts(leaves: DataFrame, label: str, trees: int, depth: int, classes: Sequence[int], epsilon: float, seed: str | int) -> DataFrame:
@@ -253,19 +270,14 @@ def _forest_scorer(structure: list, weights: np.ndarray, classes: Sequence[int],
     share = np.maximum(weights, 0.0)
     total = share.sum(axis=2, keepdims=True)
     share = np.where(total > 0, share / np.where(total > 0, total, 1.0), 1.0 / len(classes))
-    feats = np.array([f for f, _ in structure])
-    cuts = np.array([c for _, c in structure])
-    offset = 2**depth - 1
+    feats, cuts = _arrays(structure)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def probabilities(v: pd.Series) -> pd.Series:
         m = np.stack(v.to_numpy()) if len(v) else np.zeros((0, 1))
-        rows, acc = np.arange(len(m)), np.zeros((len(m), share.shape[2]))
-        for f, c, s in zip(feats, cuts, share):
-            node = np.zeros(len(m), dtype=int)
-            for _ in range(depth):
-                node = 2 * node + 1 + (m[rows, f[node]] > c[node])
-            acc += s[node - offset]
+        acc = np.zeros((len(m), share.shape[2]))
+        for t in range(len(feats)):
+            acc += share[t, _leaf_of(m, np.full(len(m), t), feats, cuts, depth)]
         return pd.Series(list(acc / len(feats)))
 
     names = F.array(*[F.lit(float(c)) for c in classes])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.noise import uniform
-from hushframe.operators.ranks import BUCKETS, smallest_per_group
+from hushframe.operators.ranks import BUCKETS, running_total, smallest_per_group
 
 # Up to this many rows a top-n keeps its heap per task; beyond it, bucket ranking.
 HEAP_ROWS = 100_000
@@ -51,8 +51,17 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: str | int = 42) -
 
 
 def head_n(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
-    """First ``n`` rows in key order; all rows when ``n`` is None."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    """First ``n`` rows in key order; all rows when ``n`` is None.
+
+    Beyond a heap per task the rows are numbered by range partitions instead, so
+    that a long head does not pass through one task; ``order`` is then a unique key.
+    """
+    if n is None:
+        return df
+    if n <= HEAP_ROWS:
+        return df.orderBy(*order).limit(n)
+    numbered = running_total(df.select("*", F.lit(0).alias("_g"), F.lit(1).alias("_one")), ["_g"], order, ["_one"])
+    return numbered.filter(F.col("before__one") < n).select(*df.columns)
 
 
 def slice_features(df: DataFrame, features: Sequence[str], n: int, keep: Sequence[str] = ()) -> DataFrame:

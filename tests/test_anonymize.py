@@ -81,10 +81,13 @@ def test_many_nodes_take_the_shuffled_path(spark, monkeypatch):
 def test_nulls_are_generalized(spark):
     rows = [(i, float(i) if i % 3 else None, float(i % 7)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, a double, b double")
-    for local_rows in (50, 10**6):
-        out = A.mondrian(df, ["a", "b"], 10, local_rows=local_rows)
+    seen = []
+    for local_rows, exact_rows in ((80, 10**6), (120, 30), (10**6, 10**6)):
+        out = A.mondrian(df, ["a", "b"], 10, local_rows=local_rows, exact_rows=exact_rows)
+        seen.append(classes(out.toPandas()))
         assert out.count() == 300 and out.filter("pid IS NULL").count() == 0
         assert A.generalize_mean(out, ["a", "b"]).filter("a IS NULL").count() == 0
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_categorical_pick_is_a_leaf(spark):

@@ -92,3 +92,13 @@ def test_noise_twins_and_scale(spark):
     assert all(r["u"] == uniform_value("s", r["id"]) for r in rows)
     assert all(abs(r["l"] - laplace_value(r["u"], 2.0)) < 1e-12 for r in rows)
     assert abs(np.mean([abs(r["l"]) for r in rows]) - 2.0) < 0.15  # mean |Laplace(b)| is b
+
+
+def test_long_heads_and_samples_skip_the_heap(spark, monkeypatch):
+    from hushframe.operators import splits
+
+    df = spark.range(500).withColumn("v", F.col("id") * 2).repartition(4)
+    want = sorted(r["id"] for r in sample_n(df, ["id"], 40).collect())
+    monkeypatch.setattr(splits, "HEAP_ROWS", 5)
+    assert sorted(r["id"] for r in splits.head_n(df, 120, ["id"]).collect()) == list(range(120))
+    assert sorted(r["id"] for r in splits.sample_n(df, ["id"], 40).collect()) == want

@@ -21,7 +21,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hushframe.functions.scalars import col
 from hushframe.operators import ranks
@@ -207,7 +206,8 @@ def mondrian_sweep(
     values = [(col(c).cast("string") if is_text[i] else numeric(c)).alias(_value(i)) for i, c in enumerate(qi)]
     staged = stage(df.select("*", *values, F.lit("").alias("path")))
     rows = staged.select("*", *[F.lit(None).cast("string").alias(c) for c in names])
-    top = rows.agg(*_stats(d)).first()
+    root = rows.agg(*_stats(d)).toArrow()
+    top = root.to_pylist()[0]
     if top["n"] < ks[-1]:
         raise ValueError(f"{top['n']} rows cannot be made {ks[-1]}-anonymous")
     if local_rows is None:
@@ -215,12 +215,6 @@ def mondrian_sweep(
     ranges = [
         0.0 if is_text[i] or top[f"lo{i}"] is None else float(top[f"hi{i}"] - top[f"lo{i}"]) for i in range(d)
     ]
-    spark = df.sparkSession
-    fields = [T.StructField("path", T.StringType()), T.StructField("n", T.LongType())]
-    for i in range(d):
-        kind = T.StringType() if is_text[i] else T.DoubleType()
-        fields += [T.StructField(f"lo{i}", kind), T.StructField(f"hi{i}", kind)]
-
     # expressions are the same on every level, so they are built once
     axis = F.when(F.col("n") >= 2 * kmin, _pick_axis(rule, seed, is_text, ranges)).alias("axis")
     is_big = F.col("n") > local_rows
@@ -247,8 +241,8 @@ def mondrian_sweep(
         """Nodes too large for the local finish, with their split axis (null for a leaf)."""
         return stats.filter(is_big).select("path", "n", axis)
 
-    nodes = with_axis(spark.createDataFrame([("", *top)], T.StructType(fields)))
-    size = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.max("n").alias("largest")).first()
+    nodes = with_axis(df.sparkSession.createDataFrame(root.append_column("path", pa.array([""]))))
+    size = {"nodes": int(top["n"] > local_rows), "largest": top["n"]}
     while size["nodes"] > 0:
         few, small = size["nodes"] <= DRIVER_NODES, size["nodes"] <= BROADCAST_ROWS
         to_split = nodes.filter(F.col("axis").isNotNull())

@@ -23,6 +23,7 @@ from hushframe.functions.noise import fresh_seed, laplace, laplace_value, unifor
 from hushframe.functions.scalars import clip
 from hushframe.operators.models import Scorer, gnb_scorer, linear_scorer
 from hushframe.operators.moments import weighted_moments
+from hushframe.session import stage
 
 NB_BOUND = 3.0
 WEIGHT_CAP = 5.0
@@ -96,10 +97,13 @@ def dp_logistic(
     Rows longer than ``data_norm`` are clipped for the fit; scoring uses them as they are.
     """
     _check_epsilon(epsilon)
-    n = train.count() if n is None else n
-    rows = scaled_rows(train, x, data_norm).select(
-        "_x", F.when(F.col(label) > 0.5, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("_y")
+    # every Newton step reads these rows again, so they are prepared once
+    rows = stage(
+        scaled_rows(train, x, data_norm).select(
+            "_x", F.when(F.col(label) > 0.5, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("_y")
+        )
     )
+    n = rows.count() if n is None else n
     ridge, noise = objective_noise(epsilon, n, width + 1, _secret(seed))
     w = logistic_newton(rows, n, width + 1, ridge, noise, steps, tol)
     scale = data_norm * math.sqrt(2.0)

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Row-group bytes of staged tables: small, so that a table written by few tasks is still read by many.
+STAGE_BLOCK = 8 << 20
+
 
 def get_spark(app: str = "hushframe", **conf: str) -> SparkSession:
     """Session with the library's settings; ``conf`` keys use ``__`` for dots."""
@@ -61,5 +64,5 @@ def stage(df: DataFrame) -> DataFrame:
     still reads only the columns it needs.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", STAGE_BLOCK).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

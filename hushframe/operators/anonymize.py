@@ -31,6 +31,8 @@ from hushframe.session import cut_lineage, stage
 LOCAL_ROWS = 50_000
 # Up to this many nodes of one level are held as a local relation between jobs.
 DRIVER_NODES = 10_000
+# Lookups chained in one stage before the rows are written again: keeps generated code small.
+RESTAGE_LEVELS = 8
 
 
 def class_column(k: int) -> str:
@@ -204,8 +206,7 @@ def mondrian_sweep(
     kmin, d, names = ks[0], len(qi), [class_column(k) for k in ks]
     numeric = lambda c: F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
     values = [(col(c).cast("string") if is_text[i] else numeric(c)).alias(_value(i)) for i, c in enumerate(qi)]
-    staged = stage(df.select("*", *values, F.lit("").alias("path")))
-    rows = staged.select("*", *[F.lit(None).cast("string").alias(c) for c in names])
+    rows = stage(df.select("*", *values, F.lit("").alias("path")))
     root = rows.agg(*_stats(d)).toArrow()
     top = root.to_pylist()[0]
     if top["n"] < ks[-1]:
@@ -220,59 +221,65 @@ def mondrian_sweep(
     is_big = F.col("n") > local_rows
     passes = {k: (F.col("n") >= 2 * k) & (F.col("side") >= k) for k in ks}
     goes_right = F.coalesce(_axis_value(is_text) > F.col("cut"), F.lit(False)).cast("int")
-    here = F.col("n").isNotNull()
-    next_path = F.when(here & passes[kmin], F.concat("path", goes_right.cast("string"))).otherwise(F.col("path"))
-    moved = [
-        *[col(c) for c in df.columns],
-        *[F.col(_value(i)) for i in range(d)],
-        next_path.alias("path"),
-        *[
-            F.when(F.col(c).isNull() & here & ~passes[k], F.col("path")).otherwise(F.col(c)).alias(c)
-            for k, c in zip(ks, names)
-        ],
-    ]
+    next_path = F.when(F.col("axis").isNotNull(), F.concat("path", goes_right.cast("string"))).otherwise(F.col("path"))
+    moved = [*[col(c) for c in df.columns], *[F.col(_value(i)) for i in range(d)], next_path.alias("path")]
+    # a node keeps the class of every k that stopped above it
+    frozen = [F.coalesce(F.col(c), F.when(~passes[k], F.col("path"))).alias(c) for k, c in zip(ks, names)]
+    all_here = [F.coalesce(c, "path").alias(c) for c in names]
     half_stats = [*_half_stats(d, 0), *_half_stats(d, 1)]
     one_side = {side: _child_columns(d, side, bit) for side, bit in (("left", "0"), ("right", "1"))}
-    leaf = [F.col("path"), F.col("n"), F.col("axis"), F.lit(None).cast("double").alias("cut"), F.lit(0).cast("bigint").alias("side")]
     axis_value = _axis_value(is_text)
     cut = F.percentile("v", F.lit(0.5)).alias("cut")
 
-    def with_axis(stats: DataFrame) -> DataFrame:
-        """Nodes too large for the local finish, with their split axis (null for a leaf)."""
-        return stats.filter(is_big).select("path", "n", axis)
-
-    nodes = with_axis(df.sparkSession.createDataFrame(root.append_column("path", pa.array([""]))))
+    top_row = df.sparkSession.createDataFrame(root.append_column("path", pa.array([""]))).select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in names]
+    )
+    nodes = top_row.filter(is_big).select("path", "n", axis, *names)
+    ended = [top_row.filter(~is_big).select("path", *names)]
     size = {"nodes": int(top["n"] > local_rows), "largest": top["n"]}
+    total, level = 1, 0
     while size["nodes"] > 0:
         few, small = size["nodes"] <= DRIVER_NODES, size["nodes"] <= BROADCAST_ROWS
         to_split = nodes.filter(F.col("axis").isNotNull())
         on_axis = _join_nodes(rows, to_split, "inner", small).withColumn("v", axis_value)
         if size["largest"] <= exact_rows:
-            cuts = on_axis.groupBy("path", "n", "axis").agg(cut)
+            cuts = on_axis.groupBy("path", "n", "axis", *names).agg(cut)
         else:
             medians = ranks.median_by(on_axis.select("path", "v"), ["path"], exact_rows=exact_rows)
             cuts = to_split.join(medians.withColumnRenamed("median", "cut"), "path")
         cuts, _ = _keep(cuts, few)
         # both children's statistics in one row: the size test here, the nodes of the next level
         split = _join_nodes(rows, cuts, "inner", small).withColumn("bit", goes_right)
-        halves, cells = _keep(split.groupBy("path", "n", "axis", "cut").agg(*half_stats), few)
+        halves, cells = _keep(split.groupBy("path", "n", "axis", "cut", *names).agg(*half_stats), few)
         halves = halves.withColumn("side", F.least("left_n", "right_n"))
-        verdict = halves.select("path", "n", "axis", "cut", "side").unionByName(
-            nodes.filter(F.col("axis").isNull()).select(*leaf)
-        )
-        rows = _join_nodes(rows, verdict, "left", small).select(*moved)
-        if not small:
+        passed = halves.filter(passes[kmin])
+        rows = _join_nodes(rows, passed.select("path", "axis", "cut"), "left", small).select(*moved)
+        level += 1
+        if not small or level % RESTAGE_LEVELS == 0:
             rows = stage(rows)
-        grown = halves.filter(passes[kmin])
-        nodes = with_axis(grown.select(*one_side["left"]).unionByName(grown.select(*one_side["right"])))
+        grown = passed.select(*[c for c in passed.columns if c not in names], *frozen)
+        children = grown.select(*one_side["left"], *names).unionByName(grown.select(*one_side["right"], *names))
+        ended += [
+            nodes.filter(F.col("axis").isNull()).select("path", *all_here),
+            halves.filter(~passes[kmin]).select("path", *all_here),
+            children.filter(~is_big).select("path", *names),
+        ]
+        nodes = children.filter(is_big).select("path", "n", axis, *names)
+        total += 2 * size["nodes"]
         if few:
             size = _open_children(cells, kmin, local_rows)
         else:
             size = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.max("n").alias("largest")).first()
+    # the path reached so far decides the class of every k that has stopped
+    reached = ended[0]
+    for part in ended[1:]:
+        reached = reached.unionByName(part)
+    reached, _ = _keep(reached, total <= DRIVER_NODES)
+    rows = _join_nodes(rows, reached, "inner", total <= BROADCAST_ROWS)
     open_rows = F.col(class_column(kmin)).isNull()
     finished = _finish_locally(rows.filter(open_rows), ks, is_text, ranges, rule, seed)
     closed = rows.filter(~open_rows)
-    return closed.unionByName(finished).drop("path", *[_value(i) for i in range(d)])
+    return closed.unionByName(finished).select(*[col(c) for c in df.columns], *names)
 
 
 def mondrian(df: DataFrame, qi: Sequence[str], k: int, **options: object) -> DataFrame:

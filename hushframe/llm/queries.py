@@ -36,3 +36,17 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.exact_dedup import document_copies
 
     return document_copies(documents(spark, sf))
+
+
+@_add("op5_histogram_packing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.packing import document_pieces
+
+    return document_pieces(documents(spark, sf))
+
+
+@_add("op9_wavelet_tokens")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.wavelet import document_tokens
+
+    return document_tokens(documents(spark, sf))

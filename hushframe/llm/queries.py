@@ -50,3 +50,17 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.wavelet import document_tokens
 
     return document_tokens(documents(spark, sf))
+
+
+@_add("op3_source_mixing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.mixing import document_mix
+
+    return document_mix(documents(spark, sf))
+
+
+@_add("op4_adaptive_quality")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.quality_rules import document_verdicts
+
+    return document_verdicts(documents(spark, sf))

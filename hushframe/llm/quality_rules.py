@@ -28,8 +28,8 @@ UNIT = 1_000_000
 # measure -> (numerator, denominator, never too low above, never too high below), in millionths
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 0, 100_000),
-    "dup_lines": ("n_dup_lines", "n_lines", 0, 300_000),
-    "repeats": ("n_repeat_words", "n_words", 0, 200_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 0, 500_000),
+    "repeats": ("n_repeat_words", "n_words", 0, 400_000),
     "word_length": ("word_chars", "n_words", 3_000_000, 10_000_000),
 }
 DIGITS = 8

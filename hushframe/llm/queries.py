@@ -64,3 +64,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.quality_rules import document_verdicts
 
     return document_verdicts(documents(spark, sf))
+
+
+@_add("op2_ftrl_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.toxicity import document_scores
+
+    return document_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))

@@ -71,3 +71,10 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.toxicity import document_scores
 
     return document_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@_add("op8_simhash_variants")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.simhash import document_components
+
+    return document_components(documents(spark, sf))

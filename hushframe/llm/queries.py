@@ -78,3 +78,17 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.simhash import document_components
 
     return document_components(documents(spark, sf))
+
+
+@_add("op6_linked_secrets")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.secrets import document_secrets
+
+    return document_secrets(documents(spark, sf))
+
+
+@_add("op10_license_rules")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.licenses import document_licenses
+
+    return document_licenses(documents(spark, sf))

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.llm.common import fresh, join_hot
 from hushframe.operators.joins import is_small
@@ -59,15 +60,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > last).tobytes(), "big")
 
 
-@F.pandas_udf("long")
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-
-
 def with_fingerprint(documents: DataFrame, name: str, text: str = "text") -> DataFrame:
     """Adds the fingerprint as a signed 64-bit integer."""
-    return documents.withColumn(name, _fingerprints(F.col(text).cast("string")))
+
+    @F.pandas_udf(T.LongType())
+    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+    return documents.withColumn(name, fingerprints(F.col(text).cast("string")))
 
 
 def _bits(fp: Column, shift: Column, width: int) -> Column:

@@ -7,8 +7,10 @@ repeat, hence each task keeps the ids of the chunks it has met (a bounded number
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -32,6 +34,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet by its rule: visible bytes stand for themselves, the rest follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {**{b: b for b in visible}, **{b: 256 + k for k, b in enumerate(hidden)}}
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -41,26 +50,36 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        kind = json.loads(self._tokenizer.to_str())
+        # the cuts above hold for this pre-tokenizer; texts for any other are encoded whole
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self._cuts = not kind["normalizer"] and byte_level.items() <= (kind["pre_tokenizer"] or {}).items()
+        self._model, self._letters = self._tokenizer.model, _byte_letters()
         self.ids = self._tokenizer.get_vocab_size()
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
-        import numpy as np
+    def _pack(self, chunks: list[str]) -> Iterable[bytes]:
+        for code in self._tokenizer.encode_batch(chunks, add_special_tokens=False):
+            yield struct.pack(f"<{len(code.ids)}I", *code.ids)
 
-        new = []
+    def _learn(self, chunks: set[str]) -> None:
+        mixed = []
         for chunk in chunks:
             ids = self._older.get(chunk)
             if ids is None:
-                new.append(chunk)
-            else:
-                self._recent[chunk] = ids
-        for start in range(0, len(new), 4096):
-            part = new[start:start + 4096]
-            for chunk, code in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False)):
-                self._recent[chunk] = np.array(code.ids, "<u4").tobytes()
+                if not chunk.removeprefix(" ").isalpha():
+                    mixed.append(chunk)
+                    continue
+                # letters alone are one piece for the model, in its byte alphabet
+                found = self._model.tokenize(chunk.encode().decode("latin-1").translate(self._letters))
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            self._recent[chunk] = ids
+        self._recent.update(zip(mixed, self._pack(mixed)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        if not self._cuts:
+            return list(self._pack([text or "" for text in texts]))
         out = []
         for text in texts:
             chunks = _CHUNK.findall(text or "")

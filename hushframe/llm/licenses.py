@@ -2,7 +2,7 @@
 
 Texts become lower-case words joined by single spaces.  A text without any keyword of
 the rules is done after a few substring searches; in the others a rule is tried only
-where its own required word occurs.  Every match is an interval of words with the
+where its own required string occurs.  Every match is an interval of words with the
 rule's priority.  A match inside the interval of one of equal or higher priority is
 suppressed (of equal intervals the earlier rule wins), the rest give labels and score.
 
@@ -26,7 +26,7 @@ from hushframe.session import stage
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# label -> (required word, regexes of the license's name over words); from specific to general
+# label -> (text every match holds, regexes of the license's name over words); from specific to general
 NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "agpl-3": ("affero", ("gnu affero general public license( version)?( v)? ?3( 0)?", "gnu affero general public license")),
     "agpl-3-short": ("agpl", ("agpl( v)? ?3?( 0)?( only| or later)?",)),
@@ -42,9 +42,9 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "apache-2": ("apache", ("apache license( version)? 2( 0)?", "apache software license( version)? 2( 0)?", "apache( license)? 2( 0)?( license)?")),
     "apache-1.1": ("apache", ("apache( software)? license( version)? 1 1",)),
     "apache": ("apache", ("apache( software)? license",)),
-    "mit-0": ("mit", ("mit no attribution( license)?", "mit 0 license")),
-    "mit": ("mit", ("mit license", "mit x11 license", "mit open source license", "mit expat license")),
-    "bsd-4-clause": ("bsd", ("(bsd )?4 clause( bsd)? license", "original bsd license")),
+    "mit-0": ("mit ", ("mit no attribution( license)?", "mit 0 license")),
+    "mit": ("mit ", ("mit license", "mit x11 license", "mit open source license", "mit expat license")),
+    "bsd-4-clause": ("bsd", ("bsd 4 clause( original or old)?( license)?", "4 clause bsd license", "original bsd license")),
     "bsd-3-clause": ("bsd", ("bsd 3 clause( new or revised)?( license)?", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license")),
     "bsd-2-clause": ("bsd", ("bsd 2 clause( simplified)?( license)?", "2 clause bsd license", "simplified bsd license", "freebsd license")),
     "bsd-0-clause": ("bsd", ("zero clause bsd( license)?", "0bsd( license)?")),
@@ -58,30 +58,33 @@ NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
     "cddl-1": ("common", ("common development and distribution license( version)?( 1 0| 1 1)?",)),
     "cpl-1": ("common", ("common public license( version)?( 1 0)?",)),
     "eupl": ("union", ("european union public licen[cs]e( version)?( v)? ?(1 1|1 2)?",)),
-    "isc": ("isc", ("isc license", "isc style license")),
+    "isc": ("isc ", ("isc license", "isc style license")),
     "zlib": ("zlib", ("zlib license", "zlib libpng license")),
     "bsl-1": ("boost", ("boost software license( version)?( 1 0)?",)),
     "artistic-2": ("artistic", ("artistic license( version)? 2( 0)?",)),
     "artistic-1": ("artistic", ("artistic license( version)? 1( 0)?", "artistic license")),
-    "psf-2": ("python", ("python software foundation license( version 2)?", "psf license( agreement)?")),
+    "psf-2": ("python", ("python software foundation license( version 2)?",)),
+    "psf-2-short": ("psf", ("psf license( agreement)?",)),
     "ofl-1.1": ("font", ("sil open font license( version)?( 1 1)?", "open font license")),
     "unlicense": ("unlicense", ("the unlicense", "unlicense license")),
     "wtfpl": ("wtfpl", ("wtfpl( version 2)?",)),
     "cc0-1": ("cc0", ("cc0( 1 0)?( universal)?( public domain dedication)?",)),
-    "cc-by-nc-nd": ("nc", ("cc by nc nd( \\d 0)?", "creative commons attribution non ?commercial no ?deriv(ative)?s?( \\d 0)?")),
-    "cc-by-nc-sa": ("nc", ("cc by nc sa( \\d 0)?",)),
-    "cc-by-nc": ("nc", ("cc by nc( \\d 0)?",)),
+    "cc-by-nc-nd": ("cc by", ("cc by nc nd( \\d 0)?",)),
+    "cc-by-nc-nd-long": ("commons", ("creative commons attribution non ?commercial no ?deriv(ative)?s?( \\d 0)?",)),
+    "cc-by-nc-sa": ("cc by", ("cc by nc sa( \\d 0)?",)),
+    "cc-by-nc": ("cc by", ("cc by nc( \\d 0)?",)),
     "cc-by-nc-long": ("noncommercial", ("creative commons attribution noncommercial( \\d 0)?( international)?( license)?",)),
-    "cc-by-nd": ("nd", ("cc by nd( \\d 0)?",)),
-    "cc-by-sa": ("sa", ("cc by sa( \\d 0)?",)),
-    "cc-by-sa-long": ("sharealike", ("creative commons attribution share ?alike( \\d 0)?( international)?( license)?",)),
-    "cc-by": ("cc", ("cc by \\d 0",)),
+    "cc-by-nd": ("cc by", ("cc by nd( \\d 0)?",)),
+    "cc-by-sa": ("cc by", ("cc by sa( \\d 0)?",)),
+    "cc-by-sa-long": ("commons", ("creative commons attribution share ?alike( \\d 0)?( international)?( license)?",)),
+    "cc-by": ("cc by", ("cc by \\d 0",)),
     "cc-by-long": ("commons", ("creative commons attribution( \\d 0)?( international)? license",)),
     "cc": ("commons", ("creative commons license",)),
-    "odbl-1": ("database", ("open database license( version)?( v)? ?(1 0)?", "odbl 1 0")),
+    "odbl-1": ("database", ("open database license( version)?( v)? ?(1 0)?",)),
+    "odbl-1-short": ("odbl", ("odbl 1 0",)),
     "odc-by": ("commons", ("open data commons attribution license",)),
     "pddl": ("public", ("public domain dedication and license",)),
-    "bigscience-rail": ("rail", ("(bigscience )?open rail( m)? license", "creativeml open ?rail m")),
+    "bigscience-rail": ("rail", ("(bigscience )?open ?rail( m)? license", "creativeml open ?rail m")),
     "llama": ("llama", ("llama( 2| 3)? community license( agreement)?",)),
     "sspl-1": ("server", ("server side public license( version)?( v)? ?1?",)),
     "elastic-2": ("elastic", ("elastic license( version)?( v)? ?2( 0)?",)),
@@ -99,7 +102,7 @@ CONTEXTS = {
     "see the {name}( for)?": (2, 0.7),
     "{name}": (1, 0.6),
 }
-# Sentences of license texts: (label, required word, regex)
+# Sentences of license texts: (label, text every match holds, regex)
 TEXTS = (
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit", "copyright", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
@@ -148,7 +151,7 @@ def signature_rules() -> list[Rule]:
 # Every rule's match holds one of these; a text without them is not looked at further.
 KEYWORDS = (
     "licen", " copyright ", " permission ", " redistribution ", "redistribute ", " gpl", " agpl", " lgpl", " gnu ", " apache ", " mit ",
-    " bsd ", "0bsd ", " mpl ", " cc ", " cc0 ", " wtfpl ", " psf ", " commons ", " domain ", " reserved ", " endorse ", " advertising ",
+    " bsd ", "0bsd ", " mpl", " cc ", " cc0 ", " wtfpl ", " psf ", " commons ", " domain ", " reserved ", " endorse ", " advertising ",
     " acknowledgment ", " odbl ", "rail ", " confidential ",
 )
 
@@ -165,7 +168,7 @@ def _spaces(c: Column) -> Column:
 def _rule_array(rules: list[Rule]) -> str:
     quote = lambda s: "'" + s.replace("\\", "\\\\") + "'"
     return "array(" + ", ".join(
-        f"named_struct('rule', {i}, 'word', {quote(f' {r.word} ')}, 'regex', {quote(f'(?<= ){r.regex}(?= )')})" for i, r in enumerate(rules)
+        f"named_struct('rule', {i}, 'word', {quote(r.word)}, 'regex', {quote(f'(?<= ){r.regex}(?= )')})" for i, r in enumerate(rules)
     ) + ")"
 
 

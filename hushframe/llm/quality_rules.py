@@ -91,7 +91,9 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("digits")))
     q = cum.groupBy(*keys, "measure").agg(at(1).alias("_q1"), at(3).alias("_q3"), F.max("_all").alias("docs"))
     reach = (F.col("_q3") - F.col("_q1")) * FENCE
-    return q.select(*keys, "measure", (F.col("_q1") - reach).alias("low"), (F.col("_q3") + reach).alias("high"), "docs")
+    # an entry stands for all values with its leading digits, so the upper fence starts at its last one
+    last = F.col("_q3") + F.expr(f"shiftleft(1L, greatest(length(bin(_q3)) - {DIGITS}, 0)) - 1L")
+    return q.select(*keys, "measure", (F.col("_q1") - reach).alias("low"), (last + reach).alias("high"), "docs")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:

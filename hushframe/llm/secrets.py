@@ -32,8 +32,8 @@ BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}
 SHORT_LENGTH = 6
 WEAK = {
     "key": r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])",
-    "user": r"""(?i)\b(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
-    "endpoint": r"""\b[a-z][a-z0-9+.]{1,12}://[^\s"'<>]+""",
+    "user": r"""(?i)(?<![A-Za-z0-9_])(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
+    "endpoint": r"""(?<![A-Za-z0-9_])[a-z][a-z0-9+.]{1,12}://[^\s"'<>]+""",
 }
 KINDS = [*BASE, "short", *WEAK]
 IDENTIFIERS, SECRETS = ("access", "user"), ("assign", "short", "key", "hex")

@@ -74,7 +74,7 @@ def _draws(documents: DataFrame, seed: int) -> DataFrame:
     size, chars = word_count(text), F.length(F.translate(text, SPACES, ""))
     narrow = documents.select(
         F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), chars.alias("chars"),
-        uniform(seed, F.col("doc_id"), F.crc32(text.cast("binary"))).alias("u"),
+        uniform(seed, F.col("doc_id"), F.md5(text.cast("binary"))).alias("u"),
     )
     key = -F.log(F.col("u")) / quality_weight(F.col("size"), F.col("chars"))
     # 1 - exp(-key) keeps the order of the keys and spreads them over (0, 1)

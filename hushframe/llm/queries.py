@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hushframe.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,7 +33,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return document_shards(documents(spark, sf))
 
 
-@_add("op7_exact_dedup")
+@_add("op7_exact_dedup", oracles.EXACT_DEDUP)
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.exact_dedup import document_copies
 
@@ -52,14 +54,14 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return document_tokens(documents(spark, sf))
 
 
-@_add("op3_source_mixing")
+@_add("op3_source_mixing", oracles.SOURCE_MIXING)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.mixing import document_mix
 
     return document_mix(documents(spark, sf))
 
 
-@_add("op4_adaptive_quality")
+@_add("op4_adaptive_quality", oracles.ADAPTIVE_QUALITY)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.quality_rules import document_verdicts
 

@@ -24,7 +24,7 @@ _CHUNK = re.compile(
     rf" ?[{_LATIN}]++(?![^\x00-\x7f])|[ ]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+"
 )
 # Chunks remembered per task before the older half is forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
@@ -41,6 +41,17 @@ def _byte_letters() -> dict[int, int]:
     return {**{b: b for b in visible}, **{b: 256 + k for k, b in enumerate(hidden)}}
 
 
+class _Memory(dict):
+    """Ids per chunk, found on first use."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.find(chunk)
+        return ids
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -56,40 +67,31 @@ class ChunkEncoder:
         self._cuts = not kind["normalizer"] and byte_level.items() <= (kind["pre_tokenizer"] or {}).items()
         self._model, self._letters = self._tokenizer.model, _byte_letters()
         self.ids = self._tokenizer.get_vocab_size()
-        self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-
-    def _pack(self, chunks: list[str]) -> Iterable[bytes]:
-        for code in self._tokenizer.encode_batch(chunks, add_special_tokens=False):
-            yield struct.pack(f"<{len(code.ids)}I", *code.ids)
-
-    def _learn(self, chunks: set[str]) -> None:
-        mixed = []
-        for chunk in chunks:
-            ids = self._older.get(chunk)
-            if ids is None:
-                if not chunk.removeprefix(" ").isalpha():
-                    mixed.append(chunk)
-                    continue
-                # letters alone are one piece for the model, in its byte alphabet
-                found = self._model.tokenize(chunk.encode().decode("latin-1").translate(self._letters))
-                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            self._recent[chunk] = ids
-        self._recent.update(zip(mixed, self._pack(mixed)))
+        self._recent = _Memory(self._find)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _find(self, chunk: str) -> bytes:
+        ids = self._older.get(chunk)
+        if ids is not None:
+            return ids
+        if not chunk.removeprefix(" ").isalpha():
+            return self._whole(chunk)
+        # letters alone are one piece for the model, in its byte alphabet
+        found = self._model.tokenize(chunk.encode().decode("latin-1").translate(self._letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         if not self._cuts:
-            return list(self._pack([text or "" for text in texts]))
+            return [self._whole(text or "") for text in texts]
         out = []
         for text in texts:
-            chunks = _CHUNK.findall(text or "")
-            unknown = set(chunks).difference(self._recent)
-            if unknown:
-                if len(self._recent) + len(unknown) > REMEMBERED:
-                    self._older, self._recent = self._recent, {}
-                    unknown = set(chunks)
-                self._learn(unknown)
-            out.append(b"".join(map(self._recent.__getitem__, chunks)))
+            if len(self._recent) > REMEMBERED:
+                self._older, self._recent = self._recent, _Memory(self._find)
+            out.append(b"".join(map(self._recent.__getitem__, _CHUNK.findall(text or ""))))
         return out
 
 

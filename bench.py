@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,7 +18,7 @@ HEADLINE = (
 
 
 def main() -> None:
-    from hushframe.session import get_spark
+    from hushframe.session import get_spark, local_checkpoint_dir
     from workload import catalog
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -27,6 +28,7 @@ def main() -> None:
         "bench", spark__master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
+    local_checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "hushframe-checkpoint"))
     spark.sparkContext.setLogLevel("ERROR")
     # JVM start-up and first code generation are not charged to the first query
     small = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")

@@ -59,13 +59,17 @@ def try_number(c: str | Column) -> Column:
 
 
 def format_norm(c: str | Column) -> Column:
-    """``1.0`` keeps its decimal, other norms print as whole numbers."""
+    """``1.0`` keeps its decimal, other whole norms print without one, the rest as they are."""
     c = col(c)
-    return F.when(c == F.lit(1.0), F.lit("1.0")).otherwise(c.cast("bigint").cast("string"))
+    whole = (c == F.floor(c)) & (c != F.lit(1.0))
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
-def metric_name(method: str | Column, metric: str | Column, eps: Column, norm: Column) -> Column:
-    """Wide column name ``method_metric_Eps{e}_Norm{n}``; no suffix without parameters."""
+def metric_name(method: str | Column, metric: str | Column, eps: Column, norm: Column, k: Column | None = None) -> Column:
+    """Wide column name ``method_metric_Eps{e}_Norm{n}`` or ``..._K{k}``; no suffix without parameters."""
     stem = F.concat_ws("_", col(method), col(metric))
-    suffix = F.concat(F.lit("_Eps"), eps.cast("string"), F.lit("_Norm"), format_norm(norm))
-    return F.when(eps.isNull(), stem).otherwise(F.concat(stem, suffix))
+    private = F.concat(F.lit("_Eps"), eps.cast("string"), F.lit("_Norm"), format_norm(norm))
+    parts = [stem, F.coalesce(private, F.lit(""))]
+    if k is not None:
+        parts.append(F.coalesce(F.concat(F.lit("_K"), k.cast("string")), F.lit("")))
+    return F.concat(*parts)

@@ -39,6 +39,12 @@ def class_column(k: int) -> str:
     return f"pid_{k}"
 
 
+def finite(c: str) -> Column:
+    """The value as double; NaN and infinities are missing values, on every path."""
+    v = col(c).cast("double")
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 def _value(i: int) -> str:
     return f"_q{i}"
 
@@ -192,7 +198,7 @@ def mondrian_sweep(
     ``rule='random'`` a seeded random one among those with more than one value
     (a categorical pick makes the node a leaf).  The cut is the interpolated
     median, ``<=`` goes left, and so do nulls: every row lands in a class and is
-    generalized.  A node of up to ``local_rows`` rows is finished by one task; by
+    generalized.  NaN and infinite values count as null.  A node of up to ``local_rows`` rows is finished by one task; by
     default LOCAL_ROWS, and never more than half the table.  Raises when the table has fewer rows than the largest k.
     """
     if rule not in ("widest", "random"):
@@ -204,8 +210,13 @@ def mondrian_sweep(
     if not ks or ks[0] < 1:
         raise ValueError("k must be at least 1")
     kmin, d, names = ks[0], len(qi), [class_column(k) for k in ks]
-    numeric = lambda c: F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
-    values = [(col(c).cast("string") if is_text[i] else numeric(c)).alias(_value(i)) for i, c in enumerate(qi)]
+    # the caller's columns travel under names of their own, whatever they are called
+    given = df.columns
+    df = df.toDF(*[f"_in{i}" for i in range(len(given))])
+    source = {c: f"_in{i}" for i, c in enumerate(given)}
+    values = [
+        (col(source[c]).cast("string") if is_text[i] else finite(source[c])).alias(_value(i)) for i, c in enumerate(qi)
+    ]
     rows = stage(df.select("*", *values, F.lit("").alias("path")))
     root = rows.agg(*_stats(d)).toArrow()
     top = root.to_pylist()[0]
@@ -279,7 +290,7 @@ def mondrian_sweep(
     open_rows = F.col(class_column(kmin)).isNull()
     finished = _finish_locally(rows.filter(open_rows), ks, is_text, ranges, rule, seed)
     closed = rows.filter(~open_rows)
-    return closed.unionByName(finished).select(*[col(c) for c in df.columns], *names)
+    return closed.unionByName(finished).select(*[col(source[c]).alias(c) for c in given], *names)
 
 
 def mondrian(df: DataFrame, qi: Sequence[str], k: int, **options: object) -> DataFrame:
@@ -289,7 +300,7 @@ def mondrian(df: DataFrame, qi: Sequence[str], k: int, **options: object) -> Dat
 
 def class_means(df: DataFrame, cols: Sequence[str], pid: str = "pid") -> DataFrame:
     return df.groupBy(pid).agg(
-        *[F.avg(F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))).alias(f"_m{i}") for i, c in enumerate(cols)],
+        *[F.avg(finite(c)).alias(f"_m{i}") for i, c in enumerate(cols)],
         F.count(F.lit(1)).alias("_n"),
     )
 

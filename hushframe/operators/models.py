@@ -25,7 +25,7 @@ def task_of(model: str) -> str:
         return "classification"
     if model in REGRESSORS:
         return "regression"
-    raise ValueError(f"Unknown model type: {model}")
+    raise ValueError(f"no model is called {model}")
 
 
 def _ml_scorer(fitted) -> Scorer:

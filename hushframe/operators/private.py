@@ -43,7 +43,11 @@ def _check_epsilon(epsilon: float) -> None:
 
 
 def scaled_rows(df: DataFrame, x: Column, data_norm: float) -> DataFrame:
-    """Add ``_x``: the row clipped to L2 norm ``data_norm``, intercept appended, norm <= 1."""
+    """Add ``_x``: the row clipped to L2 norm ``data_norm``, intercept appended, norm <= 1.
+
+    A missing or non-finite entry counts as 0.
+    """
+    x = F.transform(x, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v).otherwise(F.lit(0.0)))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
     shrink = F.lit(1.0) / F.greatest(norm, F.lit(float(data_norm))) / F.lit(math.sqrt(2.0))
     return df.withColumn("_x", F.concat(F.transform(x, lambda v: v * shrink), F.array(F.lit(1.0 / math.sqrt(2.0)))))
@@ -70,10 +74,11 @@ def objective_noise(epsilon: float, n: int, width: int, seed: str | int) -> tupl
 def logistic_newton(df: DataFrame, n: int, width: int, ridge: float, noise: np.ndarray, steps: int, tol: float) -> np.ndarray:
     """Minimise the perturbed logistic objective; gradient and Hessian are one job per step.
 
-    ``df`` has ``_x`` (norm <= 1) and ``_y`` in {-1, 1}.
+    ``df`` has ``_x`` (norm <= 1) and ``_y`` in {-1, 1}.  With ``tol`` > 0 the gradient must
+    reach it within ``steps``, else the fit raises: its guarantee holds at the minimum only.
     """
     w = np.zeros(width)
-    for _ in range(steps):
+    for step in range(steps + (tol > 0)):
         dot = F.aggregate(
             F.zip_with("_x", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v
         )
@@ -82,9 +87,18 @@ def logistic_newton(df: DataFrame, n: int, width: int, ridge: float, noise: np.n
         rows = rows.select("_x", (F.col("_p") * (1 - F.col("_p"))).alias("_w"), (-F.col("_y") * F.col("_p")).alias("_r"))
         h, g = weighted_moments(rows, width)
         grad = g / n + ridge * w + noise / n
-        if tol > 0 and np.linalg.norm(grad) <= tol:
+        size = np.linalg.norm(grad)
+        if tol > 0 and size <= tol:
             break
-        w = w - np.linalg.solve(h / n + ridge * np.eye(width), grad)
+        if step == steps:
+            raise RuntimeError(f"the private fit has gradient {size:.3g} after {steps} steps, {tol:.3g} was asked for")
+        if step and size > last:
+            # the step went too far: half of it is tried from where it started
+            move = move / 2
+            w = before - move
+            continue
+        before, last, move = w, size, np.linalg.solve(h / n + ridge * np.eye(width), grad)
+        w = before - move
     return w
 
 
@@ -92,7 +106,7 @@ def dp_logistic(
     train: DataFrame, x: Column, width: int, label: str, epsilon: float, data_norm: float, n: int | None = None,
     seed: str | int | None = None, steps: int = 50, tol: float = 1e-9,
 ) -> tuple[list[float], float]:
-    """Weights and intercept on the original scale.  The guarantee assumes convergence to ``tol``.
+    """Weights and intercept on the original scale.  ``n``, the number of rows, is public.
 
     Rows longer than ``data_norm`` are clipped for the fit; scoring uses them as they are.
     """
@@ -301,14 +315,20 @@ def dp_fit(
     model: str, train: DataFrame, epsilon: float, data_norm: float, width: int, keys: Sequence[str] = (),
     label: str = "label", features: str = "features", classes: Sequence[int] = (0, 1),
     y_bounds: tuple[float, float] | None = None, seed: str | int | None = None, depth: int = 10, trees: int = 50,
+    n: int | None = None,
 ) -> Scorer:
-    """Private lr, lin_reg, nb, dt or rf on a feature vector column of ``width`` entries."""
+    """Private lr, lin_reg, nb, dt or rf on a feature vector column of ``width`` entries.
+
+    ``n`` is the public number of training rows, which logistic regression needs.
+    """
     _check_epsilon(epsilon)
     seed = _secret(seed)
     x = vector_to_array(F.col(features))
     if model == "lr":
+        if n is None:
+            raise ValueError("the public number of rows is required for a private logistic regression")
         rows = train.select(x.alias("_v"), label)
-        w, b = dp_logistic(rows, F.col("_v"), width, label, epsilon, data_norm, seed=seed)
+        w, b = dp_logistic(rows, F.col("_v"), width, label, epsilon, data_norm, n=n, seed=seed)
         return linear_scorer(w, b, "classification", features)
     if model == "lin_reg":
         if y_bounds is None:
@@ -334,4 +354,4 @@ def dp_fit(
         for r in dp_leaf_counts(leaves, label, count, depth, classes, epsilon, seed).collect():
             weights[r["tree"], r["leaf"], place[r["label"]]] = r["weight"]
         return _forest_scorer(structure, weights, classes, depth, x)
-    raise ValueError(f"Unknown DP model type: {model}")
+    raise ValueError(f"no private fit is called {model}")

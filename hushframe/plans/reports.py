@@ -15,6 +15,8 @@ from hushframe.operators.joins import join_best, overhead_factor
 # Column prefixes of a wide result row and their report labels.
 METHODS = {"Baseline": "Baseline", "DP": "DP", "DP_PHE": "DP-PHE", "FHE": "DP-FHE", "FHE_DP": "DP-FHE-W"}
 CURVE_METHODS = {"DP": "DP", "DP_PHE": "DP-PHE", "FHE": "FHE", "FHE_DP": "DP-FHE"}
+# Techniques of this library's own sweeps, named alike in long rows and in wide columns.
+OWN_METHODS = {"Quantized": "Quantized", "Quantized_DP": "Quantized_DP"}
 UTILITY_METRICS = ("F1", "R2", "AUC")
 COST_METRICS = ("TrainTime", "InfTime", "CompileTime")
 COMPILED = ("FHE", "FHE_DP")
@@ -23,7 +25,8 @@ IDS = ("Dataset", "Model", "Task_Type")
 
 def parse_metric_names(columns: Sequence[str], metrics: Sequence[str], kanon: bool = False) -> list[tuple[str, str, str, str, str]]:
     """(column, method, metric, epsilon, norm) of each column that is a known metric."""
-    prefixes = "|".join(sorted(METHODS, key=len, reverse=True))
+    labels = METHODS | OWN_METHODS
+    prefixes = "|".join(sorted(labels, key=len, reverse=True))
     shape = re.compile(rf"({prefixes})_({'|'.join(metrics)})(?:_Eps([0-9.]+)_Norm([0-9.]+))?")
     anon = re.compile(rf"KAnon_({'|'.join(metrics)})_K([0-9]+)")
     out = []
@@ -31,9 +34,10 @@ def parse_metric_names(columns: Sequence[str], metrics: Sequence[str], kanon: bo
         m = shape.fullmatch(c)
         if m:
             prefix, metric, eps, norm = m.groups()
-            if (prefix == "Baseline") != (eps is None) or (metric == "CompileTime" and prefix not in COMPILED):
+            bare = prefix in ("Baseline", "Quantized")
+            if bare != (eps is None) or (metric == "CompileTime" and prefix not in COMPILED):
                 continue
-            out.append((c, METHODS[prefix], metric, eps or "None", norm or "None"))
+            out.append((c, labels[prefix], metric, eps or "None", norm or "None"))
         elif kanon and (m := anon.fullmatch(c)):
             out.append((c, "KAnon", m[1], f"K={m[2]}", "None"))
     return out
@@ -98,7 +102,7 @@ def cost_report(long: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def tradeoff_curve(wide: DataFrame, epsilons: Sequence[str], norm: float = 1.0, ids: Sequence[str] = ("Dataset", "Model")) -> DataFrame:
     """F1 per method and epsilon at one norm beside the baseline; gaps stay null."""
-    shown = "1.0" if norm == 1.0 else str(int(norm))
+    shown = "1.0" if norm == 1.0 else f"{norm:g}"
 
     def f1(name: str):
         return F.max(try_number(name)) if name in wide.columns else F.max(F.lit(None).cast("double"))
@@ -117,13 +121,36 @@ def tradeoff_curve(wide: DataFrame, epsilons: Sequence[str], norm: float = 1.0,
 
 
 def pivot_export(long: DataFrame, names: Sequence[str] | None = None, ids: Sequence[str] = IDS) -> DataFrame:
-    """Long results back to one wide row: a column per method, metric and parameters."""
+    """Long results back to one wide row: a column per method, metric and parameters.
+
+    Two different values for one cell are an error, never a choice.
+    """
     eps, norm = F.col("Epsilon").cast("double"), F.col("Data_Norm").cast("double")
-    named = long.withColumn("_name", metric_name("Method", "Metric", eps, norm))
-    return named.groupBy(*ids).pivot("_name", list(names) if names else None).agg(F.first("Value"))
+    k = F.col("K").cast("int") if "K" in long.columns else None
+    named = long.withColumn("_name", metric_name("Method", "Metric", eps, norm, k))
+    twice = F.concat(F.lit("two values for one cell of "), F.max("_name"))
+    cell = F.when(F.min("Value") == F.max("Value"), F.min("Value")).when(F.count("Value") > 0, F.raise_error(twice).cast("double"))
+    return named.groupBy(*ids).pivot("_name", list(names) if names else None).agg(cell)
+
+
+def utility_of(long: DataFrame) -> DataFrame:
+    """Result rows of a sweep as the rows of ``unpivot_utility``."""
+    shown = lambda c: F.coalesce(c, F.lit("None"))
+    eps = F.coalesce(F.concat(F.lit("K="), F.col("K").cast("string")), F.col("Epsilon").cast("string"))
+    return long.filter(F.col("Metric").isin(*UTILITY_METRICS) & F.col("Value").isNotNull() & ~F.isnan("Value")).select(
+        *IDS, "Method", F.col("Metric").alias("Metric_Type"), F.col("Value").alias("Score"), shown(eps).alias("Epsilon"),
+        shown(format_norm("Data_Norm")).alias("Data_Norm"),
+    )
+
+
+def cost_of(long: DataFrame) -> DataFrame:
+    """Timings of a sweep as the rows of ``unpivot_cost``."""
+    return long.filter(F.col("Metric").isin(*COST_METRICS) & (F.col("Value") > 0)).select(
+        *IDS, "Method", "Metric", F.col("Value").alias("Seconds")
+    )
 
 
 __all__ = [
     "best_tradeoff_cls", "best_tradeoff_reg", "cost_report", "format_norm", "parse_metric_names", "pivot_export",
-    "tradeoff_curve", "unpivot_cost", "unpivot_metrics", "unpivot_utility",
+    "cost_of", "tradeoff_curve", "unpivot_cost", "unpivot_metrics", "unpivot_utility", "utility_of",
 ]

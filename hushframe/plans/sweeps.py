@@ -1,19 +1,21 @@
 """Experiments over a prepared dataset: evaluation, privacy, k-anonymity, re-identification and membership sweeps.
 
-The driver walks the grid of parameters; rows stay distributed.  Predictions
-of all points are kept long and measured by one grouped job per metric.
+The driver walks the grid of parameters; rows stay distributed.  A point's
+predictions are written once inside its own error boundary, so a technique that fails
+while fitting or while scoring costs nothing but itself, and its result can be saved
+before the next point starts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.operators import encrypted, membership, metrics, models, private
+from hushframe.operators import membership, metrics, models, private, quantized
 from hushframe.operators.aggregates import DATA_NORMS, EPSILONS, K_VALUES, MODELS, REGRESSION_NAMES, tag_union, untag
 from hushframe.operators.anonymize import class_column, generalize_mean, generalize_mode, mondrian_sweep
 from hushframe.operators.features import fit_features
@@ -24,8 +26,8 @@ from hushframe.session import cut_lineage, stage
 from hushframe.sources.results import KEYS, LONG_SCHEMA, append_results, finished_results
 
 LINEAR = ("lr", "lin_reg")
-# Size of the quantized trees and the row limit of encrypted scoring is none.
-QUANTIZED = {"depth": 5, "trees": 10, "bins": 256}
+# The techniques, named as the reports know them.
+BASELINE, DP, QUANTIZED, QUANTIZED_DP, KANON = "Baseline", "DP", "Quantized", "Quantized_DP", "KAnon"
 
 
 @dataclass
@@ -40,6 +42,8 @@ class Prepared:
     width: int
     classes: list[int]
     y_bounds: tuple[float, float] | None = None
+    # the number of training rows, taken as public
+    rows: int | None = None
 
 
 def split_rows(df: DataFrame, keys: Sequence[str], target: str, task: str, seed: str | int = 42) -> DataFrame:
@@ -61,7 +65,8 @@ def prepare(
     made = lambda part: stage(
         fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")
     )
-    return Prepared(name, task, made(train), made(test), keys, len(fs.names), list(classes), y_bounds)
+    ready = made(train)
+    return Prepared(name, task, ready, made(test), keys, len(fs.names), list(classes), y_bounds, ready.count())
 
 
 def model_names(task: str, keys: Sequence[str] = MODELS) -> list[str]:
@@ -122,43 +127,33 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 # --- one technique at one grid point ------------------------------------------------
 
 
-def score_point(p: Prepared, model: str, method: str, epsilon: float | None, data_norm: float | None, seed: str | int | None, bits: int) -> tuple[models.Scorer, DataFrame]:
+def score_point(p: Prepared, model: str, method: str, epsilon: float | None, data_norm: float | None, seed: str | int | None) -> tuple[models.Scorer, DataFrame]:
     """Fit one technique on the training rows; returns its scorer and the scored test rows.
 
-    ``phe`` scores a private linear fit on encrypted features, ``fhe`` an 8-bit
-    quantized plain fit, ``fhe_dp`` perturbs the weights before quantizing.
+    ``Quantized`` scores a plain linear fit in 8-bit integers, ``Quantized_DP`` perturbs
+    its weights first.
     """
-    if method == "baseline":
+    if method == BASELINE:
         scorer = models.fit(model, p.train)
         return scorer, scorer(p.test)
-    if method == "dp":
+    if method == DP:
         scorer = private.dp_fit(
-            model, p.train, epsilon, data_norm, p.width, p.keys, classes=p.classes, y_bounds=p.y_bounds, seed=seed
+            model, p.train, epsilon, data_norm, p.width, p.keys, classes=p.classes, y_bounds=p.y_bounds, seed=seed, n=p.rows
         )
         return scorer, scorer(p.test)
-    if method == "fhe" and model not in LINEAR:
-        scorer = models.fit(model, p.train, balanced=False, **QUANTIZED)
-        return scorer, scorer(p.test)
+    if method not in (QUANTIZED, QUANTIZED_DP):
+        raise ValueError(f"no technique is called {method}")
     if model not in LINEAR:
         raise ValueError(f"{method} is only supported for linear and logistic models")
-    if method == "phe":
-        clear = private.dp_fit(model, p.train, epsilon, data_norm, p.width, p.keys, classes=p.classes, y_bounds=p.y_bounds, seed=seed)
-        w, b = models.linear_coefficients(clear)
-        x = [F.col("_v")[i].alias(f"x{i}") for i in range(p.width)]
-        rows = p.test.select(*p.keys, "label", vector_to_array("features").alias("_v")).select(*p.keys, "label", *x)
-        scored = encrypted.paillier_score(rows, [f"x{i}" for i in range(p.width)], w, b, [*p.keys, "label"], bits)
-        return clear, _decided(scored, p.task)
     fitted = models.fit(model, p.train, balanced=False)
     w, b = models.linear_coefficients(fitted)
-    if method == "fhe_dp":
+    if method == QUANTIZED_DP:
         *w, b = private.perturb_values([*w, b], epsilon, data_norm, seed)
-    elif method != "fhe":
-        raise ValueError(f"Unknown method: {method}")
     inputs = [F.col("_v")[i] for i in range(p.width)]
-    steps = encrypted.calibrate(p.train.select(*p.keys, vector_to_array("features").alias("_v")), inputs, p.keys)
+    steps = quantized.calibrate(p.train.select(vector_to_array("features").alias("_v")), inputs)
 
     def scorer(df: DataFrame) -> DataFrame:
-        s = encrypted.quantized_linear_score(inputs, w, b, steps)
+        s = quantized.quantized_linear_score(inputs, w, b, steps)
         return _decided(df.withColumn("_v", vector_to_array("features")).withColumn("score", s).drop("_v"), p.task)
 
     return scorer, scorer(p.test)
@@ -176,58 +171,73 @@ def grid_points(task: str, epsilons: Sequence[float], norms: Sequence[float], ke
     """(model, method, epsilon, norm): methods without parameters appear once per model."""
     out = []
     for model in model_names(task, keys):
+        linear = task == "classification" or model == "lin_reg"
         for method in methods:
-            if method == "baseline":
+            if method == BASELINE or (method == QUANTIZED and model in LINEAR and linear):
                 out.append((model, method, None, None))
-            elif method == "fhe":
-                if task == "classification" or model == "lin_reg":
-                    out.append((model, method, None, None))
-            elif (task == "classification" or model == "lin_reg") and (method == "dp" or model in LINEAR):
+            elif method in (DP, QUANTIZED_DP) and linear and (method == DP or model in LINEAR):
                 out += [(model, method, float(e), float(n)) for e in epsilons for n in norms]
     return out
 
 
+def run_point(p: Prepared, point: tuple, seed: str | int | None, timings: bool) -> DataFrame:
+    """Result rows of one grid point; an error while fitting, scoring or measuring becomes a row."""
+    model, method, eps, norm = point
+    try:
+        start = metrics.clock()
+        _, scored = score_point(p, model, method, eps, norm, seed)
+        fitted = metrics.clock()
+        # the write is the scoring pass; every metric reads it
+        kept = stage(predictions(scored, p, model, method, eps, norm))
+        ended = metrics.clock()
+        rows = cut_lineage(measure(kept, p.task))
+        if not timings:
+            return rows
+        cells = [(model, method, eps, norm, None, m, v, None) for m, v in (("TrainTime", fitted - start), ("InfTime", ended - fitted))]
+        return rows.unionByName(_long_rows(p, cells))
+    except Exception as e:  # noqa: BLE001 - isolated per technique, recorded in the result
+        return _long_rows(p, [(model, method, eps, norm, None, "Failed", None, f"{type(e).__name__}: {e}")])
+
+
 def privacy_sweep(
     p: Prepared, epsilons: Sequence[float] = EPSILONS, norms: Sequence[float] = DATA_NORMS, keys: Sequence[str] = MODELS,
-    methods: Sequence[str] = ("baseline", "dp", "phe", "fhe", "fhe_dp"), done: DataFrame | None = None,
-    seed: str | int | None = None, bits: int = 2048, timings: bool = True,
+    methods: Sequence[str] = (BASELINE, DP, QUANTIZED, QUANTIZED_DP), done: DataFrame | None = None,
+    seed: str | int | None = None, timings: bool = True, save: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Long results of every grid point that is not in ``done``.
 
     A technique that fails leaves a row with its error instead of ending the sweep.
-    With ``timings`` each fit and each scoring pass is measured in seconds.
+    With ``timings`` each fit and each scoring pass is measured in seconds; ``save`` gets
+    the rows of each point as soon as it has ended.
     """
     points = grid_points(p.task, epsilons, norms, keys, methods)
     spark = p.train.sparkSession
     if done is not None:
         grid = spark.createDataFrame(points, "Model string, Method string, Epsilon double, Data_Norm double")
         left = pending_grid(grid.withColumn("Dataset", F.lit(p.name)), done, ["Dataset", "Model", "Method", "Epsilon", "Data_Norm"])
-        points = [(r["Model"], r["Method"], r["Epsilon"], r["Data_Norm"]) for r in left.collect()]
-    preds, cells = [], []
-    for model, method, eps, norm in points:
-        try:
-            (_, scored), fit_seconds = metrics.timed(lambda: score_point(p, model, method, eps, norm, seed, bits))
-            preds.append(predictions(scored, p, model, method, eps, norm))
-            if timings:
-                _, score_seconds = metrics.timed(lambda: preds[-1])
-                cells += [(model, method, eps, norm, None, "TrainTime", fit_seconds, None),
-                          (model, method, eps, norm, None, "InfTime", score_seconds, None)]
-        except Exception as e:  # noqa: BLE001 - isolated per technique, recorded in the result
-            cells.append((model, method, eps, norm, None, "Failed", None, f"{type(e).__name__}: {e}"[:500]))
-    parts = [measure(union_all(preds), p.task)] if preds else []
-    if cells:
-        parts.append(_long_rows(p, cells))
+        open_points = {(r["Model"], r["Method"], r["Epsilon"], r["Data_Norm"]) for r in left.collect()}
+        points = [x for x in points if x in open_points]
+    parts = []
+    for point in points:
+        rows = run_point(p, point, seed, timings)
+        if save is not None:
+            save(rows)
+        parts.append(rows)
     return union_all(parts) if parts else spark.createDataFrame([], LONG_SCHEMA)
 
 
 def resume_sweep(p: Prepared, path: str, **options: object) -> DataFrame:
-    """Run what ``path`` does not hold yet, append it, return everything."""
+    """Run what ``path`` does not hold yet, append each point as it ends, return everything.
+
+    A point is done when it has a metric; one that only failed is tried again.
+    """
     spark = p.train.sparkSession
-    done = finished_results(spark, path).select(*KEYS[:5]).distinct()
-    new = cut_lineage(privacy_sweep(p, done=done, **options))
-    if not new.isEmpty():
-        append_results(new, path)
-    return finished_results(spark, path)
+    held = cut_lineage(finished_results(spark, path).filter(F.col("Error").isNull()).select(*KEYS[:5]).distinct())
+    privacy_sweep(p, done=held, save=lambda rows: append_results(rows, path), **options)
+    rows = finished_results(spark, path)
+    # an earlier failure of a point that has succeeded since is history
+    solved = rows.filter(F.col("Error").isNull()).select(*KEYS[:5]).distinct()
+    return rows.filter(F.col("Error").isNull()).unionByName(pending_grid(rows.filter(F.col("Error").isNotNull()), solved, KEYS[:5]).select(rows.columns))
 
 
 # --- k-anonymity ----------------------------------------------------------------------
@@ -235,7 +245,7 @@ def resume_sweep(p: Prepared, path: str, **options: object) -> DataFrame:
 
 def kanon_utility(
     train: DataFrame, test: DataFrame, name: str, keys: Sequence[str], target: str, task: str, ks: Sequence[int] = K_VALUES,
-    model_keys: Sequence[str] = MODELS, rule: str = "random", seed: str | int = 42, **options: object,
+    model_keys: Sequence[str] = MODELS, rule: str = "random", seed: str | int = 42, classes: Sequence[int] = (0, 1), **options: object,
 ) -> DataFrame:
     """Anonymize train and test together at every k, refit the preparation, train and measure."""
     from hushframe.operators.clean import feature_roles
@@ -257,10 +267,10 @@ def kanon_utility(
         part_train, part_test = untag(rows)
         fs = fit_features(part_train, target, skip=keys)
         made = lambda part: fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")  # noqa: B023,E731
-        ready = Prepared(name, task, stage(made(part_train)), made(part_test), list(keys), len(fs.names), [0, 1])
+        ready = Prepared(name, task, stage(made(part_train)), stage(made(part_test)), list(keys), len(fs.names), list(classes))
         for model in model_names(task, model_keys):
             scored = models.fit(model, ready.train)(ready.test)
-            preds.append(predictions(scored, ready, model, "kanon", k=k))
+            preds.append(stage(predictions(scored, ready, model, KANON, k=k)))
     return measure(union_all(preds), task)
 
 
@@ -269,7 +279,7 @@ def kanon_utility(
 
 def reid_report(
     df: DataFrame, key: Sequence[str], qi: Sequence[str], extra: Sequence[str], target: str, task: str, ks: Sequence[int],
-    targets: int | None = 3000, seed: str | int = 42, utility: bool = True, trees: int = 100, depth: int = 30, **options: object,
+    targets: int | None = None, seed: str | int = 42, utility: bool = True, trees: int = 100, depth: int = 30, **options: object,
 ) -> DataFrame:
     """Risk per k of the published table, beside what its quasi-identifiers are still worth to a forest.
 
@@ -326,23 +336,30 @@ def reid_report(
 def mia_sweep(
     p: Prepared, epsilons: Sequence[float] = EPSILONS, norms: Sequence[float] = DATA_NORMS, keys: Sequence[str] = MODELS,
     done: Sequence[str] = (), seed: str | int | None = None, attack_trees: int = membership.ATTACK_TREES,
+    save: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Attack accuracy: plain and private fits of every model, weight-perturbed logistic regression."""
+    """Attack accuracy: plain and private fits of every model, weight-perturbed logistic regression.
+
+    ``save`` gets each point's row as soon as it has ended.
+    """
     schema = "Dataset string, Model string, Strategy string, Epsilon double, Data_Norm double, MI_AttackAccuracy double, Error string"
     spark = p.train.sparkSession
     if p.task != "classification" or p.name in set(done):
         return spark.createDataFrame([], schema)
-    points = [(m, "Baseline", "baseline", None, None) for m in keys]
-    points += [(m, "DP", "dp", float(e), float(n)) for m in keys for n in norms for e in epsilons]
-    points += [(m, "ConcreteW", "fhe_dp", float(e), float(n)) for m in keys if m == "lr" for n in norms for e in epsilons]
+    points = [(m, BASELINE, None, None) for m in keys]
+    points += [(m, DP, float(e), float(n)) for m in keys for n in norms for e in epsilons]
+    points += [(m, QUANTIZED_DP, float(e), float(n)) for m in keys if m == "lr" for n in norms for e in epsilons]
     rows = []
-    for model, strategy, method, eps, norm in points:
+    for model, method, eps, norm in points:
         try:
-            scorer, _ = score_point(p, model, method, eps, norm, seed, 2048)
+            scorer, _ = score_point(p, model, method, eps, norm, seed)
             table = membership.attack_split(membership.attack_table(scorer, p.train, p.test, p.keys), p.keys)
             inferred = membership.forest_attack(stage(table), p.classes, trees=attack_trees)
             acc = membership.attack_accuracy(inferred, p.keys).first()[0]
-            rows.append((p.name, model, strategy, eps, norm, acc, None))
+            row = (p.name, model, method, eps, norm, acc, None)
         except Exception as e:  # noqa: BLE001 - isolated per technique, recorded in the result
-            rows.append((p.name, model, strategy, eps, norm, None, f"{type(e).__name__}: {e}"[:500]))
+            row = (p.name, model, method, eps, norm, None, f"{type(e).__name__}: {e}")
+        rows.append(row)
+        if save is not None:
+            save(spark.createDataFrame([row], schema))
     return spark.createDataFrame(rows, schema)

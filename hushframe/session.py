@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +31,26 @@ def get_spark(app: str = "hushframe", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: the cluster's own, or a fresh one on local masters."""
+    """The shared folder for lineage cuts that the session names; there is no fallback."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: name a folder all executors can reach"
-            )
-        shared = tempfile.mkdtemp(prefix="hushframe-checkpoint-")
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder all executors can reach")
     sc.setCheckpointDir(shared)
     return shared
 
 
+def local_checkpoint_dir(spark: SparkSession, folder: str) -> None:
+    """Sets ``folder`` for a session on one machine that names none, as tests and benches do."""
+    sc = spark.sparkContext
+    unset = sc.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None
+    if unset and re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        sc.setCheckpointDir(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and forget its plan.
 

@@ -175,7 +175,7 @@ def read_table(spark: SparkSession, spec: DatasetSpec, path: str) -> DataFrame:
 def load(spark: SparkSession, name: str, root: str) -> tuple[DataFrame, DatasetSpec]:
     """Cleaned rows with a known target."""
     if name not in SPECS:
-        raise ValueError(f"Dataset {name} not found.")
+        raise ValueError(f"no dataset is registered as {name}")
     spec = SPECS[name]
     rows = spec.clean(read_table(spark, spec, f"{root}/{spec.path}"))
     return clean.drop_null_target(rows, spec.target), spec

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +56,13 @@ def append_results(df: DataFrame, path: str) -> None:
 
 def finished_results(spark: SparkSession, path: str) -> DataFrame:
     """Rows written so far, none before the first append."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return spark.createDataFrame([], LONG_SCHEMA)
-    return spark.read.parquet(path).withColumn("Dataset", F.col("Dataset").cast("string"))
+    return rows.withColumn("Dataset", F.col("Dataset").cast("string"))
 
 
 def write_report(df: DataFrame, folder: str, by: Sequence[str] = ("Task_Type", "Dataset")) -> None:

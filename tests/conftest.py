@@ -5,17 +5,18 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from hushframe.session import get_spark  # noqa: E402
+from hushframe.session import get_spark, local_checkpoint_dir  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_spark(
         "tests", spark__master="local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
     )
+    local_checkpoint_dir(session, str(tmp_path_factory.mktemp("checkpoint")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -126,3 +126,22 @@ def test_missing_extra_attribute_matches_nobody(spark):
     assert got == {1: 1.0, 2: 0.5, 3: 0.5}
     s = risk.risk_summary(df, {2: "pid"}, ["e"]).first()
     assert np.isclose(s["mean_enhanced"], (1 + 0.5 + 0.5) / 3) and s["pct_enhanced"] == 100.0
+
+
+def test_non_finite_values_do_not_depend_on_the_path(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, odd[i % 4] if i % 5 == 0 else float(i * 37 % 101), float(i * i % 53)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    found = []
+    for local in (8, 100, 10**6):
+        out = A.mondrian(df, ["a", "b"], 5, local_rows=local)
+        found.append({r["id"]: r["pid"] for r in out.collect()})
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 5
+
+
+def test_any_column_names(spark):
+    df = spark.range(200).selectExpr("id as n", "cast(id % 7 as double) as path", "id as axis", "id as cut", "id as bit", "cast(id as double) as _q0", "id as v")
+    out = A.mondrian(df, ["path", "_q0"], 10, local_rows=30)
+    assert out.columns == [*df.columns, "pid"] and out.count() == 200
+    sizes = [r["count"] for r in out.groupBy("pid").count().collect()]
+    assert min(sizes) >= 10 and len(sizes) > 4

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from hushframe.operators import encrypted, membership, models, moments, private
+from hushframe.operators import quantized, membership, models, moments, private
 from hushframe.operators.smote import nearest_vectors, smote
 
 
@@ -69,7 +69,7 @@ def test_empty_classes_and_leaves_get_noise(spark, line):
 
 @pytest.mark.parametrize("model", ["lr", "nb", "dt", "rf"])
 def test_dp_fit_scores(line, model):
-    scorer = private.dp_fit(model, line, 50.0, 3.0, 2, ["id"], seed=4, depth=8, trees=8)
+    scorer = private.dp_fit(model, line, 50.0, 3.0, 2, ["id"], seed=4, depth=8, trees=8, n=line.count())
     out = scorer(line)
     acc = out.agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
     assert acc > 0.6 and out.filter(F.abs(F.col("prob")[0] + F.col("prob")[1] - 1) > 1e-9).count() == 0
@@ -106,25 +106,36 @@ def test_weight_noise_depends_on_parameters():
         private.perturb_values([1.0], 0.0, 1.0)
 
 
-def test_paillier_equals_clear_score(spark):
-    rng = np.random.default_rng(8)
-    x = rng.normal(scale=40, size=(40, 3)).round(4)
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double").repartition(3)
-    w, b = [0.25, -1.5, 3.0], -2.0
-    got = {r["id"]: r["score"] for r in encrypted.paillier_score(df, ["a", "b", "c"], w, b, ["id"], bits=256).collect()}
-    assert all(abs(got[i] - (x[i] @ w + b)) < 1e-5 for i in range(40))
-    public, private_key = encrypted.paillier_keys(256)
-    sealed = encrypted.encrypt_features(df, ["a", "b", "c"], public, ["id"]).collect()
-    cells = [c for r in sealed for c in r["cipher"]]
-    assert len(set(cells)) == len(cells) == 120 and private_key.n == public.n
-    with pytest.raises(ValueError):
-        encrypted.paillier_score(df, ["a"], w, b, ["id"], bits=256)
+def test_calibration_covers_every_row(spark):
+    rows = spark.createDataFrame([(i, float(i), -1.0) for i in range(500)] + [(500, float("inf"), 7.0), (501, None, float("nan"))], "id int, a double, b double")
+    assert quantized.calibrate(rows, [F.col("a"), F.col("b")]) == [499 / 127, 7 / 127]
+
+
+def test_fit_must_converge(line):
+    x = F.array("a", "b")
+    with pytest.raises(RuntimeError, match="after 1 steps"):
+        private.dp_logistic(line, x, 2, "label", 1.0, 3.0, seed=3, steps=1)
+    w, b = private.dp_logistic(line, x, 2, "label", 1.0, 3.0, seed=3)
+    assert all(np.isfinite([*w, b]))
+
+
+def test_non_finite_features_count_as_zero(spark):
+    plain = [(i, float(i % 5), float(i % 3), i % 2) for i in range(60)]
+    zero = spark.createDataFrame(plain + [(99, 0.0, 1.0, 1)], "id int, a double, b double, label int")
+    odd = spark.createDataFrame(plain + [(99, float("nan"), 1.0, 1)], "id int, a double, b double, label int")
+    fit = lambda df: private.dp_logistic(df, F.array("a", "b"), 2, "label", 2.0, 3.0, seed=3)
+    assert fit(zero) == fit(odd)
+
+
+def test_row_count_is_public(line):
+    with pytest.raises(ValueError, match="public number of rows"):
+        private.dp_fit("lr", line, 1.0, 1.0, 2)
 
 
 def test_quantized_score_is_close(line):
     x = [F.col("a"), F.col("b")]
-    steps = encrypted.calibrate(line, x, ["id"])
-    s = encrypted.quantized_linear_score(x, [2.0, -1.0], 0.5, steps)
+    steps = quantized.calibrate(line, x)
+    s = quantized.quantized_linear_score(x, [2.0, -1.0], 0.5, steps)
     err = line.select(F.abs(s - (2 * F.col("a") - F.col("b") + 0.5)).alias("e")).agg(F.avg("e")).first()[0]
     assert err < 0.1
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from hushframe.operators import clean
 from hushframe.plans import reports, sweeps
 from hushframe.sources import registry, results
+from hushframe.sources.results import LONG_SCHEMA
 
 
 def write(path, lines):
@@ -117,32 +118,67 @@ def ready(spark):
     return sweeps.prepare(df, "toy", ["id"], "y", "classification")
 
 
-def test_sweep_isolates_failures_and_resumes(spark, ready, tmp_path, monkeypatch):
+def test_sweep_isolates_failures_and_tries_again(spark, ready, tmp_path, monkeypatch):
     path = str(tmp_path / "results")
-    options = dict(epsilons=(50.0,), norms=(3.0,), keys=("lr", "nb"), seed=1, bits=128, timings=False)
-    monkeypatch.setattr(sweeps.encrypted, "calibrate", lambda *a, **k: 1 / 0)
-    first = sweeps.resume_sweep(ready, path, methods=("baseline", "phe", "fhe_dp"), **options)
-    failed = first.filter("Metric = 'Failed'").collect()
-    assert [(r["Model"], r["Method"]) for r in failed] == [("lr", "fhe_dp")] and "ZeroDivisionError" in failed[0]["Error"]
+    options = dict(epsilons=(50.0,), norms=(3.0,), keys=("lr", "nb"), seed=1, timings=False, methods=("Baseline", "Quantized", "Quantized_DP"))
+    plain = sweeps.score_point
+
+    def broken(p, model, method, *rest):
+        if method == "Quantized_DP":
+            raise ZeroDivisionError("while fitting")
+        scorer, scored = plain(p, model, method, *rest)
+        if method == "Quantized":
+            # the plan is fine, running it is not
+            scored = scored.withColumn("prediction", F.raise_error(F.lit("while scoring " * 60)).cast("double"))
+        return scorer, scored
+
+    monkeypatch.setattr(sweeps, "score_point", broken)
+    first = sweeps.resume_sweep(ready, path, **options)
+    failed = {r["Method"]: r["Error"] for r in first.filter("Metric = 'Failed'").collect()}
+    assert set(failed) == {"Quantized", "Quantized_DP"} and "ZeroDivisionError" in failed["Quantized_DP"] and failed["Quantized"].count("while scoring") >= 60
     f1 = {(r["Model"], r["Method"]): r["Value"] for r in first.filter("Metric = 'F1'").collect()}
-    assert set(f1) == {("lr", "baseline"), ("nb", "baseline"), ("lr", "phe")} and f1[("lr", "baseline")] > 0.9
-    count = first.count()
-    again = sweeps.resume_sweep(ready, path, methods=("baseline", "phe", "fhe_dp"), **options)
-    assert again.count() == count
+    assert set(f1) == {("lr", "Baseline"), ("nb", "Baseline")} and f1[("lr", "Baseline")] > 0.9
+    monkeypatch.setattr(sweeps, "score_point", plain)
+    again = sweeps.resume_sweep(ready, path, **options)
+    f1 = {(r["Model"], r["Method"]) for r in again.filter("Metric = 'F1'").collect()}
+    assert f1 == {("lr", "Baseline"), ("nb", "Baseline"), ("lr", "Quantized"), ("lr", "Quantized_DP")}
+    assert again.filter("Error is not null").count() == 0
+    count = again.count()
+    assert sweeps.resume_sweep(ready, path, **options).count() == count
 
 
-def test_sweep_timings(ready):
-    out = sweeps.privacy_sweep(ready, methods=("fhe",), keys=("dt",), seed=1)
-    got = {r["Metric"]: r["Value"] for r in out.collect()}
-    assert got["TrainTime"] > 0 and got["InfTime"] > 0 and got["F1"] == got["AUC"] == got["AUC_hard"] == 1.0
+def test_points_are_saved_as_they_end(ready):
+    saved = []
+    sweeps.privacy_sweep(ready, methods=("Baseline",), keys=("nb", "lr"), timings=False, save=lambda rows: saved.append(rows.first()["Model"]))
+    assert saved == ["nb", "lr"]
+
+
+def test_sweep_reaches_the_reports(ready):
+    long = sweeps.privacy_sweep(ready, (0.5, 50.0), (0.25, 3.0), ("lr", "dt"), seed=1)
+    wide = reports.pivot_export(long.filter("Metric in ('F1', 'AUC', 'TrainTime', 'InfTime')"))
+    direct, back = reports.utility_of(long), reports.unpivot_utility(wide)
+    key = lambda df: sorted((r["Model"], r["Method"], r["Metric_Type"], r["Epsilon"], r["Data_Norm"], r["Score"]) for r in df.collect())
+    assert key(direct) == key(back) and len(key(direct)) == 2 * (2 + 8 + 1 + 4)
+    best = {(r["Model"], r["Method"]) for r in reports.best_tradeoff_cls(back).collect()}
+    assert best == {("lr", "Baseline"), ("lr", "DP"), ("lr", "Quantized"), ("lr", "Quantized_DP"), ("dt", "Baseline"), ("dt", "DP")}
+    sizes = ready.train.groupBy(F.lit("toy").alias("Dataset")).agg(F.count("*").alias("Dataset_Rows"))
+    cost = {(r["Model"], r["Method"]): r for r in reports.cost_report(reports.unpivot_cost(wide), sizes).collect()}
+    assert cost["lr", "Baseline"]["Overhead_Factor"] == 1.0 and cost["lr", "DP"]["Overhead_Factor"] != 1.0
+
+
+def test_export_refuses_two_values_for_a_cell(spark):
+    rows = [("d", "m", "classification", "DP", 1.0, n, None, "F1", v, None) for n, v in ((0.5, 0.1), (0.5, 0.2))]
+    with pytest.raises(Exception, match="two values for one cell"):
+        reports.pivot_export(spark.createDataFrame(rows, LONG_SCHEMA)).collect()
 
 
 def test_grid_points():
-    reg = sweeps.grid_points("regression", (1.0,), (1.0, 10.0), ("lr", "nb", "dt", "rf"), ("baseline", "dp", "phe", "fhe", "fhe_dp"))
-    assert [p[:2] for p in reg if p[0] != "lin_reg"] == [("dt_reg", "baseline"), ("rf_reg", "baseline")]
-    assert sum(p[1] == "dp" for p in reg) == 2
-    cls = sweeps.grid_points("classification", (1.0,), (1.0,), ("lr", "rf"), ("dp", "phe", "fhe", "fhe_dp"))
-    assert ("rf", "phe", 1.0, 1.0) not in cls and ("rf", "fhe", None, None) in cls and ("rf", "dp", 1.0, 1.0) in cls
+    every = ("Baseline", "DP", "Quantized", "Quantized_DP")
+    reg = sweeps.grid_points("regression", (1.0,), (1.0, 10.0), ("lr", "nb", "dt", "rf"), every)
+    assert [p[:2] for p in reg if p[0] != "lin_reg"] == [("dt_reg", "Baseline"), ("rf_reg", "Baseline")]
+    assert sum(p[1] == "DP" for p in reg) == 2
+    cls = sweeps.grid_points("classification", (1.0,), (1.0,), ("lr", "rf"), every[1:])
+    assert ("rf", "Quantized", None, None) not in cls and ("lr", "Quantized", None, None) in cls and ("rf", "DP", 1.0, 1.0) in cls
 
 
 def test_kanon_with_text_columns(spark):

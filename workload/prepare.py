@@ -234,7 +234,7 @@ def hash_split(spark, sf):
     SELECT {ITEM_KEYS}, label, rn <= round(0.2e0 * n) AS is_test FROM k""",
 )
 def stratified_split(spark, sf):
-    return splits.stratified_split(item(spark, sf).select(*ITEM_KEY, "label"), ITEM_KEY, "label", 0.2, SEED, buckets=64)
+    return splits.stratified_split(item(spark, sf).select(*ITEM_KEY, "label"), ITEM_KEY, "label", 0.2, SEED)
 
 
 _UE = u_sql(SEED, "event_id")
@@ -263,7 +263,7 @@ def sample_n(spark, sf):
 )
 def balanced_sample(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type")
-    return splits.balanced_sample(e, "event_type", ["event_id"], SEED, buckets=32)
+    return splits.balanced_sample(e, "event_type", ["event_id"], SEED)
 
 
 @query("head_n", "SELECT event_id, value FROM events ORDER BY event_id LIMIT 100")

@@ -132,6 +132,34 @@ def pivot_export(spark, sf):
     return out.select("Dataset", "Model", "Task_Type", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _EXPORT])
 
 
+_CELLS = [("DP", "0.25"), ("DP", "0.5"), ("DP", "10"), ("KAnon", "10"), ("KAnon", "50")]
+_EXPORT_K = [f"DP_F1_Eps1.0_Norm{v}" if m == "DP" else f"KAnon_F1_K{v}" for m, v in _CELLS]
+
+
+@query(
+    "pivot_export_k",
+    f"WITH {ITEM} SELECT l_returnflag AS Dataset, 'm' AS Model, 'classification' AS Task_Type, "
+    + ", ".join(f'round(avg(l_discount) FILTER (WHERE CAST(l_quantity AS BIGINT) % 5 = {i}), 6) AS "{c}"' for i, c in enumerate(_EXPORT_K))
+    + " FROM item GROUP BY 1",
+)
+def pivot_export_k(spark, sf):
+    """Norms below one and every k keep a column of their own."""
+    at = (F.col("l_quantity").cast("bigint") % 5).cast("int")
+    private = F.when(at < 3, F.lit("DP")).otherwise(F.lit("KAnon"))
+    norm, k = F.when(at == 0, 0.25).when(at == 1, 0.5).otherwise(10.0), F.when(at == 3, 10).when(at == 4, 50)
+    long = (
+        table(spark, sf, "lineitem").select(
+            F.col("l_returnflag").alias("Dataset"), F.lit("m").alias("Model"), F.lit("classification").alias("Task_Type"),
+            private.alias("Method"), F.lit("F1").alias("Metric"), F.when(at < 3, F.lit(1.0)).alias("Epsilon"),
+            F.when(at < 3, norm).alias("Data_Norm"), k.alias("K"), "l_discount",
+        )
+        .groupBy("Dataset", "Model", "Task_Type", "Method", "Metric", "Epsilon", "Data_Norm", "K")
+        .agg(F.avg("l_discount").alias("Value"))
+    )
+    out = reports.pivot_export(long)
+    return out.select("Dataset", "Model", "Task_Type", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in _EXPORT_K])
+
+
 # --- re-identification reports: the risk half has SQL, the forest half is library-specific
 
 _REID = (
@@ -192,7 +220,6 @@ _model_query("dt_scores", "dt", "label")
 _model_query("rf_scores", "rf", "label")
 _model_query("dt_reg_scores", "dt_reg", "price")
 _model_query("rf_reg_scores", "rf_reg", "price")
-_model_query("quantized_forest", "rf", "label", balanced=False, **sweeps.QUANTIZED)
 
 
 def _ready(spark, sf, task: str = "classification"):
@@ -207,18 +234,25 @@ def _ready(spark, sf, task: str = "classification"):
 
 @query("baseline_eval")
 def baseline_eval(spark, sf):
-    return sweeps.privacy_sweep(_ready(spark, sf), methods=("baseline",), keys=("lr", "nb"), seed=SEED)
+    return sweeps.privacy_sweep(_ready(spark, sf), methods=(sweeps.BASELINE,), seed=SEED)
 
 
 @query("dp_eval")
 def dp_eval(spark, sf):
-    return sweeps.privacy_sweep(_ready(spark, sf), (1.0,), (10.0,), ("lr", "nb", "dt", "rf"), ("dp",), seed=SEED, timings=False)
+    return sweeps.privacy_sweep(_ready(spark, sf), (1.0,), (10.0,), ("lr", "nb", "dt", "rf"), (sweeps.DP,), seed=SEED, timings=False)
 
 
 @query("privacy_sweep")
 def privacy_sweep(spark, sf):
     p = _ready(spark, sf, "regression")
-    return sweeps.privacy_sweep(p, (0.5, 5.0), (1.0,), ("lr",), ("baseline", "dp", "fhe", "fhe_dp"), seed=SEED, timings=False)
+    return sweeps.privacy_sweep(p, (0.5, 5.0), (1.0,), ("lr",), seed=SEED, timings=False)
+
+
+@query("sweep_report")
+def sweep_report(spark, sf):
+    """A sweep's own rows, wide and back, to the best score per technique."""
+    long = sweeps.privacy_sweep(_ready(spark, sf, "regression"), (0.5, 5.0), (1.0, 2.5), ("lr",), seed=SEED, timings=False)
+    return reports.best_tradeoff_reg(reports.unpivot_utility(reports.pivot_export(long.filter("Metric = 'R2'"))))
 
 
 @query("kanon_utility")

@@ -1,7 +1,8 @@
 """Feature preparation: fitted statistics on the driver, applied as expressions.
 
-A fit leaves one number per numeric column and the category list per text
-column; those define the width of every model and are all the driver holds.
+A fit leaves one number per numeric column, short category lists and the width of
+every block on the driver.  Columns with more categories are encoded by a distributed
+code table, so any number of them works.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from hushframe.functions.scalars import col
 from hushframe.operators import ranks
 from hushframe.operators.clean import feature_roles
 from hushframe.operators.joins import attach
-from hushframe.session import cut_lineage
+from hushframe.session import cut_lineage, stage
 
-# A one-hot block this wide cannot be a model input; refuse it rather than drop values.
-MAX_CATEGORIES = 100_000
+# Category lists of at most this many values in all are kept as lists, longer columns as a code table.
+LISTED = 10_000
 
 
 def medians(df: DataFrame, cols: Sequence[str], exact_rows: int = ranks.EXACT_ROWS) -> dict[str, float | None]:
@@ -69,23 +70,28 @@ def standardize(df: DataFrame, cols: Sequence[str], stats: dict[str, tuple[float
     )
 
 
-def category_lists(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column; refuses a column too wide to encode."""
-    if not cols:
-        return {}
+def _category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct values per column with their rows: ``_g`` (the column's place), ``_v``, ``_n``."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
-    distinct = cut_lineage(df.select(cells.alias("c")).select("c.i", "c.v").filter(F.col("v").isNotNull()).distinct())
-    for r in distinct.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_CATEGORIES).collect():
-        raise ValueError(f"column {cols[r['i']]} has {r['n']} categories: encode it with label_encode")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in distinct.collect():
-        out[cols[r["i"]]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
+    found = df.select(cells.alias("c")).select(F.col("c.i").alias("_g"), F.col("c.v").alias("_v")).filter(F.col("_v").isNotNull())
+    return found.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Adds ``_code``, the position of a value among its column's sorted values, by range partitions."""
+    ones = counts.select("_g", "_v", "_n", F.lit(1).alias("_one"))
+    return ranks.running_total(ones, ["_g"], ["_v"], ["_one"]).select(
+        "_g", "_v", "_n", F.col("before__one").cast("bigint").alias("_code")
+    )
 
 
 def one_hot(df: DataFrame, c: str, values: Sequence[str] | None = None, prefix: str | None = None) -> DataFrame:
-    """Wide 0/1 columns ``<prefix>_<value>``; an unseen or missing value is all zeros."""
-    values = category_lists(df, [c])[c] if values is None else values
+    """Wide 0/1 columns ``<prefix>_<value>``; an unseen or missing value is all zeros.
+
+    The values become column names, so they are read by the driver as any schema is.
+    """
+    if values is None:
+        values = sorted(r["_v"] for r in _category_counts(df, [c]).select("_v").collect())
     hit = lambda v: F.coalesce((col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0))
     return df.select("*", *[hit(v).alias(f"{prefix or c}_{v}") for v in values])
 
@@ -97,11 +103,7 @@ def label_encode(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
     works; the numbers come back by a checked lookup join.
     """
     name = name or f"{c}_code"
-    values = df.select(col(c).cast("string").alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = ranks.running_total(
-        values.filter(F.col("_v").isNotNull()).select(F.lit(0).alias("_g"), "_v", "_n", F.lit(1).alias("_one")),
-        ["_g"], ["_v"], ["_one"],
-    ).select("_v", "_n", F.col("before__one").cast("bigint").alias(name))
+    numbered = _numbered(_category_counts(df, [c])).select("_v", "_n", F.col("_code").alias(name))
     return attach(df.withColumn("_v", col(c).cast("string")), numbered, ["_v"], how="left", weight="_n").drop("_v", "_n")
 
 
@@ -130,11 +132,20 @@ class FeatureSet:
     medians: dict[str, float | None] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     modes: dict[str, str | None] = field(default_factory=dict)
+    # per text column: its sorted values, or only their number when a code table has them
     categories: dict[str, list[str]] = field(default_factory=dict)
+    widths: dict[str, int] = field(default_factory=dict)
+    codes: DataFrame | None = None
+
+    @property
+    def width(self) -> int:
+        return len(self.numeric) + sum(self.widths.values())
 
     @property
     def names(self) -> list[str]:
-        return self.numeric + [f"{c}_{v}" for c in self.categorical for v in self.categories[c]]
+        """Names of the vector's entries; a column with a code table names them by their codes."""
+        blocks = [self.categories.get(c) or range(self.widths[c]) for c in self.categorical]
+        return self.numeric + [f"{c}_{v}" for c, block in zip(self.categorical, blocks) for v in block]
 
     def columns(self, df: DataFrame) -> DataFrame:
         """Imputed and scaled numeric columns, imputed text columns."""
@@ -146,12 +157,20 @@ class FeatureSet:
         out = self.columns(df)
         blocks = list(self.numeric)
         for i, c in enumerate(self.categorical):
-            if not self.categories[c]:
+            width = self.widths[c]
+            if not width:
                 continue
-            indexer = StringIndexerModel.from_labels(self.categories[c], c, f"_i{i}", handleInvalid="keep")
-            out = indexer.transform(out)
+            encoder = OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_h{i}", dropLast=True)
             # one slot more for unseen values, and that last slot is the dropped one
-            out = OneHotEncoder(inputCol=f"_i{i}", outputCol=f"_h{i}", dropLast=True).fit(out).transform(out)
+            if c in self.categories:
+                out = StringIndexerModel.from_labels(self.categories[c], c, f"_i{i}", handleInvalid="keep").transform(out)
+                out = encoder.fit(out).transform(out)
+            else:
+                table = self.codes.filter(F.col("_g") == i).select("_v", "_n", "_code")
+                out = attach(out.withColumn("_v", col(c).cast("string")), table, ["_v"], how="left", weight="_n")
+                code = F.coalesce(F.col("_code").cast("double"), F.lit(float(width)))
+                out = out.withColumn(f"_i{i}", code).drop("_v", "_n", "_code")
+                out = encoder.fit(df.sparkSession.createDataFrame([(float(width),)], f"_i{i} double")).transform(out)
             blocks.append(f"_h{i}")
         safe = {c: f"_n{i}" for i, c in enumerate(self.numeric)}
         out = out.select("*", *[col(c).alias(safe[c]) for c in self.numeric])
@@ -168,5 +187,19 @@ def fit_features(train: DataFrame, target: str | None = None, skip: Sequence[str
     fs.modes = modes(train, categorical)
     filled = impute_mode(impute_median(train, numeric, fs.medians), categorical, fs.modes)
     fs.scales = scales(filled, numeric)
-    fs.categories = category_lists(filled, categorical)
+    if categorical:
+        counts = cut_lineage(_category_counts(filled, categorical))
+        widths = {r["_g"]: r["n"] for r in counts.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        fs.widths = {c: widths.get(i, 0) for i, c in enumerate(categorical)}
+        room, short = LISTED, []
+        for i in sorted(range(len(categorical)), key=lambda i: (widths.get(i, 0), i)):
+            room -= widths.get(i, 0)
+            if room >= 0:
+                short.append(i)
+        lists: dict[int, list[str]] = {i: [] for i in short}
+        for r in counts.filter(F.col("_g").isin(short)).select("_g", "_v").collect():
+            lists[r["_g"]].append(r["_v"])
+        fs.categories = {categorical[i]: sorted(v) for i, v in lists.items()}
+        if len(short) < len(categorical):
+            fs.codes = stage(_numbered(counts.filter(~F.col("_g").isin(short))))
     return fs

@@ -66,7 +66,7 @@ def prepare(
         fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")
     )
     ready = made(train)
-    return Prepared(name, task, ready, made(test), keys, len(fs.names), list(classes), y_bounds, ready.count())
+    return Prepared(name, task, ready, made(test), keys, fs.width, list(classes), y_bounds, ready.count())
 
 
 def model_names(task: str, keys: Sequence[str] = MODELS) -> list[str]:
@@ -267,7 +267,7 @@ def kanon_utility(
         part_train, part_test = untag(rows)
         fs = fit_features(part_train, target, skip=keys)
         made = lambda part: fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")  # noqa: B023,E731
-        ready = Prepared(name, task, stage(made(part_train)), stage(made(part_test)), list(keys), len(fs.names), list(classes))
+        ready = Prepared(name, task, stage(made(part_train)), stage(made(part_test)), list(keys), fs.width, list(classes))
         for model in model_names(task, model_keys):
             scored = models.fit(model, ready.train)(ready.test)
             preds.append(stage(predictions(scored, ready, model, KANON, k=k)))

@@ -115,12 +115,13 @@ def class_weights(df: DataFrame, y: str) -> DataFrame:
     return counts.withColumn("weight", F.lit(share) / F.col("n"))
 
 
-def with_class_weights(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
-    """Rows with their balanced class weight; one CASE branch per class."""
-    weight = F.lit(1.0)
-    for r in class_weights(df, y).collect():
-        weight = F.when(col(y) == F.lit(r[y]), F.lit(r["weight"])).otherwise(weight)
-    return df.withColumn(name, weight)
+def with_class_weights(df: DataFrame, y: str, name: str = "weight") -> tuple[DataFrame, int]:
+    """Rows with their balanced class weight, one CASE branch per class, and the number of rows."""
+    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, weight = sum(r["n"] for r in counts), F.lit(1.0)
+    for r in sorted(counts, key=lambda r: (r[y] is not None, r[y])):
+        weight = F.when(col(y) == F.lit(r[y]), F.lit(total / len(counts) / r["n"])).otherwise(weight)
+    return df.withColumn(name, weight), total
 
 
 @dataclass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -57,13 +58,14 @@ def fit(
     common = {"featuresCol": features, "labelCol": label}
     tree = {"maxDepth": depth, "maxBins": bins, "seed": seed}
     weighted = model in ("lr", "dt", "rf") and balanced
-    rows = with_class_weights(train, label) if weighted else train
+    rows, n = train, None
     if weighted:
+        rows, n = with_class_weights(train, label)
         common["weightCol"] = "weight"
     if model == "lr":
         # mean loss with 1/n regularisation is sum loss with C = 1; balanced weights add up to n
         est = LogisticRegression(
-            maxIter=1000, tol=1e-6, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0, standardization=False, **common
+            maxIter=1000, tol=1e-6, regParam=1.0 / max(train.count() if n is None else n, 1), elasticNetParam=0.0, standardization=False, **common
         )
     elif model == "lin_reg":
         est = LinearRegression(regParam=0.0, solver="normal", **common)
@@ -136,16 +138,16 @@ def gnb_scorer(
 
     def score(df: DataFrame) -> DataFrame:
         x = [inputs(i) for i in range(len(means[labels[0]]))]
-        lls = F.array(*[gnb_log_likelihood(x, means[y], variances[y], priors[y]) for y in labels])
-        out = df.withColumn("_ll", lls).withColumn("_top", F.array_max("_ll"))
-        expd = F.transform("_ll", lambda v: F.exp(v - F.col("_top")))
-        out = out.withColumn("_e", expd).withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
-        names = F.array(*[F.lit(float(y)) for y in labels])
-        return (
-            out.withColumn("prob", F.transform("_e", lambda v: v / F.col("_z")))
-            .withColumn("prediction", F.element_at(names, F.array_position("_ll", F.col("_top")).cast("int")))
-            .drop("_ll", "_top", "_e", "_z")
-        )
+        # one plain column per class and step: generated code, each value computed once
+        ll, ex = [f"_l{i}" for i in range(len(labels))], [f"_e{i}" for i in range(len(labels))]
+        out = df.withColumns({c: gnb_log_likelihood(x, means[y], variances[y], priors[y]) for c, y in zip(ll, labels)})
+        out = out.withColumn("_top", F.greatest(*ll) if len(ll) > 1 else F.col(ll[0]))
+        out = out.withColumns({e: F.exp(F.col(c) - F.col("_top")) for e, c in zip(ex, ll)})
+        out = out.withColumn("_z", reduce(lambda a, b: a + b, [F.col(e) for e in ex]))
+        best = F.lit(None).cast("double")
+        for c, y in reversed(list(zip(ll, labels))):
+            best = F.when(F.col(c) == F.col("_top"), F.lit(float(y))).otherwise(best)
+        return out.withColumns({"prob": F.array(*[F.col(e) / F.col("_z") for e in ex]), "prediction": best}).drop(*ll, *ex, "_top", "_z")
 
     return score
 

@@ -375,7 +375,7 @@ _KEYS2 = "CAST(key AS VARCHAR)"
 )
 def smote_query(spark, sf):
     d = docs(spark, sf).select("doc_id", (F.col("n_chars") / 1000.0).alias("a"), F.col("quality").cast("double").alias("b"), "toxic")
-    return rounded(smote(d, ["a", "b"], "toxic", "doc_id", seed=SEED, chunk_rows=16), ["a", "b"])
+    return rounded(smote(d, ["a", "b"], "toxic", "doc_id", seed=SEED), ["a", "b"])
 
 
 # --- unions and picks

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from hushframe.operators.anonymize import class_column, generalize_mean, general
 from hushframe.operators.features import fit_features
 from hushframe.operators.joins import pending_grid
 from hushframe.operators.risk import class_summary, risk_summary
+from hushframe.operators.smote import smote
 from hushframe.operators.splits import hash_split, stratified_split
 from hushframe.session import cut_lineage, stage
 from hushframe.sources.results import KEYS, LONG_SCHEMA, append_results, finished_results
@@ -55,9 +56,12 @@ def split_rows(df: DataFrame, keys: Sequence[str], target: str, task: str, seed:
 
 def prepare(
     df: DataFrame, name: str, keys: Sequence[str], target: str, task: str, y_bounds: tuple[float, float] | None = None,
-    classes: Sequence[int] = (0, 1), seed: str | int = 42,
+    classes: Sequence[int] = (0, 1), seed: str | int = 42, balance: bool = False,
 ) -> Prepared:
-    """Split, fit the preparation on train, and write the prepared rows once for the whole sweep."""
+    """Split, fit the preparation on train, and write the prepared rows once for the whole sweep.
+
+    With ``balance`` the rarer class of the training rows is filled up by SMOTE.
+    """
     keys = list(keys)
     parts = stage(split_rows(df, keys, target, task, seed))
     train, test = (parts.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
@@ -66,9 +70,23 @@ def prepare(
         fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")
     )
     ready = made(train)
+    if balance:
+        ready = stage(ready.unionByName(synthetic_rows(ready, keys, fs.width, seed)))
     return Prepared(name, task, ready, made(test), keys, fs.width, list(classes), y_bounds, ready.count())
 
 
+def synthetic_rows(train: DataFrame, keys: Sequence[str], width: int, seed: str | int) -> DataFrame:
+    """SMOTE rows of prepared training rows; their one text key tells the row they come from and the copy."""
+    if len(keys) != 1 or dict(train.dtypes)[keys[0]] != "string":
+        raise ValueError("synthetic rows need a single text key")
+    x = [f"x{i}" for i in range(width)]
+    rows = train.select(F.xxhash64(*keys).alias("_k"), "label", vector_to_array("features").alias("_v"))
+    rows = rows.select("_k", "label", *[F.col("_v")[i].alias(c) for i, c in enumerate(x)])
+    made = smote(rows, x, "label", "_k", seed=seed)
+    named = F.concat_ws("-", F.lit("smote"), F.col("_k").cast("string"), F.col("copy").cast("string")).alias(keys[0])
+    return made.select(named, F.col("label").cast("double").alias("label"), array_to_vector(F.array(*x)).alias("features"))
+
+
 def model_names(task: str, keys: Sequence[str] = MODELS) -> list[str]:
     if task == "classification":
         return list(keys)

@@ -89,11 +89,16 @@ def spellings(regex, at=0):
 
 def test_gates_hold_for_every_rule():
     """No spelling of a name or text lacks the string that gates it, nor one of the keywords."""
-    gated = [(word, name) for word, names in licenses.NAMES.values() for name in names] + [(w, r) for _, w, r in licenses.TEXTS]
-    gated += [(r.word, r.regex) for r in RULES if r.base]
-    for word, regex in gated:
+    names = [name for names in licenses.NAMES.values() for name in names] + [r for _, r in licenses.TEXTS] + list(licenses.BASE_PHRASES)
+    for regex in names:
+        literal = licenses.longest_literal(regex)
+        assert len(literal) > 2
         for text in spellings(regex)[0]:
-            assert word in f" {text} " and any(k in f" {text} " for k in licenses.KEYWORDS), (word, text)
+            assert literal in f" {text} " and any(k in f" {text} " for k in licenses.KEYWORDS), (literal, text)
+    for context in licenses.CONTEXTS:
+        around = licenses.longest_literal(context.replace("{name}", "(x)"))
+        for text in spellings(context.replace("{name}", "mit license"))[0]:
+            assert around in f" {text} ", (around, text)
 
 
 def test_rules_are_many_and_ordered():

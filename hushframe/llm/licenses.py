@@ -2,7 +2,7 @@
 
 Texts become lower-case words joined by single spaces.  A text without any keyword of
 the rules is done after a few substring searches; in the others a rule is tried only
-where its own required string occurs.  Every match is an interval of words with the
+where the longest literal of its name and of its context occur.  Every match is an interval of words with the
 rule's priority.  A match inside the interval of one of equal or higher priority is
 suppressed (of equal intervals the earlier rule wins), the rest give labels and score.
 
@@ -13,6 +13,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,72 +27,72 @@ from hushframe.session import stage
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# label -> (text every match holds, regexes of the license's name over words); from specific to general
-NAMES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "agpl-3": ("affero", ("gnu affero general public license( version)?( v)? ?3( 0)?", "gnu affero general public license")),
-    "agpl-3-short": ("agpl", ("agpl( v)? ?3?( 0)?( only| or later)?",)),
-    "lgpl-2.1": ("lesser", ("gnu lesser general public license( version)?( v)? ?2 1",)),
-    "lgpl-3": ("lesser", ("gnu lesser general public license( version)?( v)? ?3( 0)?", "gnu lesser general public license")),
-    "lgpl": ("lgpl", ("lgpl( v)? ?(2 1|3|3 0)?( only| or later)?",)),
-    "lgpl-2": ("library", ("gnu library general public license( version 2)?",)),
-    "gpl-2": ("gnu", ("gnu general public license( version)?( v)? ?2( 0)?( or later)?", "gnu gpl( version)?( v)? ?2( 0)?")),
-    "gpl-3": ("gnu", ("gnu general public license( version)?( v)? ?3( 0)?( or later)?", "gnu gpl( version)?( v)? ?3( 0)?")),
-    "gpl": ("gnu", ("gnu general public license", "gnu gpl", "gnu public license")),
-    "gpl-short": ("gpl", ("gpl( version)?( v)? ?(2|2 0|3|3 0)( only| or later)?", "gpl license")),
-    "gfdl": ("documentation", ("gnu free documentation license( version 1 (1|2|3))?",)),
-    "apache-2": ("apache", ("apache license( version)? 2( 0)?", "apache software license( version)? 2( 0)?", "apache( license)? 2( 0)?( license)?")),
-    "apache-1.1": ("apache", ("apache( software)? license( version)? 1 1",)),
-    "apache": ("apache", ("apache( software)? license",)),
-    "mit-0": ("mit ", ("mit no attribution( license)?", "mit 0 license")),
-    "mit": ("mit ", ("mit license", "mit x11 license", "mit open source license", "mit expat license")),
-    "bsd-4-clause": ("bsd", ("bsd 4 clause( original or old)?( license)?", "4 clause bsd license", "original bsd license")),
-    "bsd-3-clause": ("bsd", ("bsd 3 clause( new or revised)?( license)?", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license")),
-    "bsd-2-clause": ("bsd", ("bsd 2 clause( simplified)?( license)?", "2 clause bsd license", "simplified bsd license", "freebsd license")),
-    "bsd-0-clause": ("bsd", ("zero clause bsd( license)?", "0bsd( license)?")),
-    "bsd": ("bsd", ("bsd( style)? license",)),
-    "mpl-1.1": ("mozilla", ("mozilla public license( version)?( v)? ?1 1",)),
-    "mpl-2": ("mozilla", ("mozilla public license( version)?( v)? ?2( 0)?", "mozilla public license")),
-    "mpl": ("mpl", ("mpl( version)?( v)? ?(1 1|2|2 0)",)),
-    "epl-1": ("eclipse", ("eclipse public license( version)?( v)? ?1( 0)?",)),
-    "epl-2": ("eclipse", ("eclipse public license( version)?( v)? ?2( 0)?", "eclipse public license")),
-    "edl-1": ("eclipse", ("eclipse distribution license( version)?( v)? ?1( 0)?",)),
-    "cddl-1": ("common", ("common development and distribution license( version)?( 1 0| 1 1)?",)),
-    "cpl-1": ("common", ("common public license( version)?( 1 0)?",)),
-    "eupl": ("union", ("european union public licen[cs]e( version)?( v)? ?(1 1|1 2)?",)),
-    "isc": ("isc ", ("isc license", "isc style license")),
-    "zlib": ("zlib", ("zlib license", "zlib libpng license")),
-    "bsl-1": ("boost", ("boost software license( version)?( 1 0)?",)),
-    "artistic-2": ("artistic", ("artistic license( version)? 2( 0)?",)),
-    "artistic-1": ("artistic", ("artistic license( version)? 1( 0)?", "artistic license")),
-    "psf-2": ("python", ("python software foundation license( version 2)?",)),
-    "psf-2-short": ("psf", ("psf license( agreement)?",)),
-    "ofl-1.1": ("font", ("sil open font license( version)?( 1 1)?", "open font license")),
-    "unlicense": ("unlicense", ("the unlicense", "unlicense license")),
-    "wtfpl": ("wtfpl", ("wtfpl( version 2)?",)),
-    "cc0-1": ("cc0", ("cc0( 1 0)?( universal)?( public domain dedication)?",)),
-    "cc-by-nc-nd": ("cc by", ("cc by nc nd( \\d 0)?",)),
-    "cc-by-nc-nd-long": ("commons", ("creative commons attribution non ?commercial no ?deriv(ative)?s?( \\d 0)?",)),
-    "cc-by-nc-sa": ("cc by", ("cc by nc sa( \\d 0)?",)),
-    "cc-by-nc": ("cc by", ("cc by nc( \\d 0)?",)),
-    "cc-by-nc-long": ("noncommercial", ("creative commons attribution noncommercial( \\d 0)?( international)?( license)?",)),
-    "cc-by-nd": ("cc by", ("cc by nd( \\d 0)?",)),
-    "cc-by-sa": ("cc by", ("cc by sa( \\d 0)?",)),
-    "cc-by-sa-long": ("commons", ("creative commons attribution share ?alike( \\d 0)?( international)?( license)?",)),
-    "cc-by": ("cc by", ("cc by \\d 0",)),
-    "cc-by-long": ("commons", ("creative commons attribution( \\d 0)?( international)? license",)),
-    "cc": ("commons", ("creative commons license",)),
-    "odbl-1": ("database", ("open database license( version)?( v)? ?(1 0)?",)),
-    "odbl-1-short": ("odbl", ("odbl 1 0",)),
-    "odc-by": ("commons", ("open data commons attribution license",)),
-    "pddl": ("public", ("public domain dedication and license",)),
-    "bigscience-rail": ("rail", ("(bigscience )?open ?rail( m)? license", "creativeml open ?rail m")),
-    "llama": ("llama", ("llama( 2| 3)? community license( agreement)?",)),
-    "sspl-1": ("server", ("server side public license( version)?( v)? ?1?",)),
-    "elastic-2": ("elastic", ("elastic license( version)?( v)? ?2( 0)?",)),
-    "busl-1.1": ("business", ("business source license( version)?( 1 1)?",)),
-    "openssl": ("openssl", ("openssl license",)),
-    "ms-pl": ("microsoft", ("microsoft public license", "microsoft reciprocal license")),
-    "proprietary": ("proprietary", ("proprietary( software)? license", "proprietary and confidential")),
+# label -> regexes of the license's name over words; from specific to general
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl-3": ("gnu affero general public license( version)?( v)? ?3( 0)?", "gnu affero general public license"),
+    "agpl-3-short": ("agpl( v)? ?3?( 0)?( only| or later)?",),
+    "lgpl-2.1": ("gnu lesser general public license( version)?( v)? ?2 1",),
+    "lgpl-3": ("gnu lesser general public license( version)?( v)? ?3( 0)?", "gnu lesser general public license"),
+    "lgpl": ("lgpl( v)? ?(2 1|3|3 0)?( only| or later)?",),
+    "lgpl-2": ("gnu library general public license( version 2)?",),
+    "gpl-2": ("gnu general public license( version)?( v)? ?2( 0)?( or later)?", "gnu gpl( version)?( v)? ?2( 0)?"),
+    "gpl-3": ("gnu general public license( version)?( v)? ?3( 0)?( or later)?", "gnu gpl( version)?( v)? ?3( 0)?"),
+    "gpl": ("gnu general public license", "gnu gpl", "gnu public license"),
+    "gpl-short": ("gpl( version)?( v)? ?(2|2 0|3|3 0)( only| or later)?", "gpl license"),
+    "gfdl": ("gnu free documentation license( version 1 (1|2|3))?",),
+    "apache-2": ("apache license( version)? 2( 0)?", "apache software license( version)? 2( 0)?", "apache( license)? 2( 0)?( license)?"),
+    "apache-1.1": ("apache license( version)? 1 1", "apache software license( version)? 1 1"),
+    "apache": ("apache license", "apache software license"),
+    "mit-0": ("mit no attribution( license)?", "mit 0 license"),
+    "mit": ("mit license", "mit x11 license", "mit open source license", "mit expat license"),
+    "bsd-4-clause": ("bsd 4 clause( original or old)?( license)?", "4 clause bsd license", "original bsd license"),
+    "bsd-3-clause": ("bsd 3 clause( new or revised)?( license)?", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license"),
+    "bsd-2-clause": ("bsd 2 clause( simplified)?( license)?", "2 clause bsd license", "simplified bsd license", "freebsd license"),
+    "bsd-0-clause": ("zero clause bsd( license)?", "0bsd( license)?"),
+    "bsd": ("bsd license", "bsd style license"),
+    "mpl-1.1": ("mozilla public license( version)?( v)? ?1 1",),
+    "mpl-2": ("mozilla public license( version)?( v)? ?2( 0)?", "mozilla public license"),
+    "mpl": ("mpl( version)?( v)? ?(1 1|2|2 0)",),
+    "epl-1": ("eclipse public license( version)?( v)? ?1( 0)?",),
+    "epl-2": ("eclipse public license( version)?( v)? ?2( 0)?", "eclipse public license"),
+    "edl-1": ("eclipse distribution license( version)?( v)? ?1( 0)?",),
+    "cddl-1": ("common development and distribution license( version)?( 1 0| 1 1)?",),
+    "cpl-1": ("common public license( version)?( 1 0)?",),
+    "eupl": ("european union public licen[cs]e( version)?( v)? ?(1 1|1 2)?",),
+    "isc": ("isc license", "isc style license"),
+    "zlib": ("zlib license", "zlib libpng license"),
+    "bsl-1": ("boost software license( version)?( 1 0)?",),
+    "artistic-2": ("artistic license( version)? 2( 0)?",),
+    "artistic-1": ("artistic license( version)? 1( 0)?", "artistic license"),
+    "psf-2": ("python software foundation license( version 2)?",),
+    "psf-2-short": ("psf license( agreement)?",),
+    "ofl-1.1": ("sil open font license( version)?( 1 1)?", "open font license"),
+    "unlicense": ("the unlicense", "unlicense license"),
+    "wtfpl": ("wtfpl( version 2)?",),
+    "cc0-1": ("cc0( 1 0)?( universal)?( public domain dedication)?",),
+    "cc-by-nc-nd": ("cc by nc nd( \\d 0)?",),
+    "cc-by-nc-nd-long": ("creative commons attribution non ?commercial no ?deriv(ative)?s?( \\d 0)?",),
+    "cc-by-nc-sa": ("cc by nc sa( \\d 0)?",),
+    "cc-by-nc": ("cc by nc( \\d 0)?",),
+    "cc-by-nc-long": ("creative commons attribution noncommercial( \\d 0)?( international)?( license)?",),
+    "cc-by-nd": ("cc by nd( \\d 0)?",),
+    "cc-by-sa": ("cc by sa( \\d 0)?",),
+    "cc-by-sa-long": ("creative commons attribution share ?alike( \\d 0)?( international)?( license)?",),
+    "cc-by": ("cc by \\d 0",),
+    "cc-by-long": ("creative commons attribution( \\d 0)?( international)? license",),
+    "cc": ("creative commons license",),
+    "odbl-1": ("open database license( version)?( v)? ?(1 0)?",),
+    "odbl-1-short": ("odbl 1 0",),
+    "odc-by": ("open data commons attribution license",),
+    "pddl": ("public domain dedication and license",),
+    "bigscience-rail": ("(bigscience )?open ?rail( m)? license", "creativeml open ?rail m"),
+    "llama": ("llama( 2| 3)? community license( agreement)?",),
+    "sspl-1": ("server side public license( version)?( v)? ?1?",),
+    "elastic-2": ("elastic license( version)?( v)? ?2( 0)?",),
+    "busl-1.1": ("business source license( version)?( 1 1)?",),
+    "openssl": ("openssl license",),
+    "ms-pl": ("microsoft public license", "microsoft reciprocal license"),
+    "proprietary": ("proprietary( software)? license", "proprietary and confidential"),
 }
 # context around a name -> (priority, confidence)
 CONTEXTS = {
@@ -102,57 +103,70 @@ CONTEXTS = {
     "see the {name}( for)?": (2, 0.7),
     "{name}": (1, 0.6),
 }
-# Sentences of license texts: (label, text every match holds, regex)
+# Sentences of license texts: (label, regex)
 TEXTS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "copyright", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", "neither the name of( the)? (\\S+ ){1,8}nor the names of its contributors may be used to endorse"),
-    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache-2", "compliance", "you may not use this file except in compliance with the license"),
-    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
-    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", "acknowledgment", "an acknowledgment in the product documentation would be appreciated but is not required"),
-    ("bsl-1", "boost", "distributed under the boost software license version 1 0"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("cc0-1", "waive", "waive all copyright and related or neighboring rights"),
-    ("wtfpl", "fuck", "do what the fuck you want to public license"),
-    ("public-domain", "domain", "(this (work|file|code) is|released|placed) (in|into) the public domain"),
-    ("all-rights-reserved", "reserved", "all rights reserved"),
-    ("psf-2", "python", "psf is making python available to licensee"),
-    ("proprietary", "confidential", "this (document|software) is (the )?confidential and proprietary"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "neither the name of( the)? (\\S+ ){1,8}nor the names of its contributors may be used to endorse"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
+    ("zlib", "an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1", "waive all copyright and related or neighboring rights"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("public-domain", "(this (work|file|code) is|released|placed) (in|into) the public domain"),
+    ("all-rights-reserved", "all rights reserved"),
+    ("psf-2", "psf is making python available to licensee"),
+    ("proprietary", "this (document|software) is (the )?confidential and proprietary"),
 )
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    word: str
     regex: str
     priority: int
     confidence: float
+    # strings that every match holds
+    needs: tuple[str, str]
     base: bool = False
 
 
+def longest_literal(regex: str) -> str:
+    """The longest string outside groups and classes that every match of ``regex`` holds."""
+    outside = re.sub(r"\[[^]]*\][?+]?", "|", regex)
+    while "(" in outside:
+        outside = re.sub(r"\([^()]*\)([?+]|\{[^}]*\})?", "|", outside)
+    outside = re.sub(r"\\.[?+]?|.\?", "|", outside)
+    return max(outside.split("|"), key=len)
+
+
 def signature_rules() -> list[Rule]:
     """All rules in order: base phrases, license texts, then every name in every context."""
-    rules = [Rule(label, phrase.split()[-2], phrase, 5, 1.0, True) for phrase, label in BASE_PHRASES.items()]
-    rules += [Rule(label, word, regex, 4, 1.0) for label, word, regex in TEXTS]
+    rules = [Rule(label, phrase, 5, 1.0, (phrase, ""), True) for phrase, label in BASE_PHRASES.items()]
+    rules += [Rule(label, regex, 4, 1.0, (longest_literal(regex), "")) for label, regex in TEXTS]
     for context, (priority, confidence) in CONTEXTS.items():
-        for label, (word, names) in NAMES.items():
+        around = longest_literal(context.replace("{name}", "(x)"))
+        for label, names in NAMES.items():
             label = label.removesuffix("-short").removesuffix("-long")
-            rules += [Rule(label, word, context.replace("{name}", f"({name})"), priority, confidence) for name in names]
+            rules += [
+                Rule(label, context.replace("{name}", f"({name})"), priority, confidence, (longest_literal(name), around)) for name in names
+            ]
     return rules
 
 
 # Every rule's match holds one of these; a text without them is not looked at further.
 KEYWORDS = (
-    "licen", " copyright ", " permission ", " redistribution ", "redistribute ", " gpl", " agpl", " lgpl", " gnu ", " apache ", " mit ",
-    " bsd ", "0bsd ", " mpl", " cc ", " cc0 ", " wtfpl ", " psf ", " commons ", " domain ", " reserved ", " endorse ", " advertising ",
-    " acknowledgment ", " odbl ", "rail ", " confidential ",
+    "licen", "copyright", "permission is hereby", "permission to use copy", "redistribut", "gpl", "gnu ", "apache 2", "mit no attribution", "bsd", " mpl", " cc by ",
+    " cc0", " wtfpl", "creative commons", "public domain", "all rights reserved", "neither the name of", "all advertising materials",
+    "acknowledgment in the product", " odbl ", "rail m ", "confidential",
 )
 
 
@@ -168,7 +182,8 @@ def _spaces(c: Column) -> Column:
 def _rule_array(rules: list[Rule]) -> str:
     quote = lambda s: "'" + s.replace("\\", "\\\\") + "'"
     return "array(" + ", ".join(
-        f"named_struct('rule', {i}, 'word', {quote(r.word)}, 'regex', {quote(f'(?<= ){r.regex}(?= )')})" for i, r in enumerate(rules)
+        f"named_struct('rule', {i}, 'name', {quote(r.needs[0])}, 'around', {quote(r.needs[1])}, 'regex', {quote(f'(?<= ){r.regex}(?= )')})"
+        for i, r in enumerate(rules)
     ) + ")"
 
 
@@ -178,7 +193,7 @@ def matches(scan: DataFrame, rules: list[Rule]) -> DataFrame:
     words = F.col("words")
     count = F.when(F.length(words) > 2, _spaces(words) - 1).otherwise(F.lit(0)).cast("long")
     gate = reduce(lambda a, b: a | b, [words.contains(k) for k in KEYWORDS])
-    tried = F.filter(F.expr(_rule_array(rules)), lambda r: words.contains(r["word"]))
+    tried = F.filter(F.expr(_rule_array(rules)), lambda r: words.contains(r["name"]) & words.contains(r["around"]))
 
     def hits(r: Column) -> Column:
         inside = F.transform(F.regexp_extract_all(words, r["regex"], F.lit(0)), lambda h: _spaces(h) + 1)

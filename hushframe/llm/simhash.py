@@ -86,7 +86,9 @@ def _buckets(members: DataFrame, width: int) -> DataFrame:
     # the half that is not looked at is what a finer cut has left
     other = (F.col("rest") + (F.lit(1) - F.col("_seg")) * width).cast("int")
     values = cut.groupBy("scope", "_seg", "_value").agg(F.count("*").alias("n"))
-    variants = values.withColumn("_bit", F.explode(F.array(*[F.lit(1 << b).cast("long") for b in range(width)])))
+    # few bytes become many rows here: a fixed number of tasks shares the work evenly
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = values.repartition(tasks, "_value", "_seg").withColumn("_bit", F.explode(F.array(*[F.lit(1 << b).cast("long") for b in range(width)])))
     variants = variants.withColumn("_key", F.col("_value").bitwiseAND(F.bitwise_not("_bit")))
     # a wildcard variant has at most two values: the one without the bit and the one with it
     pairs = (

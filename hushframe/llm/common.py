@@ -15,6 +15,8 @@ SPACES = " \t\n\x0b\x0c\r"
 HOT_KEYS = 5_000
 # A key is never called hot below this many rows.
 HOT_ROWS = 20_000
+# Bits of a row's index in its file in the numbers of with_place.
+FILE_BITS = 40
 
 
 def text_of(name: str = "text") -> Column:
@@ -46,13 +48,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Adds the row's place in the scan: (partition << 33) + index in it.
 
-    ``df`` must be a plain scan of files (a table, or a staged frame): its splits
-    depend on file sizes and settings only, so every scan and every retried task
-    gives a row the same number, whatever columns are read.
+    Splits depend on the cores that live when a job starts, so the number holds inside
+    one job only: stage it with the rows and read it back.  ``with_place`` gives numbers
+    that several scans share.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_place(scan: DataFrame, name: str) -> DataFrame:
+    """Adds the row's place in its file: (number of the file << FILE_BITS) + index in the file.
+
+    ``scan`` must be a plain scan of files (a table, or a staged frame).  Files are
+    numbered in the order of their paths and rows by the reader, so every scan gives a
+    row the same number however the files are split.
+    """
+    path, at, file = fresh(scan, "_path_of_row", "_index_of_row", "_file_of_row")
+    # as long as the list of files that the scan itself holds on the driver
+    names = sorted(r[0] for r in scan.select("_metadata.file_path").distinct().collect())
+    files = scan.sparkSession.createDataFrame(list(zip(names, range(len(names)))), f"`{path}` string, `{file}` long")
+    rows = scan.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    known = F.coalesce(F.col(file), F.raise_error(F.concat(F.lit("a file outside the scan's own list: "), F.col(path))).cast("long"))
+    return rows.join(F.broadcast(files), path, "left").withColumn(name, F.shiftleft(known, FILE_BITS) + F.col(at)).drop(path, at, file)
+
+
 def join_hot(rows: DataFrame, table: DataFrame, on: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """Joins ``table`` (one row per key; ``weight``: the key's rows in ``rows``) to ``rows``.
 

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import ascii_lower, fresh, join_hot, text_of, with_row_id
+from hushframe.llm.common import ascii_lower, fresh, join_hot, text_of, with_place
 from hushframe.operators.joins import is_small
 from hushframe.session import ensure_checkpoint_dir, stage
 
@@ -82,7 +82,7 @@ def find_copies(scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     staged = stage(
-        with_row_id(scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row").select(
+        with_place(scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row").select(
             "row", "doc_id", text_digest(text_of()).alias("digest")
         )
     )
@@ -111,4 +111,4 @@ def drop_copies(scan: DataFrame) -> DataFrame:
     dropped = stage(dropped)
     if is_small(dropped):
         dropped = F.broadcast(dropped)
-    return with_row_id(scan, row).join(dropped, row, "left_anti").drop(row)
+    return with_place(scan, row).join(dropped, row, "left_anti").drop(row)

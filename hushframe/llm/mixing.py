@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.noise import uniform
-from hushframe.llm.common import SPACES, fresh, text_of, word_count
+from hushframe.llm.common import SPACES, fresh, text_of, with_place, word_count
 from hushframe.operators.joins import attach
 from hushframe.session import cut_lineage, stage
 
@@ -128,8 +128,8 @@ def document_mix(documents: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: whole documents, as often as they are taken; columns as they were."""
     row, times = fresh(documents, "_row_of_mix", "_times")
-    scan = documents.withColumn(row, F.monotonically_increasing_id())
-    draws = stage(_draws(documents, seed).withColumn(row, F.monotonically_increasing_id()))
+    scan = with_place(documents, row)
+    draws = stage(with_place(_draws(documents, seed), row))
     counts = mix(draws).filter(F.col("epochs") > 0).select(row, F.col("epochs").alias(times))
     return (
         scan.join(counts, row)

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import fresh, text_of, with_row_id
+from hushframe.llm.common import fresh, text_of, with_place
 
 # Fixed values of the published algorithm: the 64-bit multiplier, as 32-bit halves.
 MULTIPLIER_HIGH, MULTIPLIER_LOW = 0x27BB2EE6, 0x87B0B0FD
 # Almost every key needs about ln(shards) jumps; those that need more get a second pass.
 FIRST_JUMPS = 64
+# Rows are numbered in blocks of 2 ** BLOCK_BITS rows of a file.
+BLOCK_BITS = 16
 
 
 def _jumps(state: str, shards: int, steps: int) -> str:
@@ -55,15 +57,14 @@ def jump_hash(df: DataFrame, key: Column, shards: int, shard: str, grown: str) -
 def shard_rows(scan: DataFrame, key: Column, shards: int) -> DataFrame:
     """``scan`` (a plain file scan) with shard, grown_shard and a gapless slot per shard.
 
-    Slots follow the order of reading: rows are numbered inside one scan split and
-    shard, and a small table of counts per split and shard gives each its first slot.
+    Slots follow the order of files and rows in them: rows are numbered inside one
+    shard and block of a file, and a small table of counts per block and shard gives
+    each its first slot.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
     row, split, first = fresh(scan, "_row", "_split", "_first")
-    placed = jump_hash(with_row_id(scan, row), key, shards, "shard", "grown_shard").withColumn(
-        split, F.shiftright(F.col(row), 33).cast("int")
-    )
+    placed = jump_hash(with_place(scan, row), key, shards, "shard", "grown_shard").withColumn(split, F.shiftright(F.col(row), BLOCK_BITS))
     counts = placed.groupBy("shard", split).count()
     before = Window.partitionBy("shard").orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", split, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first))

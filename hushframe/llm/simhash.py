@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.llm.common import fresh, join_hot
+from hushframe.llm.common import fresh, join_hot, with_place
 from hushframe.operators.joins import is_small
 from hushframe.session import cut_lineage, stage
 
@@ -205,7 +205,7 @@ def drop_near_copies(scan: DataFrame) -> DataFrame:
     The row with the smallest doc_id stays, and of repeated rows with it the first.
     """
     row = fresh(scan, "_row")[0]
-    docs = scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    docs = with_place(scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
     docs = stage(with_fingerprint(docs, "fp").select("row", "doc_id", "fp"))
     named = stage(_with_component(docs).select("row", "doc_id", "fp", "component_id"))
     # documents without an id have components only of their own kind
@@ -216,4 +216,4 @@ def drop_near_copies(scan: DataFrame) -> DataFrame:
     dropped = stage(dropped)
     if is_small(dropped):
         dropped = F.broadcast(dropped)
-    return scan.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    return with_place(scan, row).join(dropped, row, "left_anti").drop(row)

@@ -37,22 +37,28 @@ SEED = 42
 BUCKET = 512
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit majority vote over the hashes of all word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all word shingles in order, repeats included; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     # on UTF-8 bytes, lower() changes A-Z only and split() cuts at the six ASCII spaces
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(len(words) - shingle + 1, 1)
     ends = ends[min(shingle, len(words)) - 1:]
-    hashes = np.fromiter(
+    return np.fromiter(
         (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends.tolist())), np.uint64, last
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit majority vote over the hashes of all word shingles; zero without a word."""
+    hashes = shingle_hashes(text, shingle)
+    last = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, last, 65_536):
         part = hashes[at:at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)

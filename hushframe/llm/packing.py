@@ -86,7 +86,7 @@ def cut_pieces(documents: DataFrame, size: int = SIZE, end: int = END, tokenizer
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
+                for doc, raw in zip(part.column(0).to_pylist(), encoder(path, added=True).encode(part.column(1).to_pylist())):
                     raw += tail
                     total = len(raw) // 4
                     for start in range(0, total, size):

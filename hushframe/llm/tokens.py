@@ -1,7 +1,9 @@
 """Token ids of whole texts, by the tokenizers library over chunks that repeat.
 
 The byte-level pre-tokenizer cuts a text before any merge is looked at, so a text cut
-at those places and encoded chunk by chunk gives the ids of the whole text.  Chunks
+at those places and encoded chunk by chunk gives the ids of the whole text.  The
+vocabulary's added tokens are found before that: with ``added`` a text is cut around
+them first and each is its single id, as in an untouched tokenizer.  Chunks
 repeat, hence each task keeps the ids of the chunks it has met (a bounded number).
 """
 
@@ -55,16 +57,22 @@ class _Memory(dict):
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
         kind = json.loads(self._tokenizer.to_str())
         # the cuts above hold for this pre-tokenizer; texts for any other are encoded whole
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self._cuts = not kind["normalizer"] and byte_level.items() <= (kind["pre_tokenizer"] or {}).items()
+        found = kind["added_tokens"] if added else [t for t in kind["added_tokens"] if not t["special"]]
+        self._added = {t["content"]: struct.pack("<I", t["id"]) for t in found}
+        # the library takes the longest of the tokens that start first
+        self._around = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
+        # tokens that look at what is beside them: texts that hold one are encoded whole
+        self._plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found)
         self._model, self._letters = self._tokenizer.model, _byte_letters()
         self.ids = self._tokenizer.get_vocab_size()
         self._older: dict[str, bytes] = {}
@@ -91,11 +99,21 @@ class ChunkEncoder:
         for text in texts:
             if len(self._recent) > REMEMBERED:
                 self._older, self._recent = self._recent, _Memory(self._find)
-            out.append(b"".join(map(self._recent.__getitem__, _CHUNK.findall(text or ""))))
+            text = text or ""
+            if not any(token in text for token in self._added):
+                out.append(self._chunks(text))
+            elif self._plain:
+                parts = self._around.split(text)
+                out.append(b"".join(self._added[p] if k % 2 else self._chunks(p) for k, p in enumerate(parts)))
+            else:
+                out.append(self._whole(text))
         return out
 
+    def _chunks(self, text: str) -> bytes:
+        return b"".join(map(self._recent.__getitem__, _CHUNK.findall(text)))
+
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, added: bool = False) -> ChunkEncoder:
     """One encoder per worker process."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, added)

@@ -138,7 +138,7 @@ def write_shards(documents: DataFrame, path: str, end: int = END, tokenizer: str
 
         part, shard = TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4").tobytes()
-        bits = max(encoder(source).ids - 1, end).bit_length()
+        bits = max(encoder(source, added=True).ids - 1, end).bit_length()
         docs: list = []
         raws: list[bytes] = []
         size = 0
@@ -154,7 +154,7 @@ def write_shards(documents: DataFrame, path: str, end: int = END, tokenizer: str
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 few = batch.slice(at, 64)
-                for doc, raw in zip(few.column(0).to_pylist(), encoder(source).encode(few.column(1).to_pylist())):
+                for doc, raw in zip(few.column(0).to_pylist(), encoder(source, added=True).encode(few.column(1).to_pylist())):
                     docs.append(doc)
                     raws.append(raw + tail)
                     size += len(raw) // 4 + 1

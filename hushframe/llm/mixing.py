@@ -5,9 +5,9 @@ is taken floor(target / source size) times.  The rest of the budget goes to the
 documents with the smallest exponential keys -ln(u) / weight, up to the prefix sum that
 comes nearest.
 
-A source is never sorted in one task: keys fall into buckets of equal probability,
-bucket sums find the one bucket in which the budget ends, and only its documents are
-ranked.  ``u`` is a hash of seed, doc_id and text, so reruns agree.
+A source is never sorted in one task: keys fall into buckets between the least and the
+largest, bucket sums find the one bucket in which the budget ends, that bucket is cut
+again until it is small, and only its documents are ranked.  ``u`` is a hash of seed, doc_id and text, so reruns agree.
 
 Defined cases: a null text has no word and weight one; sources sort by code point, null
 last, as one source; a source without words has target 0; repeated rows share a key and
@@ -30,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = 42
-# Documents of one key bucket, and the most buckets of one source.
+# Documents that are ranked together, and the most buckets of one source and round.
 BUCKET_ROWS = 2_000
 MAX_BUCKETS = 65_536
 
@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 
 def _draws(documents: DataFrame, seed: int) -> DataFrame:
-    """Narrow rows: doc_id, source, size and key position in (0, 1), by exponential key."""
+    """Narrow rows: doc_id, source, size and exponential key."""
     text = text_of()
     size, chars = word_count(text), F.length(F.translate(text, SPACES, ""))
     narrow = documents.select(
@@ -77,47 +77,74 @@ def _draws(documents: DataFrame, seed: int) -> DataFrame:
         uniform(seed, F.col("doc_id"), F.md5(text.cast("binary"))).alias("u"),
     )
     key = -F.log(F.col("u")) / quality_weight(F.col("size"), F.col("chars"))
-    # 1 - exp(-key) keeps the order of the keys and spreads them over (0, 1)
-    return narrow.select("doc_id", "source", "size", (F.lit(1.0) - F.exp(-key)).alias("place"), "u")
+    return narrow.select("doc_id", "source", "size", key.alias("key"))
+
+
+def _edges(draws: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per source _rows, the keys _low to _high between which the budget ends, and the words before them as _full."""
+    state = plan.select(
+        "_source", "_rows", "_left", F.col("_least").alias("_low"), F.col("_largest").alias("_high"),
+        F.lit(0).cast("long").alias("_full"), F.col("_rows").alias("_n"),
+    )
+    # keys of all weights spread evenly over their logarithm, those of one bucket over the key itself
+    linear = (F.col("key") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    wide = F.log("_high") > F.log("_low")
+    at = F.when(wide, (F.log("key") - F.log("_low")) / (F.log("_high") - F.log("_low"))).otherwise(linear)
+    while True:
+        todo = state.filter((F.col("_n") > BUCKET_ROWS) & (F.col("_low") < F.col("_high")) & (F.col("_left") > 0))
+        if todo.isEmpty():
+            return state.select("_source", "_rows", "_low", "_high", "_full")
+        todo = todo.withColumn("_buckets", F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("_n") / F.lit(BUCKET_ROWS)) * 8).cast("int"))
+        rows = attach(draws.select("_source", "key", "size"), todo, ["_source"], weight="_rows").filter(F.col("key").between(F.col("_low"), F.col("_high")))
+        # both ends are in different buckets, so every round leaves fewer documents
+        rows = rows.withColumn("_bucket", F.least(F.col("_buckets") - 1, F.floor(at * F.col("_buckets"))))
+        sums = rows.groupBy("_source", "_bucket").agg(
+            F.sum("size").alias("_words"), F.first("_left").alias("_left"), F.first("_full").alias("_full"),
+            F.min("key").alias("_low"), F.max("key").alias("_high"), F.count("*").alias("_n"),
+        )
+        before = F.col("_full") + F.sum("_words").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_words")
+        found = (
+            sums.withColumn("_before", before)
+            .filter((F.col("_before") + F.col("_words") >= F.col("_left")) & (F.col("_before") < F.col("_left")))
+            .groupBy("_source")
+            .agg(F.min(F.struct("_bucket", "_low", "_high", "_before", "_n")).alias("_e"))
+        )
+        found = todo.select("_source").join(found, "_source", "left").withColumn("_met", F.lit(True))
+        # a budget beyond the last document takes all of them
+        new = lambda c, to, none: F.when(F.col("_met"), F.coalesce(F.col(f"_e.{c}"), F.lit(none))).otherwise(F.col(to)).alias(to)
+        inf = float("inf")
+        state = cut_lineage(state.join(found, "_source", "left").select(
+            "_source", "_rows", "_left", new("_low", "_low", inf), new("_high", "_high", inf), new("_before", "_full", 0), new("_n", "_n", 0),
+        ))
+        at = linear
 
 
 def mix(draws: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Adds source_size, target and taken to staged draws (source, size, place, u, ...)."""
+    """Adds source_size, target and taken to staged draws (source, size, key, ...)."""
     draws = draws.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    sizes = draws.groupBy("_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    targets = source_targets(sizes.drop("_source"), weights, share, most)
+    sizes = cut_lineage(draws.groupBy("_source", "source").agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.min("key").alias("_least"), F.max("key").alias("_largest")
+    ))
+    targets = source_targets(sizes.select("source", "source_size", "rows"), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    buckets = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("rows") / F.lit(BUCKET_ROWS))).cast("int")
     plan = targets.select(
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), "source_size", "target", F.col("rows").alias("_rows"),
-        epochs.alias("_epochs"), buckets.alias("_buckets"), (F.col("target") - epochs * F.col("source_size")).alias("_left"),
-    )
-    plan = cut_lineage(plan)
-    rows = attach(draws, plan, ["_source"], weight="_rows").withColumn("_bucket", F.floor(F.col("place") * F.col("_buckets")).cast("int"))
-    # words per bucket, then the bucket of each source in which the budget ends
-    sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"), F.first("_left").alias("_left"), F.count("*").alias("_n"))
-    upto = Window.partitionBy("_source").orderBy("_bucket")
-    edges = (
-        sums.withColumn("_upto", F.sum("_words").over(upto))
-        .filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_words") < F.col("_left")))
-        .groupBy("_source")
-        .agg(F.min(F.struct(F.col("_bucket").alias("b"), (F.col("_upto") - F.col("_words")).alias("w"))).alias("_edge"))
-    )
-    edges = plan.select("_source", "_rows").join(edges, "_source", "left").select(
-        "_source", "_rows", F.col("_edge.b").alias("_edge"), F.col("_edge.w").alias("_full")
+        epochs.alias("_epochs"), (F.col("target") - epochs * F.col("source_size")).alias("_left"),
     )
-    rows = attach(rows.drop("_rows"), edges, ["_source"], weight="_rows")
-    inside = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
-    ranked = Window.partitionBy("_source").orderBy("place", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    plan = cut_lineage(plan.join(sizes.select("_source", "_least", "_largest"), "_source"))
+    edges = _edges(draws, plan).drop("_rows")
+    rows = attach(draws, plan.drop("_least", "_largest").join(edges, "_source"), ["_source"], weight="_rows")
+    inside = F.col("key").between(F.col("_low"), F.col("_high"))
+    ranked = Window.partitionBy("_source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_full") + F.sum("size").over(ranked)
-    edge = rows.filter(inside).withColumn("_upto", upto)
+    edge = rows.filter(inside & (F.col("_left") > 0)).withColumn("_upto", upto)
     # the document on the edge is taken when that comes nearer to the budget
     near = edge.withColumn("_taken", (F.col("_upto") - F.col("size") / F.lit(2.0)) <= F.col("_left"))
-    full = rows.filter(~inside).withColumn("_taken", (F.col("_left") > 0) & (F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))))
+    full = rows.filter(~(inside & (F.col("_left") > 0))).withColumn("_taken", (F.col("_left") > 0) & (F.col("key") < F.col("_low")))
     both = full.unionByName(near.drop("_upto"))
     return both.withColumn("taken", F.col("size") * (F.col("_epochs") + F.col("_taken").cast("long"))).withColumn(
         "epochs", F.col("_epochs") + F.col("_taken").cast("long")
-    ).drop("_source", "_rows", "_epochs", "_buckets", "_left", "_bucket", "_edge", "_full", "_taken")
+    ).drop("_source", "_rows", "_epochs", "_left", "_low", "_high", "_full", "_taken")
 
 
 def document_mix(documents: DataFrame, seed: int = SEED) -> DataFrame:

@@ -113,3 +113,36 @@ j AS (
   GROUP BY v.doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, false) AS kept
 FROM m JOIN j ON j.doc_id = m.doc_id"""
+
+
+PHRASES = f"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+q AS (
+  SELECT row_number() OVER () AS piece_id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS n, unnest(w) AS phrase FROM q
+  UNION ALL SELECT lang, 2, unnest([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))]) FROM q WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) FROM q WHERE len(w) > 2),
+t AS (
+  SELECT lang, count(*) AS n FROM g WHERE n = 1 GROUP BY lang),
+f AS (
+  SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY lang, n, phrase HAVING count(*) >= 10),
+c AS (
+  SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n > 1),
+k AS (
+  SELECT c.lang, c.n, c.phrase, a, i.k, array_to_string(w[1:i.k], ' ') AS x, array_to_string(w[i.k + 1:], ' ') AS y FROM c, (VALUES (1), (2)) AS i(k) WHERE i.k < c.n),
+s AS (
+  SELECT k.lang, k.n, k.phrase, a, k, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM k JOIN f AS l ON l.lang = k.lang AND l.phrase = k.x JOIN f AS r ON r.lang = k.lang AND r.phrase = k.y),
+b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE n = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE n = 3),
+m AS (
+  SELECT lang, phrase, max(a) AS most FROM i GROUP BY lang, phrase),
+o AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN m ON b.n = 2 AND m.lang = b.lang AND m.phrase = b.phrase WHERE m.most IS NULL OR 100 * m.most < 50 * b.a)
+SELECT o.lang, rank, phrase, a, l, r, t.n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000"""

@@ -94,3 +94,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.licenses import document_licenses
 
     return document_licenses(documents(spark, sf))
+
+
+@_add("op13_phrase_collocations", oracles.PHRASES)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.phrases import collocations
+
+    return collocations(documents(spark, sf))

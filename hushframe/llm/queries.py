@@ -101,3 +101,10 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.phrases import collocations
 
     return collocations(documents(spark, sf))
+
+
+@_add("op12_feast_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.whitening import vector_components
+
+    return vector_components(spark.read.parquet(f"{sf}/embeddings.parquet"))

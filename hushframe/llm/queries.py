@@ -108,3 +108,10 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     from hushframe.llm.whitening import vector_components
 
     return vector_components(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@_add("op11_nn_descent")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from hushframe.llm.neighbours import vector_links
+
+    return vector_links(spark.read.parquet(f"{sf}/embeddings.parquet"))

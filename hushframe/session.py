@@ -69,4 +69,14 @@ def stage(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", STAGE_BLOCK).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete the files of frames from ``stage`` that no later job reads, not even to recompute."""
+    for df in staged:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.operators import membership, metrics, models, private, quantized
+from hushframe.operators import membership, metrics, models, private, quantized, quantized_trees
 from hushframe.operators.aggregates import DATA_NORMS, EPSILONS, K_VALUES, MODELS, REGRESSION_NAMES, tag_union, untag
 from hushframe.operators.anonymize import class_column, generalize_mean, generalize_mode, mondrian_sweep
 from hushframe.operators.features import fit_features
@@ -148,8 +148,8 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def score_point(p: Prepared, model: str, method: str, epsilon: float | None, data_norm: float | None, seed: str | int | None) -> tuple[models.Scorer, DataFrame]:
     """Fit one technique on the training rows; returns its scorer and the scored test rows.
 
-    ``Quantized`` scores a plain linear fit in 8-bit integers, ``Quantized_DP`` perturbs
-    its weights first.
+    ``Quantized`` scores a plain linear fit, a tree or a forest in 8-bit integers,
+    ``Quantized_DP`` perturbs linear weights first.
     """
     if method == BASELINE:
         scorer = models.fit(model, p.train)
@@ -161,8 +161,11 @@ def score_point(p: Prepared, model: str, method: str, epsilon: float | None, dat
         return scorer, scorer(p.test)
     if method not in (QUANTIZED, QUANTIZED_DP):
         raise ValueError(f"no technique is called {method}")
+    if method == QUANTIZED and model in quantized_trees.TREE_MODELS:
+        scorer = quantized_trees.scorer(quantized_trees.fit(model, p.train, p.width), p.width)
+        return scorer, scorer(p.test)
     if model not in LINEAR:
-        raise ValueError(f"{method} is only supported for linear and logistic models")
+        raise ValueError(f"{method} is not supported for {model}")
     fitted = models.fit(model, p.train, balanced=False)
     w, b = models.linear_coefficients(fitted)
     if method == QUANTIZED_DP:
@@ -191,7 +194,7 @@ def grid_points(task: str, epsilons: Sequence[float], norms: Sequence[float], ke
     for model in model_names(task, keys):
         linear = task == "classification" or model == "lin_reg"
         for method in methods:
-            if method == BASELINE or (method == QUANTIZED and model in LINEAR and linear):
+            if method == BASELINE or (method == QUANTIZED and linear and (model in LINEAR or model in quantized_trees.TREE_MODELS)):
                 out.append((model, method, None, None))
             elif method in (DP, QUANTIZED_DP) and linear and (method == DP or model in LINEAR):
                 out += [(model, method, float(e), float(n)) for e in epsilons for n in norms]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from hushframe.operators import membership, models
+from hushframe.operators import membership, models, quantized_trees
 from hushframe.operators.splits import hash_split
 from hushframe.plans import reports, sweeps
 from workload.common import (
@@ -222,6 +222,14 @@ _model_query("dt_reg_scores", "dt_reg", "price")
 _model_query("rf_reg_scores", "rf_reg", "price")
 
 
+@query("quantized_rf_scores")
+def quantized_rf_scores(spark, sf):
+    """Ten fitted trees of depth five on 8-bit features; the test walks the same arrays row by row."""
+    train, test = _people(spark, sf, "label")
+    scored = quantized_trees.scorer(quantized_trees.fit("rf", train, len(PERSON_QI)), len(PERSON_QI))(test)
+    return scored.select("o_orderkey", "label", "prediction", r(F.col("prob")[1]).alias("p1"))
+
+
 def _ready(spark, sf, task: str = "classification"):
     p = person(spark, sf)
     if task == "classification":

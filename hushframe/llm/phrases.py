@@ -36,7 +36,9 @@ BLOCK = 2_000_000
 SEGMENT = 4 << 20
 # Bits of the table of frequent pairs, and of a chunk of it.
 TABLE_BITS, CHUNK_BITS = 26, 16
-ROWS = "lang string, n int, fp long, f long, row long, at int"
+# spot: word of the document times SPOTS, plus the number of words
+ROWS = "fp long, f int, row long, spot long"
+SPOTS = 16
 # A separator between pieces is this token; no word contains it.
 CUT = b"."
 # Fixed by the contract: the separators, and the two spaces between words.
@@ -81,8 +83,11 @@ class _Block:
         self.parts += [numbers, np.zeros(1, np.int64)]
         self.size += len(numbers) + 1
 
-    def grams(self, hashes: np.ndarray, sizes: tuple[int, ...], bits: int, pairs: np.ndarray | None):
-        """(n, fingerprints, counts, rows, word indexes): one entry per distinct n-gram."""
+    def grams(self, hashes: np.ndarray, sizes: tuple[int, ...], bits: int, pairs: np.ndarray | None, pair: np.uint64):
+        """(n, fingerprints, counts, rows, word indexes): one entry per distinct n-gram.
+
+        ``pair`` is what the keys of pairs are mixed with in the table ``pairs``.
+        """
         ids = np.concatenate(self.parts)
         power = np.full(len(ids), BASE, np.uint64)
         power[0] = 1
@@ -99,7 +104,7 @@ class _Block:
             for k in range(1, n):
                 whole &= word[k:k + last]
             if pairs is not None and n > 2:
-                two = self._prints(prefix, back, 2, bits)
+                two = self._prints(prefix, back, 2, bits) ^ pair
                 often = (pairs[(two & np.uint64(len(pairs) * 8 - 1)) >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 for k in range(n - 1):
                     whole &= often[k:k + last]
@@ -122,7 +127,7 @@ class _Block:
 
 
 def gram_rows(docs: DataFrame, sizes: tuple[int, ...], bits: int = 64, pairs=None, block: int = BLOCK) -> DataFrame:
-    """One row per block and distinct n-gram of ``docs`` (row, lang, text); n = 0 counts words."""
+    """One row per block and distinct n-gram of ``docs`` (row, lang, text); one of no word counts all words."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -136,15 +141,17 @@ def gram_rows(docs: DataFrame, sizes: tuple[int, ...], bits: int = 64, pairs=Non
             for lang, b in blocks.items():
                 total = sum(int((p > 0).sum()) for p in b.parts)
                 if 1 in sizes and total:
-                    yield rows(lang, 0, np.zeros(1, np.int64), np.array([total]), np.zeros(1, np.int64), np.zeros(1, np.int64))
-                for n, *found in b.grams(hashes, sizes, bits, table):
+                    yield rows(lang, 0, np.zeros(1, np.int64), np.array([total]), np.array([b.starts[0][1]]), np.zeros(1, np.int64))
+                pair = np.uint64(xxh64_intdigest(f"2 {lang}"))
+                for n, *found in b.grams(hashes, sizes, bits, table, pair):
                     for at in range(0, len(found[0]), 65_536):
                         yield rows(lang, n, *[f[at:at + 65_536] for f in found])
 
         def rows(lang, n, fp, f, row, at):
-            k = len(fp)
-            values = (pa.array([lang] * k, pa.string()), pa.array(np.full(k, n, np.int32)), pa.array(fp), pa.array(f.astype(np.int64)), pa.array(row), pa.array(at.astype(np.int32)))
-            return pa.RecordBatch.from_arrays(list(values), ["lang", "n", "fp", "f", "row", "at"])
+            # language and size are part of the key; keys that meet by chance only choose more pointers
+            key = fp ^ np.uint64(xxh64_intdigest(f"{n} {lang}")).view(np.int64)
+            values = (pa.array(key), pa.array(f.astype(np.int32)), pa.array(row), pa.array(at * SPOTS + n))
+            return pa.RecordBatch.from_arrays(list(values), ["fp", "f", "row", "spot"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -167,9 +174,9 @@ def gram_rows(docs: DataFrame, sizes: tuple[int, ...], bits: int = 64, pairs=Non
 
 
 def frequent(rows: DataFrame, least: int) -> DataFrame:
-    """The rows whose fingerprint occurs ``least`` times or more, with all their pointers."""
-    total = F.sum("f").over(Window.partitionBy("lang", "n", "fp"))
-    return rows.withColumn("_total", total).filter((F.col("_total") >= least) | (F.col("n") == 0)).drop("_total")
+    """The rows whose key occurs ``least`` times or more, with all their pointers."""
+    total = F.sum("f").over(Window.partitionBy("fp"))
+    return rows.withColumn("_total", total).filter((F.col("_total") >= least) | (F.col("spot") % SPOTS == 0)).drop("_total")
 
 
 def pair_table(pairs: DataFrame) -> bytes:
@@ -205,18 +212,19 @@ def phrase_texts(docs: DataFrame, pointers: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, text, spots = (batch.column(c)[i].as_py() for c in range(3))
+                lang, text = (batch.column(c)[i].as_py() for c in range(2))
                 tokens = [t for part in segments(text) for t in part]
-                ns, fs = [s["n"] for s in spots], [s["f"] for s in spots]
-                phrases = [b" ".join(tokens[s["at"]:s["at"] + s["n"]]).decode("utf-8", "surrogatepass") for s in spots]
+                spots = batch.column(2)[i].values
+                at, size = np.divmod(spots.field("spot").to_numpy(), SPOTS)
+                phrases = [tokens[a] if n == 1 else b" ".join(tokens[a:a + n]) for a, n in zip(at.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(ns), pa.string()), pa.array(ns, pa.int32()), pa.array(phrases, pa.string()), pa.array(fs, pa.int64())],
+                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), pa.array(size.astype(np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), spots.field("f")],
                     ["lang", "n", "phrase", "f"],
                 )
 
     # a document has no more pointers than n-grams
-    spots = pointers.groupBy("row").agg(F.collect_list(F.struct("n", "at", "f")).alias("spots"))
-    return docs.join(spots, "row").select("lang", "text", "spots").mapInArrow(read, "lang string, n int, phrase string, f long")
+    spots = pointers.groupBy("row").agg(F.collect_list(F.struct("spot", "f")).alias("spots"))
+    return docs.join(spots, "row").select("lang", "text", "spots").mapInArrow(read, "lang string, n int, phrase string, f int")
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST, bits: int = 64, block: int = BLOCK) -> DataFrame:
@@ -229,12 +237,12 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, bits: int = 64, bloc
         F.col(row).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
     )
     short = stage(frequent(gram_rows(docs, (1, 2), bits, None, block), least))
-    pairs = documents.sparkSession.sparkContext.broadcast(pair_table(short.filter("n = 2")))
+    table = pair_table(short.filter(F.col("spot") % SPOTS == 2))
+    pairs = documents.sparkSession.sparkContext.broadcast(table)
     longer = stage(frequent(gram_rows(docs, tuple(range(3, LONGEST + 1)), bits, pairs, block), least))
-    words = short.filter("n = 0").groupBy("lang").agg(F.sum("f").alias("f"))
-    # fingerprints only chose the pointers: counts are summed by the texts themselves
-    exact = phrase_texts(docs, short.filter("n > 0").unionByName(longer)).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-    return stage(words.select("lang", F.lit(0).alias("n"), F.lit("").alias("phrase"), "f").unionByName(exact.filter(F.col("f") >= least)))
+    # keys only chose the pointers: counts are summed by the texts themselves
+    exact = phrase_texts(docs, short.unionByName(longer)).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    return stage(exact.filter((F.col("f") >= least) | (F.col("n") == 0)))
 
 
 def scored(counts: DataFrame) -> DataFrame:

@@ -14,14 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hushframe.operators.joins import attach
-from hushframe.session import cut_lineage
+from hushframe.session import cut_lineage, stage
 
 # Rows (or distinct values) of one group that a single task may order.
 EXACT_ROWS = 1_000_000
 # Quantile grid of one narrowing pass; each pass keeps about 3/GRID of a group.
 GRID = 256
-# Hash buckets that bound the rows ranked together in smallest-m selection.
-BUCKETS = 1 << 16
+# Hash buckets of one round of smallest-m selection, and the rows that one task may rank.
+BUCKETS = 1 << 12
+EDGE_ROWS = 50_000
 
 
 def _pick_in_bracket(values: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
@@ -182,42 +183,59 @@ def column_medians(df: DataFrame, cols: Sequence[str], exact_rows: int = EXACT_R
 
 
 def smallest_per_group(
-    df: DataFrame, by: Sequence[str], u: Column, keys: Sequence[str], quotas: DataFrame, buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], u: Column, keys: Sequence[str], quotas: DataFrame, buckets: int = BUCKETS, edge_rows: int = EDGE_ROWS
 ) -> DataFrame:
     """Rows with the ``quota`` smallest ``(u, keys)`` of each group, and the flag's complement.
 
-    Returns ``df`` plus boolean ``_taken``.  ``u`` is uniform in (0, 1), so equal-width
-    buckets are balanced: buckets below the one where the quota falls are taken
-    whole and only that one bucket (group size / ``buckets`` rows) is ranked.
-    ``quotas`` has ``by`` and ``quota``; a group without a quota takes nothing.
+    Returns ``df`` plus boolean ``_taken``.  The draws are written once beside their
+    keys.  Equal-width buckets of ``u`` find the one in which the quota ends; that bucket
+    is cut again until it holds no more than ``edge_rows`` rows, and ranking those gives
+    the last row taken.  The rows themselves are read once more and compared with it.
+    ``quotas`` has ``by`` and ``quota``; a group without a quota takes nothing.  ``keys``
+    identify a row: rows that share them are taken or left together.
     """
-    by = list(by)
-    group = by or ["_all"]
-    base = df.withColumn("_u", u)
-    if not by:
-        base = base.withColumn("_all", F.lit(0))
-        quotas = quotas.withColumn("_all", F.lit(0))
-    base = base.withColumn("_b", F.floor(F.col("_u") * F.lit(buckets)).cast("int"))
-    hist = base.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*group).orderBy("_b"))
-    edge = (
-        hist.withColumn("_upto", upto)
-        .join(quotas.select(*group, "quota"), group)
-        .groupBy(*group, "quota")
-        .agg(
-            # last bucket that fits whole, and what is left of the quota after it
-            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_b"))), F.lit(-1)).alias("_full"),
-            F.coalesce(F.max(F.when(F.col("_upto") <= F.col("quota"), F.col("_upto"))), F.lit(0)).alias("_got"),
-            F.min(F.when(F.col("_upto") > F.col("quota"), F.col("_b"))).alias("_edge"),
-        )
+    by, keys = list(by), list(keys)
+    group = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    # null is a group like any other, so groups are met by a text that is never null
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in by] or [F.lit("all")]
+    grouped = df.withColumns({**dict(zip(group, named)), "_u": u})
+    narrow = stage(grouped.select(*group, "_u", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]))
+    order = ["_u", *[f"_k{i}" for i in range(len(keys))]]
+    wanted = quotas.withColumns(dict(zip(group, named))).select(*group, "quota")
+    sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    state = cut_lineage(
+        sizes.join(wanted, group).withColumns({"_low": F.lit(0.0), "_high": F.lit(1.0), "_got": F.lit(0).cast("bigint"), "_all": F.col("_n")})
     )
-    marked = attach(base, edge, group, how="left")
-    on_edge = F.coalesce(F.col("_b") == F.col("_edge"), F.lit(False))
-    sure = marked.filter(~on_edge).withColumn("_taken", F.coalesce(F.col("_b") <= F.col("_full"), F.lit(False)))
-    at = F.row_number().over(W.partitionBy(*group).orderBy("_u", *keys))
-    ranked = marked.filter(on_edge).withColumn("_taken", at + F.col("_got") <= F.col("quota"))
-    drop = ["_u", "_b", "quota", "_full", "_got", "_edge"] + ([] if by else ["_all"])
-    return sure.unionByName(ranked).drop(*drop)
+    inside = (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))
+    while True:
+        # draws have 52 bits: a range of one draw cannot be cut any further
+        wide = (F.col("_n") > edge_rows) & (F.col("quota") > 0) & (F.col("quota") < F.col("_all")) & (F.col("_high") - F.col("_low") > F.lit(2.0**-51))
+        todo = state.filter(wide)
+        if todo.isEmpty():
+            break
+        todo = todo.withColumn("_width", (F.col("_high") - F.col("_low")) / F.lit(buckets))
+        rows = attach(narrow.select(*group, "_u"), todo, group, weight="_all").filter(inside)
+        rows = rows.withColumn("_b", F.least(F.floor((F.col("_u") - F.col("_low")) / F.col("_width")), F.lit(buckets - 1)).cast("int"))
+        hist = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_u").alias("_first"), F.max("_u").alias("_last"))
+        hist = hist.withColumn("_upto", F.sum("_c").over(W.partitionBy(*group).orderBy("_b")))
+        # the bucket in which the quota ends; its own ends bound it, whatever rounding did to the borders
+        met = hist.join(todo.select(*group, "quota", "_got"), group).filter(
+            (F.col("_got") + F.col("_upto") >= F.col("quota")) & (F.col("_got") + F.col("_upto") - F.col("_c") < F.col("quota"))
+        )
+        met = met.select(
+            *group, F.col("_first").alias("_low1"), (F.col("_last") + F.lit(2.0**-53)).alias("_high1"),
+            (F.col("_got") + F.col("_upto") - F.col("_c")).alias("_got1"), F.col("_c").alias("_n1"),
+        )
+        new = lambda c: F.coalesce(F.col(f"{c}1"), F.col(c)).alias(c)
+        state = cut_lineage(state.join(met, group, "left").select(*group, "quota", "_all", new("_n"), new("_low"), new("_high"), new("_got")))
+    some = state.filter((F.col("quota") > 0) & (F.col("quota") < F.col("_all")))
+    edge = attach(narrow, some, group, weight="_all").filter(inside)
+    at = F.row_number().over(W.partitionBy(*group).orderBy(*order)) + F.col("_got")
+    last = edge.withColumn("_at", at).filter(F.col("_at") == F.col("quota")).select(*group, F.struct(*order).alias("_cut"))
+    plan = state.select(*group, "_all", (F.col("quota") >= F.col("_all")).alias("_whole")).join(last, group, "left")
+    here = F.struct(F.col("_u"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    taken = F.coalesce(F.col("_whole") | (here <= F.col("_cut")), F.lit(False))
+    return attach(grouped, plan, group, how="left", weight="_all").withColumn("_taken", taken).drop(*group, "_u", "_all", "_whole", "_cut")
 
 
 def running_total(

@@ -25,8 +25,8 @@ def stratified_split(
 ) -> DataFrame:
     """Mark ``round(fraction * n)`` rows of every class as test, exactly.
 
-    The rows with the smallest hashes are taken; a class of any size is cut by
-    hash buckets, never sorted as a whole.
+    The rows with the smallest hashes are taken; a class of any size is narrowed by
+    hash buckets, never sorted as a whole.  ``keys`` identify a row.
     """
     quotas = df.groupBy(target).agg(F.round(F.count(F.lit(1)) * F.lit(float(fraction))).cast("bigint").alias("quota"))
     return smallest_per_group(df, [target], uniform(seed, *keys), keys, quotas, buckets).withColumnRenamed("_taken", name)

@@ -66,6 +66,34 @@ def test_equal_draws_are_broken_by_key(spark):
     assert sorted(r["id"] for r in got.filter("_taken").collect()) == list(range(10))
 
 
+def test_quota_selection_narrows_until_small(spark, monkeypatch):
+    """Eight buckets and a million rows: no ranked group is larger than the bound, and the rows are the smallest ones."""
+    df = spark.range(1_000_000).withColumn("g", F.when(F.col("id") % 1000 == 0, F.lit(None)).otherwise(F.when(F.col("id") % 3 == 0, "a").otherwise("b")))
+    quotas = spark.createDataFrame([("a", 33_333), ("b", 600_000), (None, 7)], "g string, quota bigint")
+    got = ranks.smallest_per_group(df, ["g"], uniform("s", "id"), ["id"], quotas, buckets=8, edge_rows=500)
+    u = df.withColumn("u", uniform("s", "id")).select("id", "g", "u").toPandas()
+    taken = got.filter("_taken").select("id").toPandas()["id"]
+    want = set()
+    for g, quota in (("a", 33_333), ("b", 600_000), (None, 7)):
+        rows = u[u.g.isna()] if g is None else u[u.g == g]
+        want |= set(rows.sort_values(["u", "id"]).id[:quota])
+    assert set(taken) == want and got.columns == ["id", "g", "_taken"]
+    # the plan's only window over rows is the ranking: its input is bounded
+    sizes = []
+    attach_ = ranks.attach
+    monkeypatch.setattr(ranks, "attach", lambda rows, table, on, **o: sizes.append((rows.columns, table)) or attach_(rows, table, on, **o))
+    ranks.smallest_per_group(df, ["g"], uniform("s", "id"), ["id"], quotas, buckets=8, edge_rows=500)
+    edge = sizes[-2][1]
+    assert edge.agg(F.max("_n")).first()[0] <= 500 and len(sizes) > 5
+
+
+def test_quotas_at_the_ends_and_missing(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(90)], "id int, g int")
+    quotas = spark.createDataFrame([(0, 0), (1, 500)], "g int, quota bigint")
+    got = ranks.smallest_per_group(df, ["g"], uniform("s", "id"), ["id"], quotas, edge_rows=2).groupBy("g").agg(F.sum(F.col("_taken").cast("int")).alias("n")).collect()
+    assert {r["g"]: r["n"] for r in got} == {0: 0, 1: 30, 2: 0}
+
+
 def test_splits_do_not_depend_on_partitions(spark):
     df = spark.range(3000).withColumn("y", (F.col("id") % 10 == 0).cast("int"))
     test = lambda n: {r["id"] for r in stratified_split(df.repartition(n), ["id"], "y").filter("is_test").collect()}

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.scalars import col
 from hushframe.operators import clean
-from hushframe.operators.aggregates import K_VALUES, MODELS
+from hushframe.operators.aggregates import DATA_NORMS, EPSILONS, K_VALUES, MODELS
 from hushframe.operators.features import label_encode
 from hushframe.operators.splits import hash_split
 from hushframe.plans import sweeps
 from hushframe.session import stage
 from hushframe.sources import registry
-from hushframe.sources.results import append_results, finished_results
+from hushframe.sources.results import MEMBERSHIP_SCHEMA, finished_results, save_results
 
 KEY = "row_key"
 
@@ -55,15 +55,37 @@ def run_dataset(
     ready = sweeps.prepare(rows, name, [KEY], spec.target, spec.task, y_bounds, seed=seed, balance=spec.smote)
     sweeps.resume_sweep(ready, path, keys=keys, seed=seed, **options)
     done = finished_results(spark, path).filter((F.col("Dataset") == name) & F.col("Error").isNull() & F.col("K").isNotNull())
-    held = {r["K"] for r in done.select("K").distinct().collect()}
-    left = [k for k in ks if k not in held]
-    if left:
-        parts = stage(hash_split(rows, [KEY], 0.2, seed))
-        train, test = (parts.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
-        append_results(sweeps.kanon_utility(train, test, name, [KEY], spec.target, spec.task, left, keys, seed=seed), path)
+    held = {(r["K"], r["Model"]) for r in done.select("K", "Model").distinct().collect()}
+    parts = stage(hash_split(rows, [KEY], 0.2, seed))
+    train, test = (parts.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
+    sweeps.kanon_utility(
+        train, test, name, [KEY], spec.target, spec.task, ks, keys, seed=seed, done=held, save=lambda out: save_results(out, path),
+        timings=bool(options.get("timings", True)),
+    )
     return finished_results(spark, path).filter(F.col("Dataset") == name)
 
 
+def run_membership(
+    spark: SparkSession, names: Sequence[str], root: str, path: str, keys: Sequence[str] = MODELS, seed: str | int = 42, **options: object,
+) -> DataFrame:
+    """Membership attacks on every classification dataset of ``names``; each point is saved as it ends.
+
+    A second call continues where the first one ended: a dataset that is complete is not
+    even loaded, and of the others the points without a result are run.
+    """
+    grid = {k: options[k] for k in ("epsilons", "norms") if k in options}
+    wanted = set(sweeps.mia_points(grid.get("epsilons", EPSILONS), grid.get("norms", DATA_NORMS), keys))
+    for name in names:
+        done = finished_results(spark, path, MEMBERSHIP_SCHEMA).filter((F.col("Dataset") == name) & F.col("Error").isNull())
+        held = {tuple(r) for r in done.select("Model", "Strategy", "Epsilon", "Data_Norm").collect()}
+        if wanted <= held or registry.SPECS[name].task != "classification":
+            continue
+        rows, spec = load_keyed(spark, name, root)
+        ready = sweeps.prepare(rows, name, [KEY], spec.target, spec.task, seed=seed, balance=spec.smote)
+        sweeps.mia_sweep(ready, keys=keys, seed=seed, done=held, save=lambda out: save_results(out, path), **options)
+    return finished_results(spark, path, MEMBERSHIP_SCHEMA).filter(F.col("Dataset").isin(list(names)))
+
+
 def run_reidentification(spark: SparkSession, name: str, root: str, ks: Sequence[int] = K_VALUES, **options: object) -> DataFrame:
     """Risk per k of a registered dataset under its attack roles, over the whole table."""
     rows, spec = load_attacked(spark, name, root)

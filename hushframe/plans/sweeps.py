@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.operators import membership, metrics, models, private, quantized, quantized_trees
@@ -24,7 +24,7 @@ from hushframe.operators.risk import class_summary, risk_summary
 from hushframe.operators.smote import smote
 from hushframe.operators.splits import hash_split, stratified_split
 from hushframe.session import cut_lineage, stage
-from hushframe.sources.results import KEYS, LONG_SCHEMA, append_results, finished_results
+from hushframe.sources.results import KEYS, LONG_SCHEMA, MEMBERSHIP_SCHEMA, finished_results, save_results
 
 LINEAR = ("lr", "lin_reg")
 # The techniques, named as the reports know them.
@@ -129,10 +129,13 @@ def measure(preds: DataFrame, task: str) -> DataFrame:
     return wide.select(*POINT, cells.alias("_c")).select(*POINT, "_c.*", F.lit(None).cast("string").alias("Error"))
 
 
-def _long_rows(p: Prepared, rows: Iterable[tuple]) -> DataFrame:
+def _cells(spark: SparkSession, name: str, task: str, rows: Iterable[tuple]) -> DataFrame:
     """Driver-side cells (timings, failures): model, method, epsilon, norm, k, metric, value, error."""
-    data = [(p.name, p.task, *r) for r in rows]
-    return p.train.sparkSession.createDataFrame(data, LONG_SCHEMA)
+    return spark.createDataFrame([(name, task, *r) for r in rows], LONG_SCHEMA)
+
+
+def _long_rows(p: Prepared, rows: Iterable[tuple]) -> DataFrame:
+    return _cells(p.train.sparkSession, p.name, p.task, rows)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -248,17 +251,14 @@ def privacy_sweep(
 
 
 def resume_sweep(p: Prepared, path: str, **options: object) -> DataFrame:
-    """Run what ``path`` does not hold yet, append each point as it ends, return everything.
+    """Run what ``path`` does not hold yet, save each point as it ends, return everything.
 
     A point is done when it has a metric; one that only failed is tried again.
     """
     spark = p.train.sparkSession
     held = cut_lineage(finished_results(spark, path).filter(F.col("Error").isNull()).select(*KEYS[:5]).distinct())
-    privacy_sweep(p, done=held, save=lambda rows: append_results(rows, path), **options)
-    rows = finished_results(spark, path)
-    # an earlier failure of a point that has succeeded since is history
-    solved = rows.filter(F.col("Error").isNull()).select(*KEYS[:5]).distinct()
-    return rows.filter(F.col("Error").isNull()).unionByName(pending_grid(rows.filter(F.col("Error").isNotNull()), solved, KEYS[:5]).select(rows.columns))
+    privacy_sweep(p, done=held, save=lambda rows: save_results(rows, path), **options)
+    return finished_results(spark, path)
 
 
 # --- k-anonymity ----------------------------------------------------------------------
@@ -266,33 +266,70 @@ def resume_sweep(p: Prepared, path: str, **options: object) -> DataFrame:
 
 def kanon_utility(
     train: DataFrame, test: DataFrame, name: str, keys: Sequence[str], target: str, task: str, ks: Sequence[int] = K_VALUES,
-    model_keys: Sequence[str] = MODELS, rule: str = "random", seed: str | int = 42, classes: Sequence[int] = (0, 1), **options: object,
+    model_keys: Sequence[str] = MODELS, rule: str = "random", seed: str | int = 42, classes: Sequence[int] = (0, 1),
+    done: Iterable[tuple[int, str]] = (), save: Callable[[DataFrame], None] | None = None, timings: bool = True, **options: object,
 ) -> DataFrame:
-    """Anonymize train and test together at every k, refit the preparation, train and measure."""
+    """Anonymize train and test together at every k, refit the preparation, train and measure.
+
+    Every k and every model inside it has its own error boundary; points (k, model) in
+    ``done`` are left out and ``save`` gets each point's rows as soon as it has ended.
+    With ``timings`` a point also has the seconds of its anonymization, fit and scoring;
+    one build of the partition serves all k, so its time counts for each of them.
+    """
     from hushframe.operators.clean import feature_roles
 
+    spark, held = train.sparkSession, set(done)
+    todo = {k: [m for m in model_names(task, model_keys) if (k, m) not in held] for k in ks}
+    todo = {k: found for k, found in todo.items() if found}
+    if not todo:
+        return spark.createDataFrame([], LONG_SCHEMA)
     both = tag_union(train, test)
     numeric, text = feature_roles(train.drop(*keys), target)
     qi = numeric if rule == "widest" else [c for c in train.columns if c in numeric + text]
+    start = metrics.clock()
     assigned = stage(
-        mondrian_sweep(both, qi, ks, categorical=[] if rule == "widest" else text, rule=rule, seed=seed, **options)
+        mondrian_sweep(both, qi, list(todo), categorical=[] if rule == "widest" else text, rule=rule, seed=seed, **options)
     )
-    preds = []
-    for k in ks:
-        pid = class_column(k)
-        rows = assigned.select(*both.columns, F.col(pid).alias("pid"))
-        rows = generalize_mean(rows, numeric)
-        if text and rule == "random":
-            rows = generalize_mode(rows, text)
-        rows = stage(rows.drop("pid"))
-        part_train, part_test = untag(rows)
-        fs = fit_features(part_train, target, skip=keys)
-        made = lambda part: fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")  # noqa: B023,E731
-        ready = Prepared(name, task, stage(made(part_train)), stage(made(part_test)), list(keys), fs.width, list(classes))
-        for model in model_names(task, model_keys):
-            scored = models.fit(model, ready.train)(ready.test)
-            preds.append(stage(predictions(scored, ready, model, KANON, k=k)))
-    return measure(union_all(preds), task)
+    built = metrics.clock() - start
+    cells = lambda k, rows: _cells(spark, name, task, [(m, KANON, None, None, k, c, v, e) for m, c, v, e in rows])
+    parts = []
+
+    def ended(rows: DataFrame) -> None:
+        if save is not None:
+            save(rows)
+        parts.append(rows)
+
+    for k, names in todo.items():
+        try:
+            start = metrics.clock()
+            rows = generalize_mean(assigned.select(*both.columns, F.col(class_column(k)).alias("pid")), numeric)
+            if text and rule == "random":
+                rows = generalize_mode(rows, text)
+            rows = stage(rows.drop("pid"))
+            process = built + metrics.clock() - start
+            part_train, part_test = untag(rows)
+            fs = fit_features(part_train, target, skip=keys)
+            made = lambda part: fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")  # noqa: B023,E731
+            ready = Prepared(name, task, stage(made(part_train)), stage(made(part_test)), list(keys), fs.width, list(classes))
+        except Exception as e:  # noqa: BLE001 - isolated per k, recorded for each of its models
+            for model in names:
+                ended(cells(k, [(model, "Failed", None, f"{type(e).__name__}: {e}")]))
+            continue
+        for model in names:
+            try:
+                start = metrics.clock()
+                scorer = models.fit(model, ready.train)
+                fitted = metrics.clock()
+                kept = stage(predictions(scorer(ready.test), ready, model, KANON, k=k))
+                scored = metrics.clock()
+                out = cut_lineage(measure(kept, task))
+                if timings:
+                    took = {"ProcessTime": process, "TrainTime": fitted - start, "InfTime": scored - fitted}
+                    out = out.unionByName(cells(k, [(model, c, v, None) for c, v in took.items()]))
+            except Exception as e:  # noqa: BLE001 - isolated per model, recorded in the result
+                out = cells(k, [(model, "Failed", None, f"{type(e).__name__}: {e}")])
+            ended(out)
+    return union_all(parts)
 
 
 # --- re-identification ------------------------------------------------------------------
@@ -354,33 +391,40 @@ def reid_report(
 # --- membership inference -----------------------------------------------------------------
 
 
+def mia_points(epsilons: Sequence[float], norms: Sequence[float], keys: Sequence[str]) -> list[tuple]:
+    """(model, strategy, epsilon, norm): plain and private fits of every model, weight-perturbed logistic regression."""
+    points = [(m, BASELINE, None, None) for m in keys]
+    points += [(m, DP, float(e), float(n)) for m in keys for n in norms for e in epsilons]
+    return points + [(m, QUANTIZED_DP, float(e), float(n)) for m in keys if m == "lr" for n in norms for e in epsilons]
+
+
 def mia_sweep(
     p: Prepared, epsilons: Sequence[float] = EPSILONS, norms: Sequence[float] = DATA_NORMS, keys: Sequence[str] = MODELS,
-    done: Sequence[str] = (), seed: str | int | None = None, attack_trees: int = membership.ATTACK_TREES,
-    save: Callable[[DataFrame], None] | None = None,
+    done: Iterable[tuple] = (), seed: str | int | None = None, attack_trees: int = membership.ATTACK_TREES,
+    save: Callable[[DataFrame], None] | None = None, threshold: float | None = None,
 ) -> DataFrame:
-    """Attack accuracy: plain and private fits of every model, weight-perturbed logistic regression.
+    """Attack accuracy of every point that is not in ``done``.
 
+    The attack is a forest, or with ``threshold`` a call by the model's own confidence.
     ``save`` gets each point's row as soon as it has ended.
     """
-    schema = "Dataset string, Model string, Strategy string, Epsilon double, Data_Norm double, MI_AttackAccuracy double, Error string"
     spark = p.train.sparkSession
-    if p.task != "classification" or p.name in set(done):
-        return spark.createDataFrame([], schema)
-    points = [(m, BASELINE, None, None) for m in keys]
-    points += [(m, DP, float(e), float(n)) for m in keys for n in norms for e in epsilons]
-    points += [(m, QUANTIZED_DP, float(e), float(n)) for m in keys if m == "lr" for n in norms for e in epsilons]
-    rows = []
-    for model, method, eps, norm in points:
+    if p.task != "classification":
+        return spark.createDataFrame([], MEMBERSHIP_SCHEMA)
+    rows, held = [], set(done)
+    for model, method, eps, norm in [x for x in mia_points(epsilons, norms, keys) if x not in held]:
         try:
             scorer, _ = score_point(p, model, method, eps, norm, seed)
-            table = membership.attack_split(membership.attack_table(scorer, p.train, p.test, p.keys), p.keys)
-            inferred = membership.forest_attack(stage(table), p.classes, trees=attack_trees)
+            table = stage(membership.attack_split(membership.attack_table(scorer, p.train, p.test, p.keys), p.keys))
+            if threshold is None:
+                inferred = membership.forest_attack(table, p.classes, trees=attack_trees)
+            else:
+                inferred = membership.threshold_attack(table, threshold)
             acc = membership.attack_accuracy(inferred, p.keys).first()[0]
             row = (p.name, model, method, eps, norm, acc, None)
         except Exception as e:  # noqa: BLE001 - isolated per technique, recorded in the result
             row = (p.name, model, method, eps, norm, None, f"{type(e).__name__}: {e}")
         rows.append(row)
         if save is not None:
-            save(spark.createDataFrame([row], schema))
-    return spark.createDataFrame(rows, schema)
+            save(spark.createDataFrame([row], MEMBERSHIP_SCHEMA))
+    return spark.createDataFrame(rows, MEMBERSHIP_SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,6 +18,9 @@ LONG_SCHEMA = (
     "K int, Metric string, Value double, Error string"
 )
 KEYS = ("Dataset", "Model", "Method", "Epsilon", "Data_Norm", "K")
+# What names a grid point inside a dataset, in any of the result tables.
+POINT = ("Model", "Method", "Strategy", "Epsilon", "Data_Norm", "K")
+MEMBERSHIP_SCHEMA = "Dataset string, Model string, Strategy string, Epsilon double, Data_Norm double, MI_AttackAccuracy double, Error string"
 RESOURCE_COLUMNS = (
     "Dataset", "Model", "Type", "Epsilon", "Data_Norm", "Task_Type",
     "CPU_Baseline", "RAM_Baseline", "Time_Baseline", "CPU_DP", "RAM_DP", "Time_DP",
@@ -49,20 +54,34 @@ def write_results(df: DataFrame, path: str) -> None:
     writer.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else writer.parquet(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Checkpoint finished rows; a dataset is a partition folder."""
-    df.write.mode("append").partitionBy("Dataset").parquet(path)
+def save_results(df: DataFrame, path: str) -> None:
+    """Save the rows of finished grid points; saving a point again is harmless.
 
+    A save is an attempt with a folder of its own, in it one file per dataset and point
+    that appears whole or not at all.  So one that was cut off, repeated or made by two
+    sweeps at once cannot mix with another; ``finished_results`` reads one attempt of
+    each point.
+    """
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in POINT if c in df.columns]
+    rows = df.withColumns({"Point": F.concat_ws("|", *named), "Saved": F.lit(time.time_ns())})
+    rows.coalesce(1).write.partitionBy("Dataset", "Point").parquet(f"{path.rstrip('/')}/Attempt=a{uuid.uuid4().hex}")
 
-def finished_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rows written so far, none before the first append."""
+
+def finished_results(spark: SparkSession, path: str, schema: str = LONG_SCHEMA) -> DataFrame:
+    """Rows saved so far, none before the first save.
+
+    Of several attempts at a point the last one that succeeded counts, else the last one.
+    """
     try:
         rows = spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], LONG_SCHEMA)
-    return rows.withColumn("Dataset", F.col("Dataset").cast("string"))
+        return spark.createDataFrame([], schema)
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("Dataset", "Point")})
+    last = rows.groupBy("Dataset", "Point").agg(F.max(F.struct(F.col("Error").isNull(), "Saved", "Attempt")).alias("_last"))
+    kept = rows.join(F.broadcast(last), ["Dataset", "Point"]).filter(F.col("Attempt") == F.col("_last.Attempt"))
+    return kept.select(*[c for c in spark.createDataFrame([], schema).columns if c in rows.columns])
 
 
 def write_report(df: DataFrame, folder: str, by: Sequence[str] = ("Task_Type", "Dataset")) -> None:

@@ -158,9 +158,9 @@ def test_sweep_reaches_the_reports(ready):
     wide = reports.pivot_export(long.filter("Metric in ('F1', 'AUC', 'TrainTime', 'InfTime')"))
     direct, back = reports.utility_of(long), reports.unpivot_utility(wide)
     key = lambda df: sorted((r["Model"], r["Method"], r["Metric_Type"], r["Epsilon"], r["Data_Norm"], r["Score"]) for r in df.collect())
-    assert key(direct) == key(back) and len(key(direct)) == 2 * (2 + 8 + 1 + 4)
+    assert key(direct) == key(back) and len(key(direct)) == 2 * (2 + 8 + 2 + 4)
     best = {(r["Model"], r["Method"]) for r in reports.best_tradeoff_cls(back).collect()}
-    assert best == {("lr", "Baseline"), ("lr", "DP"), ("lr", "Quantized"), ("lr", "Quantized_DP"), ("dt", "Baseline"), ("dt", "DP")}
+    assert best == {("lr", "Baseline"), ("lr", "DP"), ("lr", "Quantized"), ("lr", "Quantized_DP"), ("dt", "Baseline"), ("dt", "DP"), ("dt", "Quantized")}
     sizes = ready.train.groupBy(F.lit("toy").alias("Dataset")).agg(F.count("*").alias("Dataset_Rows"))
     cost = {(r["Model"], r["Method"]): r for r in reports.cost_report(reports.unpivot_cost(wide), sizes).collect()}
     assert cost["lr", "Baseline"]["Overhead_Factor"] == 1.0 and cost["lr", "DP"]["Overhead_Factor"] != 1.0
@@ -178,7 +178,7 @@ def test_grid_points():
     assert [p[:2] for p in reg if p[0] != "lin_reg"] == [("dt_reg", "Baseline"), ("rf_reg", "Baseline")]
     assert sum(p[1] == "DP" for p in reg) == 2
     cls = sweeps.grid_points("classification", (1.0,), (1.0,), ("lr", "rf"), every[1:])
-    assert ("rf", "Quantized", None, None) not in cls and ("lr", "Quantized", None, None) in cls and ("rf", "DP", 1.0, 1.0) in cls
+    assert ("rf", "Quantized", None, None) in cls and ("nb", "Quantized", None, None) not in sweeps.grid_points("classification", (1.0,), (1.0,), ("nb",), every) and ("lr", "Quantized", None, None) in cls and ("rf", "DP", 1.0, 1.0) in cls
 
 
 def test_kanon_with_text_columns(spark):

@@ -267,7 +267,7 @@ def sweep_report(spark, sf):
 def kanon_utility(spark, sf):
     p = hash_split(person(spark, sf).drop("o_orderpriority", "c_nationkey"), PERSON_KEY, 0.2, SEED)
     train, test = (p.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
-    return sweeps.kanon_utility(train, test, "orders", PERSON_KEY, "label", "classification", (10, 100), ("lr", "nb"), seed=SEED)
+    return sweeps.kanon_utility(train, test, "orders", PERSON_KEY, "label", "classification", (10, 100), ("lr", "nb"), seed=SEED, timings=False)
 
 
 @query("mia_infer")

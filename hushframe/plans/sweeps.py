@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.operators import membership, metrics, models, private, quantized, quantized_trees
+from hushframe.operators import deep_forest, membership, metrics, models, private, quantized, quantized_trees
 from hushframe.operators.aggregates import DATA_NORMS, EPSILONS, K_VALUES, MODELS, REGRESSION_NAMES, tag_union, untag
 from hushframe.operators.anonymize import class_column, generalize_mean, generalize_mode, mondrian_sweep
 from hushframe.operators.features import fit_features
@@ -337,11 +337,12 @@ def kanon_utility(
 
 def reid_report(
     df: DataFrame, key: Sequence[str], qi: Sequence[str], extra: Sequence[str], target: str, task: str, ks: Sequence[int],
-    targets: int | None = None, seed: str | int = 42, utility: bool = True, trees: int = 100, depth: int = 30, **options: object,
+    targets: int | None = None, seed: str | int = 42, utility: bool = True, trees: int = 100, depth: int | None = None, **options: object,
 ) -> DataFrame:
     """Risk per k of the published table, beside what its quasi-identifiers are still worth to a forest.
 
-    The class assignment is written once; risk and utility of every k read it.
+    The class assignment is written once; risk and utility of every k read it.  The
+    forest's trees grow to the end; with a ``depth`` it is Spark's own, capped there.
     """
     key, qi, extra = list(key), list(qi), list(extra)
     rows = df.select(*key, *qi, *[c for c in extra if c not in qi], target)
@@ -357,10 +358,15 @@ def reid_report(
         from pyspark.ml.feature import VectorAssembler
 
         ready = VectorAssembler(inputCols=qi, outputCol="features").transform(
-            hash_split(table, key, 0.3, seed).select("is_test", *qi, F.col(target).cast("double").alias("label"))
+            hash_split(table, key, 0.3, seed).select("is_test", *qi, F.col(target).cast("double").alias("label"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)])
         )
-        fitted = models.fit(model, ready.filter(~F.col("is_test")), trees=trees, depth=depth, balanced=False)
-        scored = fitted(ready.filter("is_test"))
+        train, test = ready.filter(~F.col("is_test")), ready.filter("is_test")
+        if depth is None:
+            classes = int(train.agg(F.max("label")).first()[0] or 0) + 1 if task == "classification" else 0
+            forest = deep_forest.fit_forest(train, len(qi), [f"_key{i}" for i in range(len(key))], classes=classes, trees=trees, seed=seed)
+            scored = stage(deep_forest.score_forest(test, forest).select("label", "prediction"))
+        else:
+            scored = models.fit(model, train, trees=trees, depth=depth, balanced=False)(test)
         m = metrics.classification_metrics(scored) if task == "classification" else metrics.regression_metrics(scored)
         return {c: round(v, 4) for c, v in m.first().asDict().items()}
 

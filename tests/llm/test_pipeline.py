@@ -12,7 +12,7 @@ from hushframe.llm import toxicity
 from frames import prose, write
 from plain import ascii_lower, words
 from test_mixing import plain_targets
-from test_simhash import plain_components, plain_fingerprint
+from test_near_dedup import plain_labels
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -50,7 +50,7 @@ def test_stages_in_order_over_a_corpus(spark, tmp_path):
     assert sorted(after.doc_id) == sorted(best.values()) and 2000 in set(after.doc_id) and 2002 in set(after.doc_id)
 
     before, after = kept["near_dedup"]
-    label = plain_components([plain_fingerprint(t) for t in before.text])
+    label = np.array(plain_labels(list(before.text))[0])
     least = {c: min(before.doc_id[label == c]) for c in set(label)}
     assert sorted(after.doc_id) == sorted(least.values())
 

@@ -15,10 +15,21 @@ SPACES = " \t\n\x0b\x0c\r"
 HOT_KEYS = 5_000
 # A key is never called hot below this many rows.
 HOT_ROWS = 20_000
+# Bytes of rows in one batch for a Python worker.
+BATCH_BYTES = 8 << 20
 # Bits of a row's index in its file in the numbers of with_place.
 FILE_BITS = 40
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lets at most BATCH_BYTES of rows go to a Python worker at once, in this session from now on.
+
+    A batch exists several times over, beside the heap and in the worker; long texts
+    would fill Spark's default of 64 MB.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import bounded_batches
 from hushframe.llm.tokens import default_tokenizer, encoder
 from hushframe.session import ensure_checkpoint_dir
 
@@ -73,6 +74,7 @@ def cut_pieces(documents: DataFrame, size: int = SIZE, end: int = END, tokenizer
 
     ``split`` and ``place`` number the pieces of one length as their task met them.
     """
+    bounded_batches(documents)
     path = tokenizer or default_tokenizer()
 
     def pieces(batches: Iterator) -> Iterator:
@@ -118,7 +120,8 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to staged pieces; other columns are carried along.
 
     The table of slots has a few ranges per length and pattern, however many pieces
-    there are, so it is broadcast.
+    there are, so it is broadcast.  Repeated rows are pieces of their own; no piece gives
+    no row.
     """
     spark = pieces.sparkSession
     counts = pieces.groupBy("length", "split").agg(F.count("*").alias("_n"))
@@ -140,7 +143,8 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 def sequences(packed: DataFrame, size: int = SIZE, pad: int = END) -> DataFrame:
     """The training rows: sequence_id, ids (little-endian, padded) and the real token count.
 
-    A total that is a power of two is left as it is, any other is padded to ``size``.
+    A total that is a power of two is left as it is, any other is padded to ``size``; no
+    piece gives no sequence.
     """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids", "length")))
     rows = packed.groupBy("sequence_id").agg(parts.alias("parts"))

@@ -26,7 +26,7 @@ _CHUNK = re.compile(
     rf" ?[{_LATIN}]++(?![^\x00-\x7f])|[ ]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+"
 )
 # Chunks remembered per task before the older half is forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def default_tokenizer() -> str:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import bounded_batches, fresh
+
 FOLDS = 5
 # The bound on labelled documents in a fit (expected size of the sample).
 MAX_LABELLED = 16_000
@@ -30,6 +32,8 @@ LEARNER_DOCS = 4_000
 EPOCHS = 8
 # A feature must occur in this many documents of a learner.
 MIN_DOCS = 3
+# Slots of the table that counts features before they are told apart.
+TABLE = 1 << 22
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 10.0, 0.1
 # Gradient of a toxic document against that of another: there are fewer of them.
 TOXIC_WEIGHT = 4.0
@@ -76,12 +80,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _learn(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
     """FTRL-proximal over ``rows`` in the given order; returns bias, hashes and weights."""
-    known, where, docs = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(r) for r in rows])
-    often = docs >= MIN_DOCS
+    # most features occur once: a table of fixed size drops them before anything is sorted
+    seen = np.zeros(TABLE, np.uint16)
+    for r in rows:
+        # adds once per slot and row, and never past what a row count can reach
+        seen[r % TABLE] += 1
+    rows = [r[seen[r % TABLE] >= MIN_DOCS] for r in rows]
+    del seen
+    flat = np.concatenate(rows)
+    flat.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(flat), 1), bool), flat[1:] != flat[:-1])))
+    known = flat[first[np.diff(np.append(first, len(flat))) >= MIN_DOCS]]
+    del flat, first
     z, n = np.zeros(len(known)), np.zeros(len(known))
     z0 = n0 = 0.0
-    spans = [w[often[w]] for w in np.split(where, ends[:-1])]
+    spans = []
+    for i, r in enumerate(rows):
+        at = np.searchsorted(known, r).astype(np.int32)
+        spans.append(at[known[np.minimum(at, len(known) - 1)] == r] if len(known) else at[:0])
+        rows[i] = None
 
     def weight(z, n):
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -107,6 +124,7 @@ def _learn(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[float, np.ndarra
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from the labelled documents outside the held-out fold."""
+    bounded_batches(documents)
     usable = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id")
@@ -129,17 +147,22 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 found = [np.unique(features(t)).tobytes() for t in texts]
                 dealt = [zlib.crc32(f"learner {i}".encode()) % learners for i in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(dealt, pa.int32()), pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(found, pa.binary())],
+                    [pa.array(dealt, pa.int32()), pa.array(ids, pa.string()), pa.array(ys, pa.int32()), pa.array(found, pa.binary())],
                     ["learner", "doc_id", "y", "features"],
                 )
 
-    def learn(pdf):
-        pdf = pdf.assign(order=[zlib.crc32(f"order {i}".encode()) for i in pdf.doc_id]).sort_values(["order", "doc_id", "features"])
-        bias, hashes, weights = _learn(pdf.y.to_numpy(), [np.frombuffer(f, np.uint32) for f in pdf.features])
-        return pd.DataFrame({"hash": np.concatenate(([-1], hashes.astype(np.int64))), "weight": np.concatenate(([bias], weights))})
+    def learn(table):
+        import pyarrow as pa
+
+        ids, ys = table.column("doc_id").to_pylist(), table.column("y").to_numpy()
+        # views of the rows as they came, no copy
+        found = [np.frombuffer(f.as_buffer(), np.uint32) for f in table.column("features")]
+        order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(f"order {ids[i]}".encode()), ids[i], len(found[i]), zlib.crc32(found[i])))
+        bias, hashes, weights = _learn(ys[order], [found[i] for i in order])
+        return pa.table({"hash": np.concatenate(([-1], hashes.astype(np.int64))), "weight": np.concatenate(([bias], weights))})
 
-    rows = chosen.select("doc_id", "text", "_y").mapInArrow(extract, "learner int, doc_id long, y int, features binary")
-    learned = rows.groupBy("learner").applyInPandas(learn, "hash long, weight double")
+    rows = chosen.select(F.col("doc_id").cast("string"), "text", "_y").mapInArrow(extract, "learner int, doc_id string, y int, features binary")
+    learned = rows.groupBy("learner").applyInArrow(learn, "hash long, weight double")
     # the sample bounds the distinct features, and L1 leaves a small part of them
     averaged = learned.groupBy("hash").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).orderBy("hash").toPandas()
     if averaged.empty:
@@ -150,6 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
 def score(documents: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
     """Adds the score of every whole text as column ``name``; the model is broadcast."""
+    bounded_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -177,7 +201,5 @@ def document_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``documents`` that score below 0.5; columns as they were."""
-    from hushframe.llm.common import fresh
-
     name = fresh(documents, "_toxicity")[0]
     return score(documents, fit(documents, labels), name).filter(F.col(name) < 0.5).drop(name)

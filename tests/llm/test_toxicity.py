@@ -94,6 +94,19 @@ def test_drop_keeps_columns(spark, tmp_path):
     assert len([i for i, y in labels if y == 0 and i in ids]) > 0.97 * 225 and len([i for i, y in labels if y and i in ids]) < 5
 
 
+def test_text_ids_and_clashing_columns(spark, tmp_path):
+    docs, labels = corpus()
+    frame = write(spark, tmp_path, docs)
+    plain = toxicity.document_scores(frame, spark.createDataFrame(labels, LABELS)).toPandas().sort_values("doc_id")
+    odd = frame.selectExpr("cast(doc_id as string) as doc_id", "text", "1 as score", "'x' as _toxicity", "2 as _y", "3 as y", "4 as learner")
+    named = spark.createDataFrame([(str(i), y, 9, "z") for i, y in labels], "doc_id string, toxic int, _y int, text string")
+    got = toxicity.document_scores(odd, named).toPandas()
+    got["doc_id"] = got.doc_id.astype(int)
+    assert np.allclose(got.sort_values("doc_id").score, plain.score, atol=1e-9)
+    kept = toxicity.drop_toxic(odd, named)
+    assert kept.columns == odd.columns and 0 < kept.count() < len(docs)
+
+
 def test_query_held_out(spark):
     got = QUERIES["op2_ftrl_toxicity"](spark, "/root/testdata/sf0.1").toPandas()
     labelled = got[got.held_out].merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")

@@ -12,6 +12,7 @@ first; repeated rows are written as often as they occur; an empty table gives no
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import bounded_batches
 from hushframe.llm.tokens import default_tokenizer, encoder
 from hushframe.session import ensure_checkpoint_dir
 
@@ -26,6 +28,8 @@ END = 2
 # Tokens after which a shard is closed; a document is never cut, so one may exceed it.
 SHARD_TOKENS = 2 << 20
 SHARDS = "part int, shard int, n_tokens long, bits int, zeros array<long>, planes binary, ranks binary, doc_ids array<long>, lengths array<long>"
+# Rows of one doc_id beyond which they are spread over several ranges.
+REPEATED = 1_000
 # Bits between two entries of the rank directory.
 BLOCK = 512
 
@@ -44,18 +48,22 @@ class WaveletMatrix:
         """``ids`` as unsigned integers below 2**bits."""
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, ranks, zeros = [], [], []
+        padded = np.zeros((len(now) // BLOCK + 1) * BLOCK // 8, np.uint8)
         for bit in range(bits - 1, -1, -1):
-            ones = ((now >> bit) & 1).astype(np.uint8)
-            packed = np.packbits(ones)
-            padded = np.zeros((len(now) // BLOCK + 1) * BLOCK // 8, np.uint8)
+            mask = (now & now.dtype.type(1 << bit)) != 0
+            packed = np.packbits(mask)
             padded[:len(packed)] = packed
-            per_block = np.bitwise_count(padded.reshape(-1, BLOCK // 8)).sum(1, dtype=np.uint32)
+            # eight bytes are counted at once
+            per_block = np.bitwise_count(padded.view(np.uint64).reshape(-1, BLOCK // 64)).sum(1, dtype=np.uint32)
             planes.append(packed)
             ranks.append(np.concatenate(([0], np.cumsum(per_block)[:-1])).astype("<u4"))
-            mask = ones.view(bool)
-            low = now[~mask]
-            zeros.append(len(low))
-            now = np.concatenate((low, now[mask]))
+            if bit:
+                # zeros first, either part in its order
+                low, high = np.compress(~mask, now), np.compress(mask, now)
+                zeros.append(len(low))
+                now = np.concatenate((low, high))
+            else:
+                zeros.append(len(now) - int(np.count_nonzero(mask)))
         return cls(len(ids), bits, zeros, b"".join(p.tobytes() for p in planes), b"".join(r.tobytes() for r in ranks))
 
     def _ones(self, plane: int, i: int) -> int:
@@ -81,6 +89,8 @@ class WaveletMatrix:
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         low, high = 0, i
+        if token >> self.bits:
+            return 0, 0
         for plane in range(self.bits):
             a, b = self._ones(plane, low), self._ones(plane, high)
             if token >> (self.bits - 1 - plane) & 1:
@@ -95,16 +105,25 @@ class WaveletMatrix:
         return high - low
 
     def _select(self, plane: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) ``bit`` of the plane, by bisection over ranks."""
-        low, high = 0, self.n
-        while low < high:
-            middle = (low + high) // 2
-            ones = self._ones(plane, middle + 1)
-            if (ones if bit else middle + 1 - ones) > k:
-                high = middle
-            else:
-                low = middle + 1
-        return low
+        """Position of the k-th (from 0) ``bit`` of the plane: its block by the directory, then inside the block."""
+        before = self.ranks[plane].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * BLOCK - before
+        block = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.planes[plane, block * BLOCK // 8:(block + 1) * BLOCK // 8])
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - before[block]])
+
+    def positions(self, token: int) -> np.ndarray:
+        """Positions of all occurrences of ``token``, in order: one pass over every plane."""
+        low, high = self._range(token, self.n)
+        at = np.arange(low, high)
+        for plane in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - plane) & 1
+            if not len(at):
+                break
+            places = np.flatnonzero(np.unpackbits(self.planes[plane], count=self.n) == bit)
+            at = places[at - (self.zeros[plane] if bit else 0)]
+        return at
 
     def find(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of ``token``."""
@@ -122,15 +141,18 @@ class WaveletMatrix:
         now = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[plane], count=self.n).view(bool)
+            low, high = now[:self.zeros[plane]], now[self.zeros[plane]:]
             back = np.empty_like(now)
-            back[~ones] = now[:self.zeros[plane]]
-            back[ones] = now[self.zeros[plane]:] | now.dtype.type(1 << (self.bits - 1 - plane))
+            # by places: several times faster than by mask
+            back[np.flatnonzero(~ones)] = low
+            back[np.flatnonzero(ones)] = high | now.dtype.type(1 << (self.bits - 1 - plane))
             now = back
         return now
 
 
 def write_shards(documents: DataFrame, path: str, end: int = END, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes shard files in ascending doc_id order, one shard per file."""
+    bounded_batches(documents)
     source = tokenizer or default_tokenizer()
 
     def shards(batches: Iterator) -> Iterator:
@@ -166,11 +188,11 @@ def write_shards(documents: DataFrame, path: str, end: int = END, tokenizer: str
         if docs:
             yield image()
 
-    ordered = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    # ranges are cut by the id alone, without reading a text, unless one id has very many rows
+    most = documents.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    ordered = rows.repartitionByRange(*(order if most > REPEATED else ["doc_id"])).sortWithinPartitions(*order)
     ordered.mapInArrow(shards, SHARDS).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
 
 
@@ -192,7 +214,10 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def token_positions(shards: DataFrame, token: int) -> DataFrame:
-    """Every occurrence of ``token`` as (part, shard, position in the shard), from the files alone."""
+    """Every occurrence of ``token`` as (part, shard, position in the shard), from the files alone.
+
+    A token beyond the vocabulary occurs nowhere; no shard gives no row.
+    """
 
     def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -200,8 +225,8 @@ def token_positions(shards: DataFrame, token: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 m = WaveletMatrix(row["n_tokens"], row["bits"], row["zeros"], row["planes"], row["ranks"])
-                n = m.count(token)
-                found = [m.find(token, k) for k in range(n)]
+                found = m.positions(token)
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(found, pa.int64())],
                     ["part", "shard", "position"],
@@ -210,31 +235,39 @@ def token_positions(shards: DataFrame, token: int) -> DataFrame:
     return shards.mapInArrow(look, "part int, shard int, position long")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Decodes every shard: part, shard, doc_id, start in the shard, n_tokens, ids (little-endian, 4 bytes)."""
+def read_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
+    """Decodes every shard: part, shard, doc_id, first (position in the shard), n_tokens, ids_crc32 and ``ids``.
+
+    The ids are little-endian unsigned 32-bit integers, and the checksum is theirs;
+    without ``ids`` it is all that leaves the task.
+    """
+    names = ["part", "shard", "doc_id", "first", "n_tokens", "ids_crc32"] + ["ids"] * ids
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
-                m = WaveletMatrix(one["n_tokens"], one["bits"], one["zeros"], one["planes"], one["ranks"])
-                ids = m.decode().astype("<u4").tobytes()
-                ends = np.cumsum(one["lengths"]).tolist()
-                starts = [0, *ends[:-1]]
+                one = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
+                part, shard, n, bits = (one[c].as_py() for c in ("part", "shard", "n_tokens", "bits"))
+                m = WaveletMatrix(n, bits, one["zeros"].as_py(), one["planes"].as_buffer(), one["ranks"].as_buffer())
+                raw = memoryview(m.decode().astype("<u4")).cast("B")
+                doc_ids, lengths = one["doc_ids"].values, one["lengths"].values.to_numpy()
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
                 for at in range(0, len(ends), 512):
                     a, b = starts[at:at + 512], ends[at:at + 512]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([one["part"]] * len(a), pa.int32()), pa.array([one["shard"]] * len(a), pa.int32()),
-                            pa.array(one["doc_ids"][at:at + 512], pa.int64()), pa.array(a, pa.int64()),
-                            pa.array([y - x for x, y in zip(a, b)], pa.int64()), pa.array([ids[4 * x:4 * y] for x, y in zip(a, b)], pa.binary()),
-                        ],
-                        ["part", "shard", "doc_id", "first", "n_tokens", "ids"],
-                    )
+                    spans = list(zip((4 * a).tolist(), (4 * b).tolist()))
+                    columns = [
+                        pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), shard, np.int32)), doc_ids.slice(at, 512), pa.array(a), pa.array(b - a),
+                        pa.array([zlib.crc32(raw[x:y]) for x, y in spans], pa.int64()),
+                    ]
+                    if ids:
+                        columns.append(pa.array([bytes(raw[x:y]) for x, y in spans], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return shards.mapInArrow(decode, "part int, shard int, doc_id long, first long, n_tokens long, ids binary")
+    schema = "part int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    return shards.mapInArrow(decode, schema)
 
 
 def document_tokens(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -243,7 +276,6 @@ def document_tokens(documents: DataFrame, tokenizer: str | None = None) -> DataF
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wavelet-{uuid.uuid4().hex}"
     write_shards(documents, path, tokenizer=tokenizer)
     shards = read_shards(spark, path)
-    rows = read_documents(shards).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return rows.join(shard_starts(shards), ["part", "shard"]).select(
+    return read_documents(shards, ids=False).join(shard_starts(shards), ["part", "shard"]).select(
         "doc_id", (F.col("shard_start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -23,6 +23,8 @@ def test_matrix_against_the_list(n, top):
         assert m.access(i) == ids[i]
         assert m.count(ids[i], i) == ids[:i].count(ids[i])
         assert m.find(ids[i], ids[:i].count(ids[i])) == i
+    for token in {*ids[:40], 0, top - 1, 1 << bits}:
+        assert m.positions(token).tolist() == [i for i, v in enumerate(ids) if v == token]
     assert m.count(top - 1) == ids.count(top - 1)
     with pytest.raises(IndexError):
         m.find(1, ids.count(1))
@@ -66,6 +68,13 @@ def test_many_shards_and_lookup(spark, tmp_path):
     assert found == ends.tolist()
 
 
+def test_ids_and_their_checksum(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(write(spark, tmp_path, EDGE), path, shard_tokens=3_000)
+    rows = wavelet.read_documents(wavelet.read_shards(spark, path)).collect()
+    assert len(rows) == len(EDGE) and all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in rows)
+
+
 def test_empty(spark, tmp_path):
     assert wavelet.document_tokens(write(spark, tmp_path, [])).count() == 0
 

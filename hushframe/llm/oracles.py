@@ -51,13 +51,14 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM r"""
 
 _MEASURES = {
-    "symbols": ("n_symbols", "n_words", 0, 100_000), "dup_lines": ("n_dup_lines", "n_lines", 0, 500_000),
-    "repeats": ("n_repeat_words", "n_words", 0, 400_000), "word_length": ("word_chars", "n_words", 3_000_000, 10_000_000),
+    "symbols": ("n_symbols", "n_words", 10_000), "dup_lines": ("n_dup_lines", "n_lines", 100_000),
+    "repeats": ("n_repeat_words", "n_words", 100_000), "word_length": ("word_chars", "n_words", 250_000),
 }
 _VALUES = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, '{k}' AS measure, CAST(floor({a} * 1000000e0 / greatest({b}, 1)) AS BIGINT) AS v, {low} AS free_low, {high} AS free_high, base_failed FROM m"
-    for k, (a, b, low, high) in _MEASURES.items()
+    f"SELECT doc_id, lang, source, '{k}' AS measure, CAST(floor({a} * 1000000e0 / greatest({b}, 1)) AS BIGINT) AS v, base_failed FROM m"
+    for k, (a, b, _) in _MEASURES.items()
 )
+_SPREAD = "CASE measure " + " ".join(f"WHEN '{k}' THEN {spread}" for k, (_, _, spread) in _MEASURES.items()) + " END"
 _DIGITS = "((v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0))"
 
 
@@ -72,7 +73,8 @@ def _fences(name: str, keys: str) -> str:
   SELECT {part}, min(CASE WHEN upto * 4 >= total THEN digits END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN digits END) AS q3, max(total) AS docs
   FROM {name}1 GROUP BY {part}),
 {name} AS (
-  SELECT {part}, docs, q1 - 3 * (q3 - q1) AS low, q3 + (CAST(1 AS BIGINT) << greatest(length(bin(q3)) - 8, 0)) - 1 + 3 * (q3 - q1) AS high FROM {name}2)"""
+  SELECT {part}, docs, q1 - 3 * greatest(q3 - q1, {_SPREAD}) AS low,
+         q3 + (CAST(1 AS BIGINT) << greatest(length(bin(q3)) - 8, 0)) - 1 + 3 * greatest(q3 - q1, {_SPREAD}) AS high FROM {name}2)"""
 
 
 ADAPTIVE_QUALITY = f"""
@@ -104,8 +106,8 @@ b AS (
   SELECT coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, measure, {_DIGITS} AS digits FROM v WHERE NOT base_failed),{_fences("g", "lang, source")},{_fences("h", "lang")},{_fences("c", "")},
 j AS (
   SELECT v.doc_id, bool_or(NOT v.base_failed AND (
-      v.v > greatest(CASE WHEN g.docs >= 200 THEN g.high WHEN h.docs >= 200 THEN h.high ELSE c.high END, v.free_high)
-      OR v.v < least(CASE WHEN g.docs >= 200 THEN g.low WHEN h.docs >= 200 THEN h.low ELSE c.low END, v.free_low))) AS outside
+      v.v > CASE WHEN g.docs >= 200 THEN g.high WHEN h.docs >= 200 THEN h.high ELSE c.high END
+      OR v.v < CASE WHEN g.docs >= 200 THEN g.low WHEN h.docs >= 200 THEN h.low ELSE c.low END)) AS outside
   FROM v
   LEFT JOIN g ON g.lang = coalesce(v.lang, '-') AND g.source = coalesce(v.source, '-') AND g.measure = v.measure
   LEFT JOIN h ON h.lang = coalesce(v.lang, '-') AND h.measure = v.measure

@@ -5,8 +5,10 @@ go into mergeable quantile sketches: counts per value cut to its eight leading b
 digits (relative error below 1/128), one sketch per language, source and measure.
 Sketches merge by adding counts, so a group with few documents uses its language's
 merged sketch, and a language with few the corpus's.  A document fails where a measure
-lies outside the group's quartiles by more than three times their distance and also
-outside the range in which no rule objects.
+lies beyond the group's quartiles by more than three times their distance, which holds
+while less than a quarter of the group is bad.  Where quartiles nearly coincide, a small
+spread per measure stands for their distance: what no document of a source does at all,
+one may do a little.  No fixed cutoff takes part.
 
 Defined cases: a null text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated rows are judged alike; an empty table gives
@@ -25,12 +27,12 @@ from hushframe.operators.joins import attach
 from hushframe.session import cut_lineage, stage
 
 UNIT = 1_000_000
-# measure -> (numerator, denominator, never too low above, never too high below), in millionths
+# measure -> (numerator, denominator, least distance of the quartiles), in millionths
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 0, 100_000),
-    "dup_lines": ("n_dup_lines", "n_lines", 0, 500_000),
-    "repeats": ("n_repeat_words", "n_words", 0, 400_000),
-    "word_length": ("word_chars", "n_words", 3_000_000, 10_000_000),
+    "symbols": ("n_symbols", "n_words", 10_000),
+    "dup_lines": ("n_dup_lines", "n_lines", 100_000),
+    "repeats": ("n_repeat_words", "n_words", 100_000),
+    "word_length": ("word_chars", "n_words", 250_000),
 }
 DIGITS = 8
 FENCE = 3
@@ -90,7 +92,8 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     cum = cum.withColumn("_upto", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(whole))
     at = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("digits")))
     q = cum.groupBy(*keys, "measure").agg(at(1).alias("_q1"), at(3).alias("_q3"), F.max("_all").alias("docs"))
-    reach = (F.col("_q3") - F.col("_q1")) * FENCE
+    spread = F.element_at(F.create_map(*[F.lit(v) for k, m in MEASURES.items() for v in (k, m[2])]), F.col("measure"))
+    reach = F.greatest(F.col("_q3") - F.col("_q1"), spread) * FENCE
     # an entry stands for all values with its leading digits, so the upper fence starts at its last one
     last = F.col("_q3") + F.expr(f"shiftleft(1L, greatest(length(bin(_q3)) - {DIGITS}, 0)) - 1L")
     return q.select(*keys, "measure", (F.col("_q1") - reach).alias("low"), (last + reach).alias("high"), "docs")
@@ -120,15 +123,12 @@ def judged(documents: DataFrame) -> DataFrame:
     m = measured(documents).withColumns({"_lang": key("lang"), "_source": key("source")})
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     m = stage(m.withColumn("base_failed", failed).withColumns({
-        f"_{k}": F.floor(F.col(a) * UNIT / F.greatest(F.col(b), F.lit(1))).cast("long") for k, (a, b, _, _) in MEASURES.items()
+        f"_{k}": F.floor(F.col(a) * UNIT / F.greatest(F.col(b), F.lit(1))).cast("long") for k, (a, b, _) in MEASURES.items()
     }))
     passed = m.filter(~F.col("base_failed"))
     sizes = m.groupBy("_lang", "_source").agg(F.count("*").alias("_rows"))
     limits = sizes.join(thresholds(sketches(passed)), ["_lang", "_source"], "left")
-    bad = [
-        (F.col(f"_{k}") > F.greatest(F.col(f"{k}_high"), F.lit(high))) | (F.col(f"_{k}") < F.least(F.col(f"{k}_low"), F.lit(low)))
-        for k, (_, _, low, high) in MEASURES.items()
-    ]
+    bad = [(F.col(f"_{k}") > F.col(f"{k}_high")) | (F.col(f"_{k}") < F.col(f"{k}_low")) for k in MEASURES]
     ok = ~F.coalesce(reduce(lambda a, b: a | b, bad), F.lit(False))
     return attach(m, limits, ["_lang", "_source"], weight="_rows").withColumn("kept", ~F.col("base_failed") & ok)
 

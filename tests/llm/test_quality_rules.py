@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pandas as pd
+import pytest
 
 from hushframe.llm import quality_rules
 from hushframe.llm.queries import QUERIES
@@ -50,6 +51,47 @@ def test_learned_thresholds_follow_the_group(spark, tmp_path, monkeypatch):
     assert not got[99] and not got[1099]
 
 
+def test_outliers_below_usual_cutoffs_go(spark, tmp_path):
+    """In 1,000 documents without a repeated line or symbol, 40 % repeated lines or 8 % symbols are outliers."""
+    lines = lambda k, n: "\n".join(prose(5, 7 * k + 31 * j) + f" end{k}x{j}" for j in range(n))
+    rows = [(k, lines(k, 20)) for k in range(1_000)]
+    short, long = [f"few words{k}" for k in range(8)], [" ".join(_own(3_000 + k)) for k in range(4)]
+    rows += [(5_000, "\n".join(short + long + short)), (5_001, lines(2_001, 20) + " #" * 9)]
+    got = quality_rules.document_verdicts(write(spark, tmp_path, rows, source="s", lang="en")).toPandas().set_index("doc_id")
+    assert got.n_dup_lines[5_000] == 8 and got.n_symbols[5_001] == 9 and not got.base_failed[[5_000, 5_001]].any()
+    assert not got.kept[5_000] and not got.kept[5_001] and got.kept[list(range(1_000))].all()
+
+
+def _own(k):
+    return [f"{w}{chr(97 + i % 26)}" for i, w in enumerate(prose(90, 40 * k).split())]
+
+
+def _with(measure, k):
+    """A document with much of one measure and little of the others."""
+    w = _own(k)
+    if measure == "symbols":
+        return " ".join(w) + " #" * 12
+    if measure == "dup_lines":
+        parts = [" ".join(w[i:i + 2]) for i in range(0, 60, 2)]
+        return "\n".join([*parts, *parts[:12], *(" ".join(w[i:i + 6]) for i in range(60, 90, 6))])
+    if measure == "repeats":
+        return " ".join([*w, *w[:15], "between", *w[20:30]])
+    return " ".join(x + "qwertz" for x in w)
+
+
+@pytest.mark.parametrize("measure", list(quality_rules.MEASURES))
+def test_every_measure_is_judged_by_its_source(spark, tmp_path, measure):
+    """What is usual in one source is an outlier in another."""
+    plain_rows = [(k, " ".join(_own(k))) for k in range(300)] + [(900, _with(measure, 900))]
+    usual = [(1_000 + k, _with(measure, k)) for k in range(300)]
+    write(spark, tmp_path, plain_rows, "a", source="plain", lang="en").unionByName(
+        write(spark, tmp_path, usual, "b", source="usual", lang="en")
+    ).write.parquet(str(tmp_path / "both"))
+    got = quality_rules.document_verdicts(spark.read.parquet(str(tmp_path / "both"))).toPandas().set_index("doc_id")
+    assert not got.base_failed.any() and not got.kept[900]
+    assert got.kept[[1_000 + k for k in range(300)]].all() and got.kept[list(range(300))].mean() > 0.95
+
+
 def test_small_groups_use_the_merged_sketch(spark, tmp_path):
     rows = [(i, prose(100, i)) for i in range(300)]
     got = quality_rules.document_verdicts(write(spark, tmp_path, rows + [(999, prose(90) + " $" * 90)])).toPandas().set_index("doc_id")

@@ -26,9 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe.llm.common import fresh, join_hot, with_place
-from hushframe.operators.joins import is_small
-from hushframe.session import cut_lineage, stage
+from hushframe.llm.common import join_hot
+from hushframe.session import stage
 
 SHINGLE = 3
 DISTANCE = 3
@@ -203,23 +202,3 @@ def _with_component(docs: DataFrame) -> DataFrame:
     named = stage(named.join(ids, "component").select("fp", "component_id", "copies"))
     total = named.agg(F.sum("copies")).first()[0] or 0
     return join_hot(docs, named, ["fp"], "copies", total)
-
-
-def drop_near_copies(scan: DataFrame) -> DataFrame:
-    """``scan`` (a plain file scan) with one row per component; columns as they were.
-
-    The row with the smallest doc_id stays, and of repeated rows with it the first.
-    """
-    row = fresh(scan, "_row")[0]
-    docs = with_place(scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
-    docs = stage(with_fingerprint(docs, "fp").select("row", "doc_id", "fp"))
-    named = stage(_with_component(docs).select("row", "doc_id", "fp", "component_id"))
-    # documents without an id have components only of their own kind
-    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    first = named.groupBy(key.alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("b")).select(F.col("b.row").alias(row))
-    kept = stage(first)
-    dropped = named.select(F.col("row").alias(row)).join(kept, row, "left_anti")
-    dropped = stage(dropped)
-    if is_small(dropped):
-        dropped = F.broadcast(dropped)
-    return with_place(scan, row).join(dropped, row, "left_anti").drop(row)

@@ -83,25 +83,8 @@ def test_long_chains(spark):
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
-def test_drop_keeps_one_row_and_all_columns(spark, tmp_path):
-    rows = EDGE + [(20, prose(80)), (21, prose(80)), (20, prose(80))]
-    docs = write(spark, tmp_path, rows).withColumn("row", F.lit(1))
-    docs.write.parquet(str(tmp_path / "more"))
-    got = simhash.drop_near_copies(spark.read.parquet(str(tmp_path / "more")))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
-    label = plain_components([plain_fingerprint(t) for _, t in rows])
-    kept = got.collect()
-    assert len(kept) == len(set(label))
-    least = {}
-    for (i, _), c in zip(rows, label):
-        if i is not None:
-            least[c] = min(least.get(c, i), i)
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least.values())
-
-
 def test_empty(spark, tmp_path):
     assert simhash.document_components(write(spark, tmp_path, [])).count() == 0
-    assert simhash.drop_near_copies(write(spark, tmp_path, [], "e")).count() == 0
 
 
 def test_query(spark, sf):

@@ -2,13 +2,14 @@
 
 A credential has parts: an identifier, a secret, an endpoint.  The base patterns are
 strong and always reported.  Weak candidates (a bare 40-character key, a short assigned
-value, a user name, a URL) are reported only where their complement lies within
-``SCOPE`` characters in the same text: a weak secret or user name needs the other of
-identifier and secret, an endpoint needs both.
+value, a user name, a URL) are reported only where their complement lies in the same
+text with at most ``SCOPE`` characters between the two: a weak secret or user name needs
+the other of identifier and secret, an endpoint needs both.
 
-Linking is an interval join without pairs: part starts fall into bins as wide as the
-scope, each bin keeps its first and last identifier and secret, and a candidate meets
-its own and the two neighbouring bins by equality.
+Linking is an interval join that never makes pairs.  An interval is near a candidate if
+it starts no later than SCOPE after the candidate's end and ends no earlier than SCOPE
+before its start.  So a candidate needs one number per role: the furthest end among the
+intervals that start in time, a running maximum over the text's parts in order.
 
 Defined cases: a null text is empty; repeated rows are searched each on its own;
 positions count code points; an empty table gives an empty result.
@@ -29,10 +30,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_LENGTH = 12
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 # Weak candidates; "short" ones are assignments whose value is too short for the base.
-SHORT_LENGTH = 6
+SHORT_LENGTH = 4
 WEAK = {
     "key": r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])",
-    "user": r"""(?i)(?<![A-Za-z0-9_])(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
+    "user": r"""(?i)(?<![A-Za-z0-9])(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
     "endpoint": r"""(?<![A-Za-z0-9_])[a-z][a-z0-9+.]{1,12}://[^\s"'<>]+""",
 }
 KINDS = [*BASE, "short", *WEAK]
@@ -75,27 +76,19 @@ def parts(scan: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked(found: DataFrame) -> DataFrame:
     """Strong parts and the weak ones whose complement is near: row, kind, start, end."""
     found = stage(found)
-    binned = found.withColumn("bin", F.floor(F.col("start") / SCOPE))
-    of = lambda kinds: F.when(F.col("kind").isin(*kinds), F.col("start"))
-    bins = binned.groupBy("row", "bin").agg(
-        F.min(of(IDENTIFIERS)).alias("id_low"), F.max(of(IDENTIFIERS)).alias("id_high"),
-        F.min(of(SECRETS)).alias("secret_low"), F.max(of(SECRETS)).alias("secret_high"),
-    )
-    weak = binned.filter(~F.col("kind").isin(*BASE)).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    weak = weak.withColumn("bin", F.col("bin") + F.col("side"))
-    # the last part of the bin before and the first of the bin after are the nearest ones
-    near = lambda role: (
-        F.when(F.col("side") == 0, F.col(f"{role}_low").isNotNull())
-        .when(F.col("side") < 0, F.col(f"{role}_high") >= F.col("start") - SCOPE)
-        .otherwise(F.col(f"{role}_low") <= F.col("start") + SCOPE)
-    )
-    met = weak.join(bins, ["row", "bin"]).groupBy("row", "kind", "start", "end").agg(
-        F.coalesce(F.max(near("id")), F.lit(False)).alias("id"), F.coalesce(F.max(near("secret")), F.lit(False)).alias("secret")
-    )
+    weak = ~F.col("kind").isin(*BASE)
+    role = lambda kinds: F.when(F.col("kind").isin(*kinds), F.col("end"))
+    # every part is met at its start; a weak one asks at the last place where a near part may start
+    met = found.select("row", F.col("start").alias("at"), F.lit(0).alias("asks"), "kind", "start", "end", role(IDENTIFIERS).alias("id"), role(SECRETS).alias("secret"))
+    none = F.lit(None).cast(found.schema["end"].dataType)
+    asked = found.filter(weak).select("row", (F.col("end") + SCOPE).alias("at"), F.lit(1).alias("asks"), "kind", "start", "end", none.alias("id"), none.alias("secret"))
+    sofar = Window.partitionBy("row").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    swept = met.unionByName(asked).withColumns({c: F.max(c).over(sofar) for c in ("id", "secret")}).filter("asks = 1")
+    near = lambda c: F.coalesce(F.col(c) >= F.col("start") - SCOPE, F.lit(False))
     needs = (
-        F.when(F.col("kind") == "user", F.col("secret")).when(F.col("kind") == "endpoint", F.col("id") & F.col("secret")).otherwise(F.col("id"))
+        F.when(F.col("kind") == "user", near("secret")).when(F.col("kind") == "endpoint", near("id") & near("secret")).otherwise(near("id"))
     )
-    return found.filter(F.col("kind").isin(*BASE)).unionByName(met.filter(needs).select("row", "kind", "start", "end"))
+    return found.filter(~weak).unionByName(swept.filter(needs).select("row", "kind", "start", "end"))
 
 
 def document_secrets(documents: DataFrame) -> DataFrame:

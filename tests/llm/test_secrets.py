@@ -16,8 +16,8 @@ BASE = [
     ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
 ]
 WEAK = [
-    ("short", ASSIGN, lambda m: 6 <= len(m[2]) < 12), ("key", re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"), None),
-    ("user", re.compile(r"""(?<![A-Za-z0-9_])(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", re.I | re.A), None),
+    ("short", ASSIGN, lambda m: 4 <= len(m[2]) < 12), ("key", re.compile(r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+=]{40}(?![A-Za-z0-9/+=])"), None),
+    ("user", re.compile(r"""(?<![A-Za-z0-9])(user|user_?name|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", re.I | re.A), None),
     ("endpoint", re.compile(r"""(?<![A-Za-z0-9_])[a-z][a-z0-9+.]{1,12}://[^\s"'<>]+""", re.A), None),
 ]
 
@@ -28,10 +28,10 @@ def spans(text, rules, first):
 
 def plain(text):
     base, weak = spans(text, BASE, 0), spans(text, WEAK, len(BASE))
-    roles = [(s, k in ("access", "user"), k in ("assign", "short", "key", "hex")) for s, _, _, k in base + weak]
+    roles = [((s, e), k in ("access", "user"), k in ("assign", "short", "key", "hex")) for s, _, e, k in base + weak]
     linked = []
     for s, o, e, k in weak:
-        has = lambda r: any(x[r] and abs(x[0] - s) <= 200 for x in roles)  # noqa: B023, E731
+        has = lambda r: any(x[r] and max(x[0][0] - e, s - x[0][1]) <= 200 for x in roles)  # noqa: B023, E731
         if {"user": has(2), "endpoint": has(1) and has(2)}.get(k, has(1)):
             linked.append((s, o, e, k))
     show = lambda found: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
@@ -55,6 +55,27 @@ CASES = [
 ]
 
 
+# What a reader would report beside the base spans, by hand: (text, {kind: covered text}).
+REPORTED = [
+    ("token=" + "a1" * 200 + "\nuser=bob", {"user": "user=bob"}),
+    ("DB_USER=app\nDB_PASSWORD=hunter22", {"user": "USER=app", "short": "PASSWORD=hunter22"}),
+    ("user=app\npassword=hunter22", {"user": "user=app", "short": "password=hunter22"}),
+    ("login: carol, secret: abcd", {"user": "login: carol", "short": "secret: abcd"}),
+    ("password=hunter22 on its own", {}),
+    ("user=bob " + "." * 190 + " https://db.example.org/x " + "." * 190 + " token=abcdefghijkl", {"endpoint": "https://db.example.org/x"}),
+    ("user=bob " + "." * 201 + " password=hunter22", {}),
+    ("https://example.org/" + "p" * 500 + " user=x password=abcd", {"endpoint": "https://example.org/" + "p" * 500, "user": "user=x", "short": "password=abcd"}),
+]
+
+
+def test_reports_by_hand(spark, tmp_path):
+    got = {r.doc_id: r.spans for r in secrets.document_secrets(write(spark, tmp_path, [(i, t) for i, (t, _) in enumerate(REPORTED)])).collect()}
+    for i, (text, want) in enumerate(REPORTED):
+        spans = [s.split(":") for s in got[i].split(",") if s]
+        have = {k: text[int(a):int(b)] for k, a, b in spans if k not in ("assign", "access", "hex")}
+        assert have == want, text
+
+
 def test_edges(spark, tmp_path):
     rows = EDGE + list(enumerate(CASES, 100)) + [(300, prose(3_000) + " token=abcdefghijkl " + "0123456789abcdef " * 2_000)]
     check(secrets.document_secrets(write(spark, tmp_path, rows)).toPandas(), rows)

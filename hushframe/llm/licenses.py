@@ -29,18 +29,19 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 
 # label -> regexes of the license's name over words; from specific to general
 NAMES: dict[str, tuple[str, ...]] = {
-    "agpl-3": ("gnu affero general public license( version)?( v)? ?3( 0)?", "gnu affero general public license"),
-    "agpl-3-short": ("agpl( v)? ?3?( 0)?( only| or later)?",),
-    "lgpl-2.1": ("gnu lesser general public license( version)?( v)? ?2 1",),
-    "lgpl-3": ("gnu lesser general public license( version)?( v)? ?3( 0)?", "gnu lesser general public license"),
-    "lgpl": ("lgpl( v)? ?(2 1|3|3 0)?( only| or later)?",),
+    "agpl-3": ("gnu affero general public license( version)?( v)? ?3( 0)?( or later)?", "agpl( version)?( v)? ?3( 0)?( only| or later)?", "agplv3( 0)?( only| or later)?"),
+    "agpl": ("gnu affero general public license", "gnu agpl", "agpl license"),
+    "lgpl-2.1": ("gnu lesser general public license( version)?( v)? ?2 1( or later)?", "lgpl( version)?( v)? ?2 1( only| or later)?", "lgplv2 1( only| or later)?"),
+    "lgpl-3": ("gnu lesser general public license( version)?( v)? ?3( 0)?( or later)?", "lgpl( version)?( v)? ?3( 0)?( only| or later)?", "lgplv3( 0)?( only| or later)?"),
+    "lgpl": ("gnu lesser general public license", "gnu lgpl", "lgpl license"),
     "lgpl-2": ("gnu library general public license( version 2)?",),
     "gpl-2": ("gnu general public license( version)?( v)? ?2( 0)?( or later)?", "gnu gpl( version)?( v)? ?2( 0)?"),
     "gpl-3": ("gnu general public license( version)?( v)? ?3( 0)?( or later)?", "gnu gpl( version)?( v)? ?3( 0)?"),
-    "gpl": ("gnu general public license", "gnu gpl", "gnu public license"),
-    "gpl-short": ("gpl( version)?( v)? ?(2|2 0|3|3 0)( only| or later)?", "gpl license"),
+    "gpl-2-short": ("gpl( version)?( v)? ?2( 0)?( only| or later)?", "gplv2( 0)?( only| or later)?"),
+    "gpl-3-short": ("gpl( version)?( v)? ?3( 0)?( only| or later)?", "gplv3( 0)?( only| or later)?"),
+    "gpl": ("gnu general public license", "gnu gpl", "gnu public license", "gpl license"),
     "gfdl": ("gnu free documentation license( version 1 (1|2|3))?",),
-    "apache-2": ("apache license( version)? 2( 0)?", "apache software license( version)? 2( 0)?", "apache( license)? 2( 0)?( license)?"),
+    "apache-2": ("apache license( version)?( v)? ?2( 0)?", "apache software license( version)? 2( 0)?", "apache( license)? 2( 0)?( license)?", "apache license v2( 0)?"),
     "apache-1.1": ("apache license( version)? 1 1", "apache software license( version)? 1 1"),
     "apache": ("apache license", "apache software license"),
     "mit-0": ("mit no attribution( license)?", "mit 0 license"),
@@ -51,10 +52,12 @@ NAMES: dict[str, tuple[str, ...]] = {
     "bsd-0-clause": ("zero clause bsd( license)?", "0bsd( license)?"),
     "bsd": ("bsd license", "bsd style license"),
     "mpl-1.1": ("mozilla public license( version)?( v)? ?1 1",),
-    "mpl-2": ("mozilla public license( version)?( v)? ?2( 0)?", "mozilla public license"),
-    "mpl": ("mpl( version)?( v)? ?(1 1|2|2 0)",),
+    "mpl-2": ("mozilla public license( version)?( v)? ?2( 0)?", "mpl( version)?( v)? ?2( 0)?", "mplv2( 0)?"),
+    "mpl-1.1-short": ("mpl( version)?( v)? ?1 1",),
+    "mpl": ("mozilla public license",),
     "epl-1": ("eclipse public license( version)?( v)? ?1( 0)?",),
-    "epl-2": ("eclipse public license( version)?( v)? ?2( 0)?", "eclipse public license"),
+    "epl-2": ("eclipse public license( version)?( v)? ?2( 0)?",),
+    "epl": ("eclipse public license",),
     "edl-1": ("eclipse distribution license( version)?( v)? ?1( 0)?",),
     "cddl-1": ("common development and distribution license( version)?( 1 0| 1 1)?",),
     "cpl-1": ("common public license( version)?( 1 0)?",),
@@ -63,7 +66,8 @@ NAMES: dict[str, tuple[str, ...]] = {
     "zlib": ("zlib license", "zlib libpng license"),
     "bsl-1": ("boost software license( version)?( 1 0)?",),
     "artistic-2": ("artistic license( version)? 2( 0)?",),
-    "artistic-1": ("artistic license( version)? 1( 0)?", "artistic license"),
+    "artistic-1": ("artistic license( version)? 1( 0)?",),
+    "artistic": ("artistic license",),
     "psf-2": ("python software foundation license( version 2)?",),
     "psf-2-short": ("psf license( agreement)?",),
     "ofl-1.1": ("sil open font license( version)?( 1 1)?", "open font license"),
@@ -71,15 +75,17 @@ NAMES: dict[str, tuple[str, ...]] = {
     "wtfpl": ("wtfpl( version 2)?",),
     "cc0-1": ("cc0( 1 0)?( universal)?( public domain dedication)?",),
     "cc-by-nc-nd": ("cc by nc nd( \\d 0)?",),
-    "cc-by-nc-nd-long": ("creative commons attribution non ?commercial no ?deriv(ative)?s?( \\d 0)?",),
+    "cc-by-nc-nd-long": ("creative commons attribution non ?commercial no ?deriv(ative)?s?( works)?( \\d 0)?( international)?( public)?( license)?",),
+    "cc-by-nc-sa-long": ("creative commons attribution non ?commercial share ?alike( \\d 0)?( international)?( public)?( license)?",),
     "cc-by-nc-sa": ("cc by nc sa( \\d 0)?",),
     "cc-by-nc": ("cc by nc( \\d 0)?",),
-    "cc-by-nc-long": ("creative commons attribution noncommercial( \\d 0)?( international)?( license)?",),
+    "cc-by-nc-long": ("creative commons attribution non ?commercial( \\d 0)?( international)?( public)?( license)?",),
     "cc-by-nd": ("cc by nd( \\d 0)?",),
+    "cc-by-nd-long": ("creative commons attribution no ?deriv(ative)?s?( works)?( \\d 0)?( international)?( public)?( license)?",),
     "cc-by-sa": ("cc by sa( \\d 0)?",),
-    "cc-by-sa-long": ("creative commons attribution share ?alike( \\d 0)?( international)?( license)?",),
+    "cc-by-sa-long": ("creative commons attribution share ?alike( \\d 0)?( international)?( public)?( license)?",),
     "cc-by": ("cc by \\d 0",),
-    "cc-by-long": ("creative commons attribution( \\d 0)?( international)? license",),
+    "cc-by-long": ("creative commons attribution( \\d 0)?( international)?( public)? license",),
     "cc": ("creative commons license",),
     "odbl-1": ("open database license( version)?( v)? ?(1 0)?",),
     "odbl-1-short": ("odbl 1 0",),
@@ -94,6 +100,26 @@ NAMES: dict[str, tuple[str, ...]] = {
     "ms-pl": ("microsoft public license", "microsoft reciprocal license"),
     "proprietary": ("proprietary( software)? license", "proprietary and confidential"),
 }
+# Identifiers of public licenses as words, without which a notice is often just this line.
+IDENTIFIERS = {
+    "mit": "mit", "mit-0": "mit 0", "isc": "isc", "0bsd": "0bsd", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause( clear)?", "bsd-4-clause": "bsd 4 clause",
+    "apache-2": "apache 2 0", "apache-1.1": "apache 1 1", "gpl-1": "gpl 1 0( only| or later)?", "gpl-2": "gpl 2 0( only| or later)?", "gpl-3": "gpl 3 0( only| or later)?",
+    "lgpl-2": "lgpl 2 0( only| or later)?", "lgpl-2.1": "lgpl 2 1( only| or later)?", "lgpl-3": "lgpl 3 0( only| or later)?", "agpl-3": "agpl 3 0( only| or later)?",
+    "gfdl": "gfdl 1 [123]( only| or later)?", "mpl-1.1": "mpl 1 1", "mpl-2": "mpl 2 0", "epl-1": "epl 1 0", "epl-2": "epl 2 0", "cddl-1": "cddl 1 [01]", "cpl-1": "cpl 1 0",
+    "eupl": "eupl 1 [012]", "zlib": "zlib", "libpng-2": "libpng 2 0", "bsl-1": "bsl 1 0", "artistic-1": "artistic 1 0", "artistic-2": "artistic 2 0", "psf-2": "(psf|python) 2 0",
+    "ofl-1.1": "ofl 1 1", "unlicense": "unlicense", "wtfpl": "wtfpl", "cc0-1": "cc0 1 0", "cc-by": "cc by [1234] [05]", "cc-by-sa": "cc by sa [1234] [05]",
+    "cc-by-nc": "cc by nc [1234] [05]", "cc-by-nd": "cc by nd [1234] [05]", "cc-by-nc-sa": "cc by nc sa [1234] [05]", "cc-by-nc-nd": "cc by nc nd [1234] [05]",
+    "odbl-1": "odbl 1 0", "odc-by": "odc by 1 0", "pddl": "pddl 1 0", "sspl-1": "sspl 1 0", "elastic-2": "elastic 2 0", "busl-1.1": "busl 1 1", "openssl": "openssl",
+    "ms-pl": "ms pl", "ms-rl": "ms rl", "postgresql": "postgresql", "ncsa": "ncsa", "x11": "x11", "hpnd": "hpnd", "upl-1": "upl 1 0", "blueoak-1": "blueoak 1 0 0",
+    "ecl-2": "ecl 2 0", "afl-3": "afl 3 0", "osl-3": "osl 3 0", "cecill-2.1": "cecill 2 1", "mulanpsl-2": "mulanpsl 2 0", "lppl-1.3": "lppl 1 3[ac]", "ruby": "ruby", "vim": "vim",
+    "curl": "curl", "icu": "icu", "w3c": "w3c", "naist-2003": "naist 2003", "unicode": "unicode (dfs 2016|3 0)", "qpl-1": "qpl 1 0", "sleepycat": "sleepycat", "intel": "intel",
+}
+# context around an identifier -> (priority, confidence)
+IDENTIFIER_CONTEXTS = {
+    "spdx license identifier {name}": (4, 1.0),
+    "licensed under( the)?( terms of)?( the)? {name}": (3, 0.95),
+    "licen[cs]e(s|d)?( is| as| type| expression| id)? {name}": (2, 0.85),
+}
 # context around a name -> (priority, confidence)
 CONTEXTS = {
     "spdx license identifier {name}": (4, 1.0),
@@ -114,6 +140,32 @@ TEXTS = (
     ("apache-2", "you may not use this file except in compliance with the license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("bsd-3-clause", "neither the name of( the)? (\\S+ ){1,8}may be used to endorse or promote products derived from this software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("apache-2", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this"),
+    ("lgpl", "you should have received a copy of the gnu (lesser|library) general public license along with this"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl-1", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1", "to the extent possible under law (\\S+ ){1,12}waived all copyright and related or neighboring rights"),
+    ("cc", "this work is licensed under a creative commons"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("bsd-4-clause", "this product includes software developed by the university of california berkeley and its contributors"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
     ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
     ("zlib", "an acknowledgment in the product documentation would be appreciated but is not required"),
@@ -149,15 +201,22 @@ def longest_literal(regex: str) -> str:
 
 
 def signature_rules() -> list[Rule]:
-    """All rules in order: base phrases, license texts, then every name in every context."""
+    """All rules in order: base phrases, license texts, identifiers, then every name in every context."""
     rules = [Rule(label, phrase, 5, 1.0, (phrase, ""), True) for phrase, label in BASE_PHRASES.items()]
     rules += [Rule(label, regex, 4, 1.0, (longest_literal(regex), "")) for label, regex in TEXTS]
+    for context, (priority, confidence) in IDENTIFIER_CONTEXTS.items():
+        around = longest_literal(context.replace("{name}", "(x)"))
+        rules += [
+            Rule(label, context.replace("{name}", f"({name})"), priority, confidence, (longest_literal(name), around)) for label, name in IDENTIFIERS.items()
+        ]
     for context, (priority, confidence) in CONTEXTS.items():
         around = longest_literal(context.replace("{name}", "(x)"))
         for label, names in NAMES.items():
             label = label.removesuffix("-short").removesuffix("-long")
+            # either spelling of the noun
+            written = [name.replace("license", "licen[cs]e") for name in names]
             rules += [
-                Rule(label, context.replace("{name}", f"({name})"), priority, confidence, (longest_literal(name), around)) for name in names
+                Rule(label, context.replace("{name}", f"({name})"), priority, confidence, (longest_literal(name), around)) for name in written
             ]
     return rules
 
@@ -166,7 +225,8 @@ def signature_rules() -> list[Rule]:
 KEYWORDS = (
     "licen", "copyright", "permission is hereby", "permission to use copy", "redistribut", "gpl", "gnu ", "apache 2", "mit no attribution", "bsd", " mpl", " cc by ",
     " cc0", " wtfpl", "creative commons", "public domain", "all rights reserved", "neither the name of", "all advertising materials",
-    "acknowledgment in the product", " odbl ", "rail m ", "confidential",
+    "acknowledgment in the product", " odbl ", "rail m ", "confidential", "required by applicable law", "if a copy of the mpl", "origin of this software",
+    "anyone is free to copy", "this product includes software", "without fee", "related or neighboring rights", "subject to the terms", "accompanying materials",
 )
 
 

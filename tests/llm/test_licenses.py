@@ -58,6 +58,39 @@ def test_edges(spark, tmp_path):
     check(licenses.document_licenses(write(spark, tmp_path, rows)).toPandas(), rows)
 
 
+# Notices with the labels a reader gives them; the contract's base phrase "cc by nc" always counts beside them.
+NOTICES = {
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "// SPDX-License-Identifier: EPL-2.0": "epl-2", "SPDX-License-Identifier: Zlib": "zlib",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: 0BSD": "0bsd",
+    "License: MIT": "mit", "license = \"ISC\"": "isc", "Licence: Apache-2.0": "apache-2", "licensed under GPLv3": "gpl-3", "licensed under AGPLv3": "agpl-3",
+    "released under the GPLv2 or later": "gpl-2", "LGPLv2.1": "lgpl-2.1", "LGPL v3": "lgpl-3", "MIT Licence": "mit", "The MIT License (MIT)": "mit",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 4.0": "cc-by-nc-sa", "Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    "Creative Commons Attribution-ShareAlike 3.0": "cc-by-sa", "Creative Commons Attribution 4.0 International Public License": "cc-by",
+    "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International": "cc-by-nc-nd", "CC BY-NC-ND 4.0": "cc-by-nc,cc-by-nc-nd",
+    "the GNU Lesser General Public License": "lgpl", "GNU Lesser General Public License v2.1": "lgpl-2.1", "GNU General Public License version 3": "gpl-3",
+    "Mozilla Public License": "mpl", "under the Mozilla Public License 2.0": "mpl-2", "Eclipse Public License v2.0": "epl-2", "Apache License, Version 2.0": "apache-2",
+    "two-clause code, 2-Clause BSD License": "bsd-2-clause", "a license to drive a car": "", "the MIT campus": "", "ISC stands for much": "", "he was licensed in 1999": "",
+    "If a copy of the MPL was not distributed with this file, You can obtain one": "mpl-2", "This is free and unencumbered software released into the public domain.": "unlicense",
+}
+
+
+def test_notices_by_hand(spark, tmp_path):
+    rows = list(enumerate(NOTICES))
+    got = {r.doc_id: r for r in licenses.document_licenses(write(spark, tmp_path, rows)).collect()}
+    wrong = {t: got[i].labels for i, t in rows if got[i].labels != NOTICES[t]}
+    assert not wrong
+
+
+def test_gates_hold_for_identifiers():
+    for context in licenses.IDENTIFIER_CONTEXTS:
+        around = licenses.longest_literal(context.replace("{name}", "(x)"))
+        for name in licenses.IDENTIFIERS.values():
+            literal = licenses.longest_literal(name)
+            assert len(literal) > 2
+            for text in spellings(context.replace("{name}", f"({name})"))[0]:
+                assert literal in text and around in f" {text} " and any(k in f" {text} " for k in licenses.KEYWORDS)
+
+
 def spellings(regex, at=0):
     """All strings of the small regex language that the rules use, and where parsing ended."""
     options = [[""]]
@@ -89,7 +122,7 @@ def spellings(regex, at=0):
 
 def test_gates_hold_for_every_rule():
     """No spelling of a name or text lacks the string that gates it, nor one of the keywords."""
-    names = [name for names in licenses.NAMES.values() for name in names] + [r for _, r in licenses.TEXTS] + list(licenses.BASE_PHRASES)
+    names = [name.replace("license", "licen[cs]e") for names in licenses.NAMES.values() for name in names] + [r for _, r in licenses.TEXTS] + list(licenses.BASE_PHRASES)
     for regex in names:
         literal = licenses.longest_literal(regex)
         assert len(literal) > 2

@@ -13,6 +13,8 @@ import json
 import os
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -74,6 +76,7 @@ class ChunkEncoder:
         # tokens that look at what is beside them: texts that hold one are encoded whole
         self._plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found)
         self._model, self._letters = self._tokenizer.model, _byte_letters()
+        self._space = chr(self._letters[ord(" ")])
         self.ids = self._tokenizer.get_vocab_size()
         self._older: dict[str, bytes] = {}
         self._recent = _Memory(self._find)
@@ -88,9 +91,12 @@ class ChunkEncoder:
             return ids
         if not chunk.removeprefix(" ").isalpha():
             return self._whole(chunk)
-        # letters alone are one piece for the model, in its byte alphabet
-        found = self._model.tokenize(chunk.encode().decode("latin-1").translate(self._letters))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        # letters alone are one piece for the model, in its byte alphabet; ASCII letters are their own
+        spelled = chunk.replace(" ", self._space) if chunk.isascii() else chunk.encode().decode("latin-1").translate(self._letters)
+        ids = array("I", [t.id for t in self._model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         if not self._cuts:

@@ -217,7 +217,9 @@ def mondrian_sweep(
     values = [
         (col(source[c]).cast("string") if is_text[i] else finite(source[c])).alias(_value(i)) for i, c in enumerate(qi)
     ]
-    rows = stage(df.select("*", *values, F.lit("").alias("path")))
+    # every row is numbered once; all that follows reads and moves only its number and the quasi-identifiers
+    whole = stage(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = whole.select("_row", *values, F.lit("").alias("path"))
     root = rows.agg(*_stats(d)).toArrow()
     top = root.to_pylist()[0]
     if top["n"] < ks[-1]:
@@ -233,7 +235,7 @@ def mondrian_sweep(
     passes = {k: (F.col("n") >= 2 * k) & (F.col("side") >= k) for k in ks}
     goes_right = F.coalesce(_axis_value(is_text) > F.col("cut"), F.lit(False)).cast("int")
     next_path = F.when(F.col("axis").isNotNull(), F.concat("path", goes_right.cast("string"))).otherwise(F.col("path"))
-    moved = [*[col(c) for c in df.columns], *[F.col(_value(i)) for i in range(d)], next_path.alias("path")]
+    moved = ["_row", *[F.col(_value(i)) for i in range(d)], next_path.alias("path")]
     # a node keeps the class of every k that stopped above it
     frozen = [F.coalesce(F.col(c), F.when(~passes[k], F.col("path"))).alias(c) for k, c in zip(ks, names)]
     all_here = [F.coalesce(c, "path").alias(c) for c in names]
@@ -289,8 +291,8 @@ def mondrian_sweep(
     rows = _join_nodes(rows, reached, "inner", total <= BROADCAST_ROWS)
     open_rows = F.col(class_column(kmin)).isNull()
     finished = _finish_locally(rows.filter(open_rows), ks, is_text, ranges, rule, seed)
-    closed = rows.filter(~open_rows)
-    return closed.unionByName(finished).select(*[col(source[c]).alias(c) for c in given], *names)
+    classes = rows.filter(~open_rows).select("_row", *names).unionByName(finished.select("_row", *names))
+    return attach(whole, classes, ["_row"]).select(*[col(source[c]).alias(c) for c in given], *names)
 
 
 def mondrian(df: DataFrame, qi: Sequence[str], k: int, **options: object) -> DataFrame:

@@ -145,3 +145,22 @@ def test_any_column_names(spark):
     assert out.columns == [*df.columns, "pid"] and out.count() == 200
     sizes = [r["count"] for r in out.groupBy("pid").count().collect()]
     assert min(sizes) >= 10 and len(sizes) > 4
+
+
+def test_only_narrow_rows_reach_python(spark, monkeypatch):
+    """What is finished inside tasks does not depend on the caller's other columns."""
+    seen, plain = [], A._finish_locally
+
+    def watched(rows, *rest):
+        seen.append((rows.columns, rows.toPandas().memory_usage(deep=True).sum()))
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(A, "_finish_locally", watched)
+    df = spark.range(400).select("id", (F.col("id") * 7 % 101).alias("a"), (F.col("id") % 13).alias("b"))
+    wide = df.select("*", *[F.concat(F.lit("x" * 200), F.col("id").cast("string")).alias(f"w{i}") for i in range(8)], F.lit(1).alias("_row"), F.lit("p").alias("path"))
+    results = [A.mondrian_sweep(d, ["a", "b"], [5, 20], local_rows=60) for d in (df, wide)]
+    assert seen[0][0] == seen[1][0] == ["_row", "_q0", "_q1", "path", "pid_5", "pid_20"]
+    assert abs(seen[0][1] - seen[1][1]) < 0.05 * seen[0][1]
+    classes = [{r["id"]: (r["pid_5"], r["pid_20"]) for r in d.collect()} for d in results]
+    assert classes[0] == classes[1] and len(classes[0]) == 400
+    assert results[1].columns == [*wide.columns, "pid_5", "pid_20"] and results[1].filter("_row = 1 and path = 'p'").count() == 400

@@ -159,7 +159,7 @@ def test_only_narrow_rows_reach_python(spark, monkeypatch):
     df = spark.range(400).select("id", (F.col("id") * 7 % 101).alias("a"), (F.col("id") % 13).alias("b"))
     wide = df.select("*", *[F.concat(F.lit("x" * 200), F.col("id").cast("string")).alias(f"w{i}") for i in range(8)], F.lit(1).alias("_row"), F.lit("p").alias("path"))
     results = [A.mondrian_sweep(d, ["a", "b"], [5, 20], local_rows=60) for d in (df, wide)]
-    assert seen[0][0] == seen[1][0] == ["_row", "_q0", "_q1", "path", "pid_5", "pid_20"]
+    assert set(seen[0][0]) == set(seen[1][0]) == {"_row", "_q0", "_q1", "path", "pid_5", "pid_20"}
     assert abs(seen[0][1] - seen[1][1]) < 0.05 * seen[0][1]
     classes = [{r["id"]: (r["pid_5"], r["pid_20"]) for r in d.collect()} for d in results]
     assert classes[0] == classes[1] and len(classes[0]) == 400

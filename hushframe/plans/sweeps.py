@@ -8,14 +8,14 @@ before the next point starts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.operators import deep_forest, membership, metrics, models, private, quantized, quantized_trees
+from hushframe.operators import deep_forest, membership, metrics, models, private, private_prepare, quantized, quantized_trees
 from hushframe.operators.aggregates import DATA_NORMS, EPSILONS, K_VALUES, MODELS, REGRESSION_NAMES, tag_union, untag
 from hushframe.operators.anonymize import class_column, generalize_mean, generalize_mode, mondrian_sweep
 from hushframe.operators.features import fit_features
@@ -45,6 +45,8 @@ class Prepared:
     y_bounds: tuple[float, float] | None = None
     # the number of training rows, taken as public
     rows: int | None = None
+    # what a private preparation has spent; a private fit gets the rest of its epsilon
+    prep_epsilon: float = 0.0
 
 
 def split_rows(df: DataFrame, keys: Sequence[str], target: str, task: str, seed: str | int = 42) -> DataFrame:
@@ -56,23 +58,31 @@ def split_rows(df: DataFrame, keys: Sequence[str], target: str, task: str, seed:
 
 def prepare(
     df: DataFrame, name: str, keys: Sequence[str], target: str, task: str, y_bounds: tuple[float, float] | None = None,
-    classes: Sequence[int] = (0, 1), seed: str | int = 42, balance: bool = False,
+    classes: Sequence[int] = (0, 1), seed: str | int = 42, balance: bool = False, prep_epsilon: float = 0.0,
+    bounds: Mapping[str, tuple[float, float]] | None = None, categories: Mapping[str, Sequence[str]] | None = None,
+    prep_seed: str | int | None = None,
 ) -> Prepared:
     """Split, fit the preparation on train, and write the prepared rows once for the whole sweep.
 
-    With ``balance`` the rarer class of the training rows is filled up by SMOTE.
+    With ``balance`` the rarer class of the training rows is filled up by SMOTE.  With
+    ``prep_epsilon`` the preparation itself is private, from public ``bounds`` and
+    ``categories``; every private fit then has that much less to spend.
     """
     keys = list(keys)
     parts = stage(split_rows(df, keys, target, task, seed))
     train, test = (parts.filter(c).drop("is_test") for c in (~F.col("is_test"), F.col("is_test")))
-    fs = fit_features(train, target, skip=keys)
+    if prep_epsilon:
+        ledger = private_prepare.Ledger(prep_epsilon)
+        fs = private_prepare.fit_private_features(train, bounds or {}, categories or {}, ledger, prep_epsilon, target, keys, prep_seed)
+    else:
+        fs = fit_features(train, target, skip=keys)
     made = lambda part: stage(
         fs.apply(part).select(*keys, F.col(target).cast("double").alias("label"), "features")
     )
     ready = made(train)
     if balance:
         ready = stage(ready.unionByName(synthetic_rows(ready, keys, fs.width, seed)))
-    return Prepared(name, task, ready, made(test), keys, fs.width, list(classes), y_bounds, ready.count())
+    return Prepared(name, task, ready, made(test), keys, fs.width, list(classes), y_bounds, ready.count(), prep_epsilon)
 
 
 def synthetic_rows(train: DataFrame, keys: Sequence[str], width: int, seed: str | int) -> DataFrame:
@@ -158,8 +168,11 @@ def score_point(p: Prepared, model: str, method: str, epsilon: float | None, dat
         scorer = models.fit(model, p.train)
         return scorer, scorer(p.test)
     if method == DP:
+        ledger = private_prepare.Ledger(epsilon)
+        if p.prep_epsilon:
+            ledger.spend("preparation", p.prep_epsilon)
         scorer = private.dp_fit(
-            model, p.train, epsilon, data_norm, p.width, p.keys, classes=p.classes, y_bounds=p.y_bounds, seed=seed, n=p.rows
+            model, p.train, ledger.rest("fit"), data_norm, p.width, p.keys, classes=p.classes, y_bounds=p.y_bounds, seed=seed, n=p.rows
         )
         return scorer, scorer(p.test)
     if method not in (QUANTIZED, QUANTIZED_DP):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.noise import uniform
-from hushframe.llm.common import SPACES, fresh, text_of, with_place, word_count
+from hushframe.llm.common import SPACES, WORD, fresh, text_of, with_place, word_count
 from hushframe.operators.joins import attach
 from hushframe.session import cut_lineage, stage
 
@@ -30,16 +30,20 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 SEED = 42
+# Characters that are no prose, and what a share of them and of repeated lines takes from a weight.
+MARKS = "#*$%&|<>"
+SYMBOLS, REPEATED = 10.0, 2.0
 # Documents that are ranked together, and the most buckets of one source and round.
 BUCKET_ROWS = 2_000
 MAX_BUCKETS = 65_536
 
 
-def quality_weight(size: Column, chars: Column) -> Column:
-    """1 for a mean word length of 3 to 10 characters, less the further it is outside."""
+def quality_weight(size: Column, chars: Column, symbols: Column, lines: Column, repeated: Column) -> Column:
+    """1 for prose: words of 3 to 10 characters on average, no symbols, no repeated lines; less the more it differs."""
     mean = chars / size
     off = F.greatest(F.lit(3.0) - mean, mean - F.lit(10.0), F.lit(0.0))
-    return F.when(size > 0, F.lit(1.0) / (F.lit(1.0) + off)).otherwise(F.lit(1.0))
+    worse = off + F.lit(SYMBOLS) * symbols / size + F.lit(REPEATED) * repeated / F.greatest(lines, F.lit(1))
+    return F.when(size > 0, F.lit(1.0) / (F.lit(1.0) + worse)).otherwise(F.lit(1.0))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -71,12 +75,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 def _draws(documents: DataFrame, seed: int) -> DataFrame:
     """Narrow rows: doc_id, source, size and exponential key."""
     text = text_of()
-    size, chars = word_count(text), F.length(F.translate(text, SPACES, ""))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
     narrow = documents.select(
-        F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), chars.alias("chars"),
-        uniform(seed, F.col("doc_id"), F.md5(text.cast("binary"))).alias("u"),
+        F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
+        F.length(F.translate(text, SPACES, "")).alias("chars"), (F.length(text) - F.length(F.translate(text, MARKS, ""))).alias("symbols"),
+        lines.alias("lines"), uniform(seed, F.col("doc_id"), F.md5(text.cast("binary"))).alias("u"),
     )
-    key = -F.log(F.col("u")) / quality_weight(F.col("size"), F.col("chars"))
+    narrow = narrow.withColumns({"n_lines": F.size("lines"), "repeated": F.size("lines") - F.size(F.array_distinct("lines"))})
+    key = -F.log(F.col("u")) / quality_weight(*map(F.col, ("size", "chars", "symbols", "n_lines", "repeated")))
     return narrow.select("doc_id", "source", "size", key.alias("key"))
 
 

@@ -18,11 +18,13 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
 k AS (
   SELECT doc_id, source, size, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS symbols, [l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '{WORD}')] AS lines,
          (CAST('0x' || substr(md5(concat_ws('|', '42', CAST(doc_id AS VARCHAR), md5(text))), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u
   FROM d),
 q AS (
-  SELECT doc_id, source, size, u,
-         CASE WHEN size > 0 THEN 1e0 / (1e0 + greatest(3e0 - chars / CAST(size AS DOUBLE), chars / CAST(size AS DOUBLE) - 10e0, 0e0)) ELSE 1e0 END AS w
+  SELECT doc_id, source, size,
+         -ln(u) / CASE WHEN size > 0 THEN 1e0 / (1e0 + (greatest(3e0 - chars / CAST(size AS DOUBLE), chars / CAST(size AS DOUBLE) - 10e0, 0e0)
+           + 10e0 * symbols / CAST(size AS DOUBLE) + 2e0 * (len(lines) - len(list_distinct(lines))) / CAST(greatest(len(lines), 1) AS DOUBLE))) ELSE 1e0 END AS key
   FROM k),
 s0 AS (
   SELECT source, sum(size) AS source_size FROM d GROUP BY source),
@@ -43,8 +45,8 @@ e AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (
   SELECT q.doc_id, q.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-         sum(q.size) OVER (PARTITION BY q.source ORDER BY 1e0 - exp(ln(q.u) / q.w), q.u, q.doc_id ROWS UNBOUNDED PRECEDING) AS upto,
-         sum(q.size) OVER (PARTITION BY q.source ORDER BY 1e0 - exp(ln(q.u) / q.w), q.u, q.doc_id ROWS UNBOUNDED PRECEDING) - q.size AS before
+         sum(q.size) OVER (PARTITION BY q.source ORDER BY q.key, q.doc_id ROWS UNBOUNDED PRECEDING) AS upto,
+         sum(q.size) OVER (PARTITION BY q.source ORDER BY q.key, q.doc_id ROWS UNBOUNDED PRECEDING) - q.size AS before
   FROM q JOIN e ON q.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (epochs + CASE WHEN rest > 0 AND upto - size / 2e0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from hushframe.functions.scalars import col, label_contains, label_map, log1p_target
 from hushframe.operators import clean
+from hushframe.session import stage
 
 
 @dataclass(frozen=True)
@@ -172,6 +173,34 @@ def read_table(spark: SparkSession, spec: DatasetSpec, path: str) -> DataFrame:
     return reader.csv(path)
 
 
+def read_checked(spark: SparkSession, spec: DatasetSpec, path: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of a CSV file, and every cell or line that the schema does not fit.
+
+    The text is read and written once, so both frames see the same bytes.  A cell that
+    does not parse is null in the rows and a row (file, column, text, line) of the
+    rejects; a line with too few or too many cells keeps what it has, and its own reject
+    has no column.  The null token is no reject.
+    """
+    names = spec.schema.fieldNames()
+    cells, whole = [f"_c{i}" for i in range(len(names))], "_whole"
+    text = T.StructType([*[T.StructField(c, T.StringType()) for c in cells], T.StructField(whole, T.StringType())])
+    reader = spark.read.schema(text).option("header", spec.header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", whole)
+    # names in the header are the spec's business, not the reader's
+    reader = reader.option("enforceSchema", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    if spec.null_value is not None:
+        reader = reader.option("nullValue", spec.null_value)
+    raw = stage(reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file")))
+    typed = {c: F.expr(f"try_cast({c} as {f.dataType.simpleString()})") for c, f in zip(cells, spec.schema)}
+    rows = raw.select(*[typed[c].alias(n) for c, n in zip(cells, names)])
+    line = F.coalesce(F.col(whole), F.to_csv(F.struct(*cells)))
+    bad = [
+        F.when(F.col(c).isNotNull() & typed[c].isNull(), F.struct(F.lit(n).alias("column"), F.col(c).alias("text"))) for c, n in zip(cells, names)
+    ]
+    short = F.when(F.col(whole).isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col(whole).alias("text")))
+    found = raw.select("_file", line.alias("line"), F.explode(F.array_compact(F.array(short, *bad))).alias("r"))
+    return rows, found.select(F.col("_file").alias("file"), "r.column", "r.text", "line")
+
+
 def load(spark: SparkSession, name: str, root: str) -> tuple[DataFrame, DatasetSpec]:
     """Cleaned rows with a known target."""
     if name not in SPECS:

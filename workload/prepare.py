@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.functions import scalars
 from hushframe.functions.noise import uniform
 from hushframe.operators import aggregates, clean, features, joins, splits
 from hushframe.operators.smote import smote
-from hushframe.sources import results
+from hushframe.session import ensure_checkpoint_dir
+from hushframe.sources import registry, results
 from workload.common import (
     DIRTY, DOCS, ITEM, ITEM_KEY, ITEM_KEYS, ITEM_X, PERSON, SEED, WIDE_SQL, dirty, docs, item, person, query, r, rounded, table,
     u_sql, wide,
@@ -26,6 +30,39 @@ def scan_project(spark, sf):
     return t.filter(F.col("l_quantity") >= 25).select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
 
 
+# order lines as text: a quantity and a date that do not parse wherever discount or tax say so
+_CSV = registry.DatasetSpec(
+    "lines", "", T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_partkey", T.LongType()), T.StructField("l_quantity", T.DoubleType()), T.StructField("l_tax", T.DoubleType())]),
+    lambda df: df, "l_quantity", null_value="?",
+)
+_CSV_QUANTITY = "CASE WHEN l_discount = 0.05 THEN 'about ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) WHEN l_discount = 0.07 THEN '?' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"
+
+
+def _as_csv(spark, sf):
+    """The order lines as CSV files in the shared folder, parsed again with a schema."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}.csv"
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_partkey", f"{_CSV_QUANTITY} AS l_quantity", "CASE WHEN l_tax = 0.03 THEN '3%' ELSE CAST(l_tax AS STRING) END AS l_tax")
+    lines.write.option("header", True).csv(path)
+    return registry.read_checked(spark, _CSV, path)
+
+
+@query(
+    "scan_csv",
+    "SELECT l_orderkey, l_partkey, CASE WHEN l_discount IN (0.05, 0.07) THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_tax = 0.03 THEN NULL ELSE l_tax END AS l_tax FROM lineitem",
+)
+def scan_csv(spark, sf):
+    return _as_csv(spark, sf)[0]
+
+
+@query(
+    "csv_rejects",
+    """SELECT 'l_quantity' AS name, 'about ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS text, count(*) AS n FROM lineitem WHERE l_discount = 0.05 GROUP BY ALL
+    UNION ALL SELECT 'l_tax', '3%', count(*) FROM lineitem WHERE l_tax = 0.03 GROUP BY ALL""",
+)
+def csv_rejects(spark, sf):
+    return _as_csv(spark, sf)[1].groupBy(F.col("column").alias("name"), "text").agg(F.count("*").alias("n"))
+
+
 @query(
     "results_union",
     f"""WITH {ITEM}

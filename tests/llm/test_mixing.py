@@ -101,3 +101,16 @@ def test_mixed_documents_repeat_whole_rows(spark, tmp_path):
 def test_query(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     check(QUERIES["op3_source_mixing"](spark, sf).toPandas(), list(zip(docs.doc_id, docs.text, docs.source)))
+
+
+def test_mixed_documents_keep_clashing_columns(spark, tmp_path):
+    rows = EDGE + [(i, prose(30 + i % 7, i)) for i in range(100, 140)]
+    odd = write(spark, tmp_path, rows).selectExpr("*", "1 as _row_of_mix", "2 as _times", "3 as epochs", "'x' as key", "4 as size", "5 as target", "6 as _source")
+    odd.write.parquet(str(tmp_path / "odd"))
+    docs = spark.read.parquet(str(tmp_path / "odd"))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == odd.columns
+    taken = {r.doc_id: r.taken for r in mixing.document_mix(write(spark, tmp_path, rows[len(EDGE):], "plain")).collect()}
+    assert set(taken) == set(range(100, 140))
+    words_of = got.selectExpr("doc_id", "size").collect()
+    assert words_of and all(r["size"] == 4 for r in words_of)

@@ -124,7 +124,9 @@ def test_non_finite_features_count_as_zero(spark):
     zero = spark.createDataFrame(plain + [(99, 0.0, 1.0, 1)], "id int, a double, b double, label int")
     odd = spark.createDataFrame(plain + [(99, float("nan"), 1.0, 1)], "id int, a double, b double, label int")
     fit = lambda df: private.dp_logistic(df, F.array("a", "b"), 2, "label", 2.0, 3.0, seed=3)
-    assert fit(zero) == fit(odd)
+    # sums of doubles may differ in the last bit from run to run
+    for a, b in zip(fit(zero), fit(odd)):
+        assert a == pytest.approx(b, rel=1e-12)
 
 
 def test_row_count_is_public(line):

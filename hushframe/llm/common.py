@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,26 @@ def bounded_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Gives back what earlier operators left in this worker process, which Spark uses again for the next one.
+
+    Called where a task starts in Python: the memory of tokenized chunks and free blocks
+    of the allocators would else stand beside what the task itself needs.
+    """
+    import pyarrow as pa
+
+    tokens = sys.modules.get("hushframe.llm.tokens")
+    if tokens is not None:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # only this C library hands free blocks back on request
+        pass
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

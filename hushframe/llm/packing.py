@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import bounded_batches
+from hushframe.llm.common import bounded_batches, release_memory
 from hushframe.llm.tokens import default_tokenizer, encoder
 from hushframe.session import ensure_checkpoint_dir
 
@@ -81,6 +81,8 @@ def cut_pieces(documents: DataFrame, size: int = SIZE, end: int = END, tokenizer
         import numpy as np
         import pyarrow as pa
 
+        if not encoder.cache_info().currsize:
+            release_memory()
         met: dict[int, int] = {}
         split = TaskContext.get().partitionId()
         tail = np.array([end], "<u4").tobytes()

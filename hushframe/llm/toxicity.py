@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import bounded_batches, fresh
+from hushframe.llm.common import bounded_batches, fresh, release_memory
 
 FOLDS = 5
 # The bound on labelled documents in a fit (expected size of the sample).
@@ -140,6 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def extract(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -154,6 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def learn(table):
         import pyarrow as pa
 
+        release_memory()
         ids, ys = table.column("doc_id").to_pylist(), table.column("y").to_numpy()
         # views of the rows as they came, no copy
         found = [np.frombuffer(f.as_buffer(), np.uint32) for f in table.column("features")]
@@ -178,6 +180,7 @@ def score(documents: DataFrame, model: Model, name: str = "score", text: str = "
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_memory()
         m = shared.value
         table = m.filter()
         for texts in batches:

@@ -12,5 +12,5 @@ def test_query_equals_sql(spark, sf, name):
     assert ok, note
 
 
-def test_ten_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))

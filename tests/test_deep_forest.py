@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import functions as F
 
 from hushframe.operators import deep_forest as deep
 

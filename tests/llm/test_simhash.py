@@ -4,7 +4,6 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from hushframe.llm import simhash
 from hushframe.llm.queries import QUERIES

@@ -119,3 +119,19 @@ def test_draws_are_poisson_and_stable(spark):
     rows = [(r["tree"], r["k"], r["w"]) for r in deep.bag(df, ["k"], 5, "x").collect()]
     assert sorted(rows) == sorted((r["tree"], r["k"], r["w"]) for r in deep.bag(df.repartition(7), ["k"], 5, "x").collect())
     assert abs(len(rows) / 10_000 - (1 - math.exp(-1))) < 0.02 and abs(sum(w for *_, w in rows) / 10_000 - 1) < 0.03
+
+
+def test_nodes_of_a_level_are_split_together(spark, monkeypatch):
+    """A tree of thousands of nodes asks for splits a few times per level, not once per node; the tree stays right."""
+    rng = np.random.default_rng(4)
+    x, y, w = rng.random((4_000, 3)), rng.integers(0, 2, 4_000).astype(float), np.ones(4_000)
+    calls, split = [], deep.best_splits
+    monkeypatch.setattr(deep, "best_splits", lambda *a: calls.append(1) or split(*a))
+    feature, threshold, child, value = deep.grow(x, y, w, 0, "", "s", 1, 2)
+    assert len(feature) > 2_000 and len(calls) < len(feature) / 4
+    assert (value.reshape(-1, 2)[deep.walk(x, feature, threshold, child)].argmax(axis=1) == y).all()
+    # a tree over a hundred rows of the same kind, node by node against the plain recursion
+    some = [(tuple(a), b, c) for a, b, c in zip(x[:100], y[:100], w[:100])]
+    plain = plain_tree(some, 2, "s", 0, 1)
+    feature, threshold, child, value = deep.grow(x[:100], y[:100], w[:100], 0, "", "s", 1, 2)
+    assert len(feature) > 2 and (value.reshape(-1, 2)[deep.walk(x, feature, threshold, child)] == [plain_value(plain, v) for v in x]).all()

@@ -1,6 +1,8 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingle sets.
+"""Near-duplicates by SimHash, and by exact Jaccard similarity of five-word shingle sets.
 
-Texts meet in the buckets of a minhash: of 160 minima, 48 keys of seven each, so that a
+Texts meet where SimHash links them: a component of fingerprints (``simhash``: three bits at
+most, found by one-wildcard variants) is a bucket.  SimHash alone loses most pairs at a
+similarity of 0.8, so texts also meet in the buckets of a minhash: of 160 minima, 48 keys of seven each, so that a
 pair at similarity 0.8 shares no key in 1 of 80,000 cases and nearer pairs still more
 rarely.  Inside a bucket whole sets are compared, all with all, as one product of small
 matrices over the shingles that two members share; members that share too few of theirs
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.llm.common import bounded_batches, fresh, join_hot, release_memory, with_place, with_row_id
-from hushframe.llm.simhash import components, shingle_hashes
+from hushframe.llm.simhash import components, fingerprint, near_links, shingle_hashes
 from hushframe.operators.joins import attach, is_small
 from hushframe.session import release, stage
 
@@ -72,14 +74,14 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(32))
 
 
-@F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
 def _signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     release_memory()
     for texts in batches:
         sets = [shingle_set(t) for t in texts]
         yield pd.DataFrame({
             "digest": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "size": [len(s) for s in sets],
-            "keys": [bucket_keys(s).view(np.int64) for s in sets],
+            "keys": [bucket_keys(s).view(np.int64) for s in sets], "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64),
         })
 
 
@@ -160,12 +162,22 @@ def _blocks(members: str, shingles: str) -> F.Column:
     return F.greatest(F.ceil(F.col(members) / F.lit(BLOCK)), F.ceil(F.col(shingles) / F.lit(BLOCK_SHINGLES))).cast("int")
 
 
+def simhash_keys(nodes: DataFrame) -> DataFrame:
+    """(node, key) of the nodes (node, size, keys, fp) that SimHash links with another; the key is their component's."""
+    marks = stage(nodes.filter("size > 0").groupBy("fp").agg(F.count("*").alias("n")))
+    found = components(near_links(marks.select("fp")), "fp", "root").select(F.col("node").alias("fp"), "component")
+    linked = stage(marks.join(found, "fp", "left").filter((F.col("n") > 1) | F.col("component").isNotNull()))
+    keys = linked.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key"), "n")
+    total = linked.agg(F.sum("n")).first()[0] or 0
+    return join_hot(nodes.filter("size > 0").select("node", "size", "fp"), keys, ["fp"], "n", total).select("node", "size", "key")
+
+
 def near_components(nodes: DataFrame, scan_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of every node with a link; ``nodes`` is staged (node, size, keys).
+    """(node, component) of every node with a link; ``nodes`` is staged (node, size, keys, fp).
 
     ``scan_sets`` gives the sets (node, hashes) of the nodes of a table.
     """
-    spread = nodes.select("node", "size", F.explode("keys").alias("key"))
+    spread = nodes.select("node", "size", F.explode("keys").alias("key")).unionByName(stage(simhash_keys(nodes)))
     counts = stage(spread.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).filter("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     met = stage(join_hot(spread, counts, ["key"], "n", total))
@@ -214,7 +226,7 @@ def drop_near_copies(scan: DataFrame) -> DataFrame:
     docs = with_place(scan.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "row")
     docs = stage(docs.select("row", "doc_id", _signed(text).alias("s")).select("row", "doc_id", "s.*"))
     groups = stage(docs.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("copies")))
-    nodes = stage(docs.select(F.col("row").alias("node"), "size", "keys").join(groups.select("node"), "node", "left_semi"))
+    nodes = stage(docs.select(F.col("row").alias("node"), "size", "keys", "fp").join(groups.select("node"), "node", "left_semi"))
 
     def scan_sets(wanted: DataFrame) -> DataFrame:
         texts = with_place(scan.select("text"), "node").join(wanted, "node", "left_semi")

@@ -127,3 +127,20 @@ def test_clashing_columns_stay(spark, tmp_path):
     assert got.columns == odd.columns
     check(got.collect(), rows)
     assert got.filter("_row = 1 and row = 2 and node = 'x' and bucket = 6").count() == got.count()
+
+
+def test_fingerprints_bring_texts_together(spark):
+    """Without a minhash key in common, texts within three bits of each other are still compared."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(5_000)}" for _ in range(400)) for _ in range(12)]
+    texts += [t + " extra" for t in texts[:6]]
+    sets = {i: near_dedup.shingle_set(t) for i, t in enumerate(texts)}
+    fps = [near_dedup.fingerprint(t) for t in texts]
+    fps[17] = fps[6]
+    rows = [(i, len(sets[i]), [], int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, size long, keys array<long>, fp long")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node long, hashes binary")
+    found = near_dedup.near_components(nodes, lambda wanted: held.join(wanted, "node", "left_semi")).collect()
+    near = {i for i in range(5) if (fps[i] ^ fps[12 + i]).bit_count() <= 3}
+    # an equal fingerprint (6 and 17) without similar texts is no link
+    assert near and {(r["node"], r["component"]) for r in found} == {(n, i) for i in near for n in (i, 12 + i)}

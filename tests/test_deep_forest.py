@@ -135,3 +135,18 @@ def test_nodes_of_a_level_are_split_together(spark, monkeypatch):
     plain = plain_tree(some, 2, "s", 0, 1)
     feature, threshold, child, value = deep.grow(x[:100], y[:100], w[:100], 0, "", "s", 1, 2)
     assert len(feature) > 2 and (value.reshape(-1, 2)[deep.walk(x, feature, threshold, child)] == [plain_value(plain, v) for v in x]).all()
+
+
+def test_equal_rows_count_as_one(monkeypatch):
+    """Rows with equal features weigh together: a tree over few distinct points sorts few points, and stays the same."""
+    rng = np.random.default_rng(5)
+    x, w = np.repeat(rng.random((40, 2)), 100, axis=0), np.ones(4_000)
+    held, split = [], deep.best_splits
+    monkeypatch.setattr(deep, "best_splits", lambda v, *a: held.append(len(v)) or split(v, *a))
+    for classes, draw in ((2, 1), (0, 2)):
+        y = rng.integers(0, 2, 4_000).astype(float)
+        feature, threshold, child, value = deep.grow(x, y, w, 0, "", "s", draw, classes)
+        assert max(held) <= 40
+        plain = plain_tree([(tuple(a), b, 1.0) for a, b in zip(x, y)], classes, "s", 0, draw)
+        got = value.reshape(-1, classes or 1)[deep.walk(x[::100], feature, threshold, child)]
+        assert np.allclose(got, [plain_value(plain, v) for v in x[::100]], atol=1e-12)

@@ -28,7 +28,7 @@ from hushframe.operators.joins import BROADCAST_ROWS, attach
 from hushframe.session import cut_lineage, stage
 
 # A node with at most this many rows is finished inside one task.
-LOCAL_ROWS = 50_000
+LOCAL_ROWS = 400_000
 # Up to this many nodes of one level are held as a local relation between jobs.
 DRIVER_NODES = 10_000
 # Lookups chained in one stage before the rows are written again: keeps generated code small.

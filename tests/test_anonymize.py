@@ -164,3 +164,14 @@ def test_only_narrow_rows_reach_python(spark, monkeypatch):
     classes = [{r["id"]: (r["pid_5"], r["pid_20"]) for r in d.collect()} for d in results]
     assert classes[0] == classes[1] and len(classes[0]) == 400
     assert results[1].columns == [*wide.columns, "pid_5", "pid_20"] and results[1].filter("_row = 1 and path = 'p'").count() == 400
+
+
+def test_a_task_takes_large_nodes(spark, monkeypatch):
+    """A table of 700,000 rows is split once on the cluster; each half is finished by one task."""
+    kept, keep = [], A._keep
+    monkeypatch.setattr(A, "_keep", lambda *a: kept.append(1) or keep(*a))
+    df = spark.range(700_000).withColumn("v", F.col("id").cast("double"))
+    out = A.mondrian(df, ["v"], 100_000)
+    # cuts and halves of one level, and the table of the classes reached
+    assert len(kept) == 3
+    assert sorted(r["count"] for r in out.groupBy("pid").count().collect()) == [175_000] * 4

@@ -77,10 +77,11 @@ def test_splits_equal_a_plain_recursion(spark, monkeypatch, chunk, block):
 
 
 def test_cuts_lie_between_few_values_and_at_quantiles_of_many(spark):
-    x = np.column_stack([np.arange(1_000) % 5, np.arange(1_000)])
-    cuts = bf.find_cuts(frame(spark, x, np.zeros(1_000)).select("x"), 2, 10)
+    x = np.column_stack([np.arange(1_000) % 5, np.arange(1_000), np.arange(1_000) % 15])
+    cuts = bf.find_cuts(frame(spark, x, np.zeros(1_000)).select("x"), 3, 10)
     assert list(cuts[0]) == [0.5, 1.5, 2.5, 3.5]
     assert len(cuts[1]) == 9 and np.allclose(cuts[1], np.arange(1, 10) * 100 - 1, atol=2)
+    assert len(cuts[2]) == 9 and set(cuts[2]) < set(range(15))
 
 
 def test_forest_does_not_depend_on_the_order_of_rows(spark):

@@ -150,3 +150,47 @@ def test_equal_rows_count_as_one(monkeypatch):
         plain = plain_tree([(tuple(a), b, 1.0) for a, b in zip(x, y)], classes, "s", 0, draw)
         got = value.reshape(-1, classes or 1)[deep.walk(x[::100], feature, threshold, child)]
         assert np.allclose(got, [plain_value(plain, v) for v in x[::100]], atol=1e-12)
+
+
+def test_draws_of_many_paths_are_those_of_single_ones():
+    """Texts of every length, by the lanes of the vectorized hash and by the library."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(1)
+    for size in range(0, 100):
+        text = rng.integers(0, 256, (3, size)).astype(np.uint8)
+        assert deep.xxh64(text).tolist() == [xxh64_intdigest(t.tobytes(), 42) for t in text]
+    trail = np.frombuffer(b"01" * 600, np.uint8).reshape(200, 6)
+    few = [deep._feature_orders("s", 3, "10", t[None], 12)[0].tolist() for t in trail]
+    assert deep._feature_orders("s", 3, "10", trail, 12).tolist() == few
+
+
+@pytest.mark.parametrize("classes", [2, 0])
+def test_subtrees_are_those_of_the_whole_tree(classes):
+    """A tree whose subtrees are grown one by one gives every row the value it has in one piece."""
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, 50, 6000), rng.integers(0, 6000, 6000), rng.normal(size=6000)], axis=1).astype(float)
+    y, w = rng.integers(0, classes or 900, 6000).astype(float), rng.poisson(1, 6000) + 1.0
+    order = np.lexsort((w, y, *x.T))
+    x, y, w = x[order], y[order], w[order]
+    whole = deep.grow(x, y, w, 3, "01", "s", 1, classes)
+    parts = deep.grow_parts(x, y, w, 3, "01", "s", 1, classes, part_rows=300)
+    assert len(parts) > 5 and sum(len(a[0]) for _, a in parts) == len(whole[0]) + len(parts) - 1
+    want = whole[3].reshape(-1, classes or 1)[deep.walk(x, *whole[:3])]
+    assert np.array_equal(deep.leaf_values(x, deep._packed(3, "01", parts).take([*reversed(range(len(parts)))]), classes or 1), want)
+
+
+def test_trees_move_as_blocks(spark, monkeypatch):
+    """Up to LOCAL_ROWS drawn rows a tree no row is copied as a Spark row for every tree; keys of any type draw as in ``bag``."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.integers(0, 40, (300, 2)), rng.integers(0, 2, 300)).withColumn("id", F.when(F.col("id") > 3, F.concat(F.lit("k"), "id")))
+    bags = [tuple(r) for r in deep.bag(df, ["id"], 5, 1).groupBy("tree").agg(F.sum("w")).orderBy("tree").collect()]
+    routed = {tuple(r["x"]): r["prob"] for r in deep.score_forest(df, deep.fit_forest(df, 2, ["id"], trees=5, seed=1, local_rows=80)).collect()}
+    monkeypatch.setattr(deep, "bag", lambda *a: pytest.fail("rows were exploded"))
+    forest = deep.fit_forest(df, 2, ["id"], trees=5, seed=1)
+    assert forest.levels == 0 and {r["tree"] for r in forest.parts.collect()} == {t for t, _ in bags}
+    for scored_rows in (7, 10**6):
+        got = deep.score_forest(df, forest, scored_rows=scored_rows).collect()
+        assert len(got) == 300 and all(np.allclose(routed[tuple(r["x"])], r["prob"], atol=1e-12) for r in got)
